@@ -14,6 +14,7 @@ open bins, so the loss against one global packing is a few sequences per shard.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,55 +26,77 @@ from pyspark.sql import functions as F
 from veilspark.llm.work import arrow_rows, keep
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-CACHE = 400_000
+CACHE = 1_000_000
 
 
-class UnitEncoder:
+class _Cut(Exception):
+    """A unit that cannot be encoded apart from its neighbours."""
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """Byte-level vocabularies write a printable byte as itself and the rest as code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class UnitEncoder(dict):
     """Token ids, as little-endian uint32 bytes, of whole texts.
 
     The vocabulary's splitting rule never joins a non-space character with a
     following space, so a text can be cut before each space that follows a
-    non-space and its units encoded apart. Units repeat, so their ids are
-    remembered (at most CACHE of them); a text in which white space runs occur
-    at a cut is encoded whole instead.
+    non-space and its units encoded apart. The mapping remembers units (at most
+    CACHE of them); new ones go through the same vocabulary in tiktoken, which
+    applies the same merges (a merge's rank is its token's id) without the cost of
+    a tokenizers call. A text where white space runs meet a cut, or that may hold
+    a special token, is encoded whole by tokenizers.
     """
 
     def __init__(self, path: str) -> None:
+        import json
+
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        byte = _byte_alphabet()
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        encoding = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.units, self.single = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
+        self.marks = {m: array("I", self.units(m)).tobytes() for m in ".,"}
+
+    def __missing__(self, unit: str) -> bytes:
+        if not unit or unit[-1].isspace() or "<|" in unit:
+            raise _Cut
+        if len(self) >= CACHE:
+            self.clear()
+        mark = self.marks.get(unit[-1])
+        word = unit[:-1] if mark else unit
+        if word.isalpha():  # letters are one piece, so the splitting pattern need not run
+            out = array("I", self.single(b" " + word.encode())).tobytes() + (mark or b"")
+        else:
+            out = array("I", self.units(" " + unit)).tobytes()
+        self[unit] = out
+        return out
 
     def encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def _learn(self, units: list[str]) -> bool:
-        """Encode unknown units together; False if a unit cannot stand alone."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = list({u for u in units if u not in self.known})
-        if any(u == "" or u[-1].isspace() or "<" in u for u in fresh):
-            return False
-        for u, e in zip(fresh, self.tokenizer.encode_batch([" " + u for u in fresh], add_special_tokens=False)):
-            self.known[u] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return True
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         head, *units = text.split(" ")
-        if not head or head[-1].isspace() or "<" in head:
-            return self.encode(text)
         try:
-            tail = b"".join(map(self.known.__getitem__, units))
-        except KeyError:
-            if not self._learn(units):
-                return self.encode(text)
-            tail = b"".join(map(self.known.__getitem__, units)) if all(u in self.known for u in units) else None
-            if tail is None:
-                return self.encode(text)
-        return self.encode(head) + tail
+            if not head or head[-1].isspace():
+                raise _Cut
+            return self.encode(head) + b"".join(map(self.__getitem__, units))
+        except _Cut:
+            return self.encode(text)
 
 
 def pieces_of(path: str, end_id: int = 2, size: int = 1024):
@@ -81,7 +104,7 @@ def pieces_of(path: str, end_id: int = 2, size: int = 1024):
 
     def setup():
         encode = UnitEncoder(path)
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        end = array("I", [end_id]).tobytes()
 
         def each(doc_id: int, text: str | None) -> Iterator[tuple]:
             raw = encode(text) + end
