@@ -35,6 +35,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_candidate_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.pii import find_private
+
+    return find_private(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
