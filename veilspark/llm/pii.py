@@ -193,7 +193,7 @@ class Boosted:
         return 1 / (1 + F.exp(-(total * self.slope + self.offset)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate: float = 0.3, precision: float = 0.98) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 14, depth: int = 3, rate: float = 0.4, precision: float = 0.98) -> Boosted:
     """Trees on three quarters of the rows; on the rest the logit is calibrated
     (a logistic fit) and the lowest threshold with that precision is taken."""
     held = np.arange(len(x)) % 4 == 3
@@ -295,6 +295,22 @@ def find_private(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     )
 
 
+def _total(pieces: str) -> Column:
+    return F.aggregate(pieces, F.lit(0), lambda a, s: a + F.length(s))
+
+
+def _rewriter(k: Kind, model: Boosted) -> Callable[[Column, Column], Column]:
+    def rewrite(s: Column, m: Column) -> Column:
+        gap = F.length(s) - F.length(m)
+        ok = k.valid(m)
+        if k in PROPOSED:
+            left = F.substring(s, F.greatest(gap - CONTEXT + 1, F.lit(1)), F.least(gap, F.lit(CONTEXT)))
+            ok = model.column(_features(k.name, m, left)) >= model.threshold
+        return F.when(ok, F.concat(F.substring(s, F.lit(1), gap), F.lit(f"[{k.name.upper()}]"))).otherwise(s)
+
+    return rewrite
+
+
 def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """docs with private spans of ``text`` replaced by [KIND], all columns kept.
 
@@ -309,17 +325,6 @@ def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
         none = F.array().cast("array<string>")
         out = out.withColumn(x, _cut(F.coalesce("text", F.lit("")), k, 0))
         out = out.withColumn(v, F.when(F.size(x) > 0, _cut(F.col("text"), k, 2)).otherwise(none))
-        mark = F.lit(f"[{k.name.upper()}]")
-
-        def rewrite(s: Column, m: Column, k: Kind = k, mark: Column = mark) -> Column:
-            gap = F.length(s) - F.length(m)
-            ok = k.valid(m)
-            if k in PROPOSED:
-                left = F.substring(s, F.greatest(gap - CONTEXT + 1, F.lit(1)), F.least(gap, F.lit(CONTEXT)))
-                ok = model.column(_features(k.name, m, left)) >= model.threshold
-            return F.when(ok, F.concat(F.substring(s, F.lit(1), gap), mark)).otherwise(s)
-
-        used = F.aggregate(x, F.lit(0), lambda a, s: a + F.length(s))
-        whole = F.concat(F.array_join(F.zip_with(x, v, rewrite), ""), F.substring(F.col("text"), used + 1, F.length("text")))
+        whole = F.concat(F.array_join(F.zip_with(x, v, _rewriter(k, model)), ""), F.substring(F.col("text"), _total(x) + 1, F.length("text")))
         out = out.withColumn("text", F.when(F.size(x) > 0, whole).otherwise(F.col("text"))).drop(x, v)
     return out
