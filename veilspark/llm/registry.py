@@ -30,6 +30,12 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.quality import classify
 
