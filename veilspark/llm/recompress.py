@@ -8,8 +8,8 @@ inside. Each symbol carries the extent of words that fixed it: within any window
 that holds the extent, the same symbol arises in every document.
 
 So two equal windows share the symbols whose extents they hold. Each window takes
-as anchor one such symbol, of the highest round that offers one, by a rule that
-looks at the window alone. Anchors of one document only prove their windows
+as anchor one short phrase of such symbols, of the highest round that offers one,
+by a rule that looks at the window alone. Anchors of one document only prove their windows
 unrepeated; for the others the windows are compared themselves.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.work import drop, keep
 from veilspark.llm.words import mix, split_words, windows, word_ids
 
-ROUNDS = 4
+ROUNDS, PHRASE = 4, 3
 
 
 def recompress(ids: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,16 +77,20 @@ def recompress(ids: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray,
 def anchors(ids: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` words, by start: its anchor's name.
 
-    Of the symbols whose extents a window holds, it takes one of the highest
-    round, the one with the least scrambled name. Extents move right with their
-    symbols, so a window holds a range of them and the least comes from two
-    overlapping power-of-two ranges.
+    Phrases are PHRASE symbols in a row. Of those whose extents a window holds, it
+    takes one of the highest round, the one with the least scrambled name. Extents
+    move right with their symbols, so a window holds a range of them and the least
+    comes from two overlapping power-of-two ranges. Single symbols of the rounds
+    used here are a few words long and recur by chance; phrases hardly do.
     """
     n = len(ids) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out, todo = np.zeros(n, np.uint64), np.arange(n)
     for r, (sym, _, lo, hi) in reversed(list(enumerate(recompress(ids)))):
+        if len(sym) < PHRASE:
+            continue
+        sym, lo, hi = windows(sym, PHRASE), lo[: len(sym) - PHRASE + 1], hi[PHRASE - 1 :]
         first, stop = np.searchsorted(lo, todo), np.searchsorted(hi, todo + width, side="right")
         size = stop - first
         have = size > 0
