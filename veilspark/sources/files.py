@@ -14,7 +14,9 @@ MOST_FILES = 100
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     """path, filename, extension, size, content_hash, problem of files below a folder.
 
-    Only names, sizes and hashes leave the scan; problem is null for a file that may enter.
+    Only names, sizes and hashes leave the scan; problem is null for a file that
+    may enter. The scan itself passes over empty files; check_uploads names them
+    where a listing is given.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
