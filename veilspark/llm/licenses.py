@@ -1,7 +1,7 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance by path.
 
-A file's header lines and its whole text are compared with licence templates as
-sparse vectors of word weights (term count times inverse document frequency over
+A file's header lines, and the whole text of a file that is named as a licence
+file, are compared with licence templates as sparse vectors of word weights (term count times inverse document frequency over
 the templates; a word that no template has weighs the most). A line that is close
 enough gives the file its licence; a file that is a licence as a whole also
 licenses its directory. Files without a licence of their own take that of the
@@ -45,6 +45,8 @@ TEMPLATES = (
 #: A line without any of these cannot reach the threshold against a template.
 TRIGGER = "licen[cs]|copyright|permission|redistribut|free software|unencumbered|public domain|rights reserved|proprietary|\\bcc0?\\b"
 LINE, FILE = 0.8, 0.8
+#: Last parts of paths that name a licence file.
+NAMED = "(?i)(^|/)[^/]*(licen[cs]e|copying|notice|copyright)[^/]*$"
 WORDS = "[a-z0-9]+"
 
 
@@ -80,7 +82,7 @@ def match_units(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     some = files.where(F.lower("text").rlike(TRIGGER))
     lines = some.select("path", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.lower("unit").rlike(TRIGGER))
-    units = lines.unionByName(some.select("path", F.lit(-1).alias("line"), F.col("text").alias("unit")))
+    units = lines.unionByName(some.where(F.col("path").rlike(NAMED)).select("path", F.lit(-1).alias("line"), F.col("text").alias("unit")))
     known = F.broadcast(spark.createDataFrame(list(_frequencies().items()), "term string, idf double"))  # as many rows as the templates have words
     words = units.select("path", "line", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(WORDS), F.lit(0))).alias("term"))
     tf = words.groupBy("path", "line", "term").agg(F.count("*").alias("n")).join(known, "term", "left")
@@ -140,7 +142,7 @@ known(term, idf) AS (VALUES {freq}),
 files AS (SELECT concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(doc_id::VARCHAR, 'none')) AS path, text, doc_id FROM documents),
 hit AS (SELECT * FROM files WHERE regexp_matches(lower(text), '{TRIGGER}')),
 lines AS (SELECT path, unnest(range(len(string_split(text, chr(10)))))::INT AS line, unnest(string_split(text, chr(10))) AS unit FROM hit),
-units AS (SELECT * FROM lines WHERE regexp_matches(lower(unit), '{TRIGGER}') UNION ALL SELECT path, -1, text FROM hit),
+units AS (SELECT * FROM lines WHERE regexp_matches(lower(unit), '{TRIGGER}') UNION ALL SELECT path, -1, text FROM hit WHERE regexp_matches(path, '{NAMED}')),
 words AS (SELECT path, line, unnest(regexp_extract_all(lower(unit), '{WORDS}')) AS term FROM units),
 tf AS (SELECT path, line, term, count(*) AS n FROM words GROUP BY ALL),
 w AS (SELECT tf.*, idf, n * coalesce(idf, {idf(0)!r}::DOUBLE) AS w FROM tf LEFT JOIN known USING (term)),

@@ -77,6 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from veilspark.llm.licenses import oracle
+    from veilspark.llm import licenses, oracles
 
-    return {"op10_license_scan": oracle()}
+    return {"op6_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op8_substring_dedup": oracles.SUBSTRINGS, "op10_license_scan": licenses.oracle()}
