@@ -238,9 +238,9 @@ def routing_counts(spark, sf_dir):
 
 @query(f"""WITH {SPANS}, f AS (SELECT DISTINCT doc_id, page, start, "end", entity_type, value FROM s WHERE detector = 'regex'), r AS (SELECT * FROM s WHERE detector <> 'regex'),
 m AS (SELECT f.doc_id, f.page, f.start, f."end", f.entity_type, f.value, f.value = r.value AS v, f.entity_type = r.entity_type AS t,
- (least(f."end", r."end") - greatest(f.start, r.start)) / greatest(f."end" - f.start, r."end" - r.start) + (f.value = r.value)::INT + (f.entity_type = r.entity_type)::INT AS score, r.detector AS by
- FROM f JOIN r ON f.doc_id = r.doc_id AND f.page = r.page AND f.start < r."end" AND r.start < f."end" QUALIFY row_number() OVER (PARTITION BY f.doc_id, f.page, f.start, f."end", f.entity_type, f.value ORDER BY score DESC, v DESC, t DESC, by DESC) = 1)
-SELECT CASE WHEN m.v IS NULL THEN 'downstream_origin' WHEN v AND t THEN 'detector_origin' WHEN v THEN 'reclass_origin' ELSE 'partial_origin' END AS origin, by AS raw_detector, count(*) AS n FROM f LEFT JOIN m USING (doc_id, page, start, "end", entity_type, value) GROUP BY 1, 2""")
+ (least(f."end", r."end") - greatest(f.start, r.start)) / greatest(f."end" - f.start, r."end" - r.start) + (f.value = r.value)::INT + (f.entity_type = r.entity_type)::INT AS score, r.detector AS det
+ FROM f JOIN r ON f.doc_id = r.doc_id AND f.page = r.page AND f.start < r."end" AND r.start < f."end" QUALIFY row_number() OVER (PARTITION BY f.doc_id, f.page, f.start, f."end", f.entity_type, f.value ORDER BY score DESC, v DESC, t DESC, det DESC) = 1)
+SELECT CASE WHEN m.v IS NULL THEN 'downstream_origin' WHEN v AND t THEN 'detector_origin' WHEN v THEN 'reclass_origin' ELSE 'partial_origin' END AS origin, det AS raw_detector, count(*) AS n FROM f LEFT JOIN m USING (doc_id, page, start, "end", entity_type, value) GROUP BY 1, 2""")
 def span_origins(spark, sf_dir):
     s = line_spans(spark, sf_dir)
     final = s.where("detector = 'regex'").select("doc_id", "page", "start", "end", "entity_type", "value").distinct()
