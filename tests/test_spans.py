@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from veilspark.operators import evaluate, redact, spans
 
 SCHEMA = "doc_id long, page int, start int, end int, entity_type string, value string, confidence double, detector string"
@@ -92,4 +90,3 @@ def test_reclassify(spark):
     s = spark.createDataFrame([(1, 1, 8, 18, "PERSON", "Anna Smith", 1.0, "d"), (1, 1, 24, 34, "DATE", "1980-01-01", 1.0, "d")], SCHEMA)
     got = spans.reclassify(s, spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert {r.entity_type for r in got.collect()} == {"PATIENT", "DATE_OF_BIRTH"}
-    assert F is not None
