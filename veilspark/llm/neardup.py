@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     shingle sets; a component is named by its smallest doc_id. Null, empty and
     wordless texts have no shingles, link with nothing and are kept. Equal sets
     are linked, so of repeated rows one doc_id stays. An empty table gives an
-    empty result; other columns are ignored. doc_id is taken as unique.
+    empty result; other columns are ignored. doc_id is taken as unique; a row
+    without one joins the component of equal sets, or none, and links nothing.
     """
     made = keep(describe(docs, width), "described")
     classes = made.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
@@ -234,4 +235,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     by_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("c"))
     out = made.select("doc_id", "n", "key").join(by_class, "key", "left")
     component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
