@@ -143,16 +143,15 @@ def _scan(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [split_words(t.as_py()) for t in b.column("text")]
-            found = []
-            for part in _groups([len(w) * 6 for w in words]):
-                ids, start = batch_ids(words[part])
+            texts, counts, shas, found = b.column("text"), [], [], []
+            for part in _groups([len(t.as_py() or "") for t in texts]):
+                words = [split_words(t.as_py()) for t in texts[part]]
+                ids, start = batch_ids(words)
                 anchor = anchors(ids, width).view(np.int64)
-                found += [np.unique(anchor[s : s + max(0, len(w) - width + 1)]) for s, w in zip(start.tolist(), words[part])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words], pa.string()), pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "sha", "anchors"],
-            )
+                counts += map(len, words)
+                shas += map(_sha, words)
+                found += [np.unique(anchor[s : s + max(0, len(w) - width + 1)]) for s, w in zip(start.tolist(), words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_words", "sha", "anchors"])
 
     return run
 
@@ -163,15 +162,14 @@ def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            words = [unpack.decompress(z.as_py()).split() for z in b.column("z")]
-            shared = [s.values.to_numpy(zero_copy_only=False) for s in b.column("shared")]
-            names, places = [], []
-            for part in _groups([len(w) * 6 for w in words]):
-                ids, start = batch_ids(words[part])
+            packed, marks, names, places = b.column("z"), b.column("shared"), [], []
+            for part in _groups([4 * len(z.as_py()) for z in packed]):
+                words = [unpack.decompress(z.as_py()).split() for z in packed[part]]
+                ids, start = batch_ids(words)
                 anchor, name = anchors(ids, width).view(np.int64), windows(ids, width).view(np.int64)
-                for s, w, own in zip(start.tolist(), words[part], shared[part]):
+                for s, w, own in zip(start.tolist(), words, marks[part]):
                     n = max(0, len(w) - width + 1)
-                    at = np.flatnonzero(np.isin(anchor[s : s + n], own))
+                    at = np.flatnonzero(np.isin(anchor[s : s + n], own.values.to_numpy(zero_copy_only=False)))
                     names.append(name[s : s + n][at])
                     places.append(at.astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("z"), pa.array(names, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "z", "h", "p"])
