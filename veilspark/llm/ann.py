@@ -9,7 +9,9 @@ is searched best-first to find the centroids near a vector or query. A vector is
 posted to its nearest centroid and, if it lies on a boundary, to others almost as
 near that are not behind one already taken. A query reads the lists whose centroid
 is within a ratio of the nearest one's distance: few in dense regions, many where
-distances hardly differ. Scores are computed on the original vectors in double.
+distances hardly differ. The nearest FIRST lists are read first; their k-th best
+score is what a vector in the others must reach, so those yield few rows however
+many lists there are. Scores are computed on the original vectors in double.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.work import keep
 
-LIST, MOST, SAMPLE = 200, 2048, 20_000
+LIST, MOST, SAMPLE, FIRST = 200, 2048, 20_000, 4
 
 
 @dataclass
@@ -137,25 +139,26 @@ def _post(graph: Graph, replicas: int, closure: float):
 
 
 def _probe(graph: Graph, ratio: float, beam: int):
-    """Lists of each query: those within ``ratio`` times the nearest centroid's distance."""
+    """Lists of each query, nearest first: those within ``ratio`` times the nearest centroid's distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lists = [], []
+            ids, lists, turns = [], [], []
             q = graph.ask(np.array(b.column("q").to_pylist(), float).reshape(b.num_rows, -1)) if b.num_rows else np.empty((0, 0))
             for i, v in enumerate(q):
                 near, d = graph.search(v, beam, beam)
                 use = near[d <= ratio**2 * d[0] + 1e-12]
                 ids += [i] * len(use)
                 lists += use.tolist()
+                turns += range(len(use))
             rows = b.take(pa.array(ids, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *rows.columns], names=["list", "query_id", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(turns, pa.int32()), *rows.columns], names=["list", "turn", "query_id", "q"])
 
     return run
 
 
 def _scores(k: int):
-    """Each query's k best of one block of one list."""
+    """Each query's k best of one block of one list, from its ``floor`` on."""
 
     def run(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -166,8 +169,8 @@ def _scores(k: int):
             for part in np.array_split(np.arange(len(queries)), max(1, len(queries) // 512)):
                 q = np.stack(queries["q"].iloc[part].to_numpy()).astype(float)
                 s = q @ m.T
-                for row, qid in zip(s, queries["query_id"].iloc[part].tolist()):
-                    use = np.flatnonzero(ids != qid)
+                for row, qid, floor in zip(s, queries["query_id"].iloc[part].tolist(), queries["floor"].iloc[part].tolist()):
+                    use = np.flatnonzero((ids != qid) & (row >= floor - 1e-9))
                     if len(use) > k:
                         cut = np.partition(row[use], len(use) - k)[len(use) - k]
                         use = use[row[use] >= cut - 1e-9]
@@ -199,10 +202,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = 1.2
     posted = keep(good.mapInArrow(_post(graph, replicas, closure), f"list int, vec_id long, v {kind}"), "postings")
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = good.where(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
-    asked = asked.mapInArrow(_probe(graph, ratio, beam or len(graph.points)), f"list int, query_id long, q {kind}")
-    left = asked.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "query_id", "q")
-    right = posted.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("list", "block", "vec_id", "v")
-    found = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInPandas(_scores(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    asked = asked.mapInArrow(_probe(graph, ratio, beam or len(graph.points)), f"list int, turn int, query_id long, q {kind}")
+    asked = keep(asked, "probes")
+    members = posted.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("list", "block", "vec_id", "v")
+
+    def read(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "query_id", "q", "floor")
+        found = rows.groupBy("list", "block").cogroup(members.groupBy("list", "block")).applyInPandas(_scores(k), "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    first = keep(read(asked.where(F.col("turn") < FIRST).withColumn("floor", F.lit(float("-inf")))).withColumn("rank", rank).where(F.col("rank") <= k), "first")
+    floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    rest = asked.where(F.col("turn") >= FIRST).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    best = first.drop("rank").unionByName(read(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
