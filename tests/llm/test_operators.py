@@ -355,6 +355,12 @@ def test_licenses(spark):
     assert got["a/b/c/z.py"][:2] == ("CC-BY-4.0", "inherited") and got["q/w.py"][0] is None and got[None][0] is None and got["q/n.py"][0] is None
 
 
+def test_document_that_is_a_licence_licenses_its_directory(spark):
+    rows = [(1, "Licensed under the Apache License,\nVersion 2.0.", "en", "s"), (2, "plain words", "en", "s"), (3, "plain words", "fr", "s"), (4, "# Licensed under CC BY 4.0.\nx = 1", "en", "s"), (5, "other words", "en", "t")]
+    got = {r.doc_id: (r.license, r.origin, r.line) for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {1: ("Apache-2.0", "file", None), 2: ("Apache-2.0", "inherited", None), 3: (None, None, None), 4: ("CC-BY-4.0", "header", 0), 5: (None, None, None)}
+
+
 @pytest.mark.parametrize(
     "run",
     [

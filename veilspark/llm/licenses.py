@@ -1,9 +1,10 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance by path.
 
-A file's header lines, and the whole text of a file that is named as a licence
-file, are compared with licence templates as sparse vectors of word weights (term count times inverse document frequency over
+A file's header lines and its whole text are compared with licence templates as
+sparse vectors of word weights (term count times inverse document frequency over
 the templates; a word that no template has weighs the most). A line that is close
-enough gives the file its licence; a file that is a licence as a whole also
+enough gives the file its licence; a file that is a licence as a whole (named as
+a licence file, or no line of it is closer to a template than the whole) also
 licenses its directory. Files without a licence of their own take that of the
 nearest ancestor directory, found by joining the ancestors of paths with the
 licensed directories.
@@ -80,9 +81,9 @@ def _templates(spark: SparkSession) -> DataFrame:
 def match_units(files: DataFrame) -> DataFrame:
     """(path, line, license, score): each line that reaches LINE, and as line -1 each whole text that reaches FILE, with its best template."""
     spark = files.sparkSession
-    some = files.where(F.lower("text").rlike(TRIGGER))
+    some = keep(files.where(F.lower("text").rlike(TRIGGER)), "licence-texts")
     lines = some.select("path", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.lower("unit").rlike(TRIGGER))
-    units = lines.unionByName(some.where(F.col("path").rlike(NAMED)).select("path", F.lit(-1).alias("line"), F.col("text").alias("unit")))
+    units = lines.unionByName(some.select("path", F.lit(-1).alias("line"), F.col("text").alias("unit")))
     known = F.broadcast(spark.createDataFrame(list(_frequencies().items()), "term string, idf double"))  # as many rows as the templates have words
     words = units.select("path", "line", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(WORDS), F.lit(0))).alias("term"))
     tf = words.groupBy("path", "line", "term").agg(F.count("*").alias("n")).join(known, "term", "left")
@@ -112,6 +113,8 @@ def scan(files: DataFrame) -> DataFrame:
     """
     files = files.select(F.coalesce("path", F.lit("\u0000")).alias("path"), "text")
     found = keep(match_units(files.where("text is not null")), "units")
+    top = F.max(F.when(F.col("line") >= 0, F.col("score"))).over(Window.partitionBy("path"))
+    found = found.withColumn("top", top).where((F.col("line") >= 0) | F.col("path").rlike(NAMED) | (F.col("score") >= F.coalesce("top", F.lit(0.0)))).drop("top")
     rank = F.row_number().over(Window.partitionBy("path").orderBy((F.col("line") >= 0).cast("int"), F.desc("score"), "line"))
     own = found.withColumn("r", rank).where("r = 1").drop("r")
     own = own.select("path", "license", "score", F.when(F.col("line") >= 0, F.col("line")).alias("line"), F.when(F.col("line") < 0, "file").otherwise("header").alias("origin"))
