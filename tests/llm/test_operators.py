@@ -355,6 +355,22 @@ def test_licenses(spark):
     assert got["a/b/c/z.py"][:2] == ("CC-BY-4.0", "inherited") and got["q/w.py"][0] is None and got[None][0] is None and got["q/n.py"][0] is None
 
 
+def test_real_notices_reach_their_licence(spark):
+    import textwrap
+
+    wrap = lambda t, mark, n: "\n".join(mark + x for x in textwrap.wrap(t, n))
+    full = {k: t for k, t in licenses.MORE if "SPDX" not in t}
+    rows = [("s/a", "All rights reserved.\nx", "Proprietary"), ("s/b", "int a;\n// Licensed under the MIT License.\nint b;", "MIT"), ("s/c", "MIT License\n\nwords of another kind", "MIT"), ("s/d", "# SPDX-License-Identifier: GPL-2.0-or-later\nx", "GPL-2.0")]
+    for i, (mark, n) in enumerate([("# ", 70), (" * ", 76), ("// ", 60)]):
+        rows += [(f"h{i}/{k}", f"/*\n{wrap(full[k], mark, n)}\n\nint main() {{}}\nfoo bar\n", k) for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Apache-2.0", "MPL-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")]
+    mit = licenses.MORE[4][1]
+    rows += [("m/LICENSE", "MIT License\n\nCopyright (c) 2020 Jo Doe\n\n" + "\n\n".join(wrap(p, "", 78) for p in mit.split(" The above ")), "MIT"), ("m/x.py", "x", "MIT")]
+    rows += [("b/LICENSE", "Copyright (c) 2020, Jo Doe\nAll rights reserved.\n\n" + wrap(full["BSD-3-Clause"], "", 78), "BSD-3-Clause"), ("b/x.py", "x", "BSD-3-Clause"), ("n/x", "all the words about a license\nthat nobody reserved", None)]
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame([x[:2] for x in rows], "path string, text string")).collect()}
+    assert {p: got[p][0] for p, _, _ in rows} == {p: k for p, _, k in rows}
+    assert got["m/LICENSE"][1] == got["b/LICENSE"][1] == "file" and got["m/x.py"][1] == "inherited"
+
+
 def test_document_that_is_a_licence_licenses_its_directory(spark):
     rows = [(1, "Licensed under the Apache License,\nVersion 2.0.", "en", "s"), (2, "plain words", "en", "s"), (3, "plain words", "fr", "s"), (4, "# Licensed under CC BY 4.0.\nx = 1", "en", "s"), (5, "other words", "en", "t")]
     got = {r.doc_id: (r.license, r.origin, r.line) for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}

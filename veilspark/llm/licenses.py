@@ -1,6 +1,6 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance by path.
 
-A file's header lines and its whole text are compared with licence templates as
+A file's header lines, blocks of consecutive lines and its whole text are compared with licence templates as
 sparse vectors of word weights (term count times inverse document frequency over
 the templates; a word that no template has weighs the most). A line that is close
 enough gives the file its licence; a file that is a licence as a whole (named as
@@ -13,12 +13,16 @@ licensed directories.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.work import keep
+from veilspark.llm.work import arrow_rows, keep
 
 # Notices by which files state a licence.
 TEMPLATES = (
@@ -43,6 +47,35 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
 )
+_SPDX = (
+    "MIT ISC Unlicense CC0-1.0 Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 "
+    "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"
+).split()
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_MIT = TEMPLATES[1][1] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD_2 = TEMPLATES[9][1] + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_APACHE = TEMPLATES[3][1] + " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_APACHE_AS_IS = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_GNU = "This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
+_GNU_AS_IS = "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+_GNUS = (("GPL-2.0", "program", "General Public License", "2"), ("GPL-3.0", "program", "General Public License", "3"), ("LGPL-2.1", "library", "Lesser General Public License", "2.1"), ("LGPL-3.0", "library", "Lesser General Public License", "3"), ("AGPL-3.0", "program", "Affero General Public License", "3"))
+#: Full licence texts, headers as they stand in files, and short forms. Word weights stay those of TEMPLATES.
+MORE = (
+    ("Proprietary", "All rights reserved."),
+    ("MIT", "MIT License"), ("MIT", "Licensed under the MIT License."), ("MIT", _MIT), ("MIT", f"{_MIT} {_AS_IS}"), ("MIT", f"MIT License Copyright (c) {_MIT} {_AS_IS}"),
+    ("BSD-2-Clause", _BSD_2), ("BSD-2-Clause", f"{_BSD_2} {_BSD}"), ("BSD-3-Clause", _BSD_3), ("BSD-3-Clause", f"{_BSD_3} {_BSD}"),
+    ("Apache-2.0", _APACHE), ("Apache-2.0", f"{_APACHE} {_APACHE_AS_IS}"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", TEMPLATES[11][1] + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", TEMPLATES[18][1] + " Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    *((key, _GNU.format(what=what, mark=":", name=name, v=v)) for key, what, name, v in _GNUS),
+    *((key, _GNU.format(what=what, mark=":", name=name, v=v) + " " + _GNU_AS_IS.format(what=what, name=name)) for key, what, name, v in _GNUS),
+    *((re.sub("-(only|or-later)$", "", x), f"SPDX-License-Identifier: {x}") for x in _SPDX),
+)
+#: The first of MORE stands beside other licences too, so it counts only where a file has no other.
+WEAK = len(TEMPLATES)
 #: A line without any of these cannot reach the threshold against a template.
 TRIGGER = "licen[cs]|copyright|permission|redistribut|free software|unencumbered|public domain|rights reserved|proprietary|\\bcc0?\\b"
 LINE, FILE = 0.8, 0.8
@@ -51,17 +84,16 @@ NAMED = "(?i)(^|/)[^/]*(licen[cs]e|copying|notice|copyright)[^/]*$"
 WORDS = "[a-z0-9]+"
 
 
-def template_terms() -> list[tuple[int, str, str, float]]:
-    """(template, licence, term, weight) with weights of length one, and each term's inverse document frequency."""
-    import re
-
-    counts = [Counter(re.findall(WORDS, text.lower())) for _, text in TEMPLATES]
-    df = Counter(t for c in counts for t in c)
+def template_terms(more: tuple[tuple[str, str], ...] = ()) -> list[tuple[int, str, str, float]]:
+    """(template, licence, term, weight) of TEMPLATES and ``more``, with weights of length one. Frequencies are those in TEMPLATES."""
+    texts = TEMPLATES + more
+    counts = [Counter(re.findall(WORDS, text.lower())) for _, text in texts]
+    df = Counter(t for c in counts[: len(TEMPLATES)] for t in c)
     out = []
     for i, c in enumerate(counts):
         w = {t: n * idf(df[t]) for t, n in c.items()}
         size = math.sqrt(sum(v * v for v in w.values()))
-        out += [(i, TEMPLATES[i][0], t, v / size) for t, v in w.items()]
+        out += [(i, texts[i][0], t, v / size) for t, v in w.items()]
     return out
 
 
@@ -69,31 +101,50 @@ def idf(df: int) -> float:
     return math.log((1 + len(TEMPLATES)) / (1 + df)) + 1
 
 
-def _frequencies() -> dict[str, float]:
+def _frequencies(more: tuple[tuple[str, str], ...] = ()) -> dict[str, float]:
     df = Counter(t for _, _, t, _ in template_terms())
-    return {t: idf(n) for t, n in df.items()}
+    return {t: idf(df[t]) for _, _, t, _ in template_terms(more)}
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(template_terms(), "template int, license string, term string, weight double")
+    return spark.createDataFrame(template_terms(MORE), "template int, license string, term string, weight double")
+
+
+def blocks(path: str, text: str) -> Iterator[tuple[str, int, int, str]]:
+    """(path, first line, lines, text) of runs of two or more lines with words, all or none of them commented, that hold a trigger."""
+    lines, start = text.split("\n"), 0
+    kinds = [bool(re.match(r"\s*(?:[#/*;!%<>]|--|\"\"\"|'''|dnl |rem )", x, re.IGNORECASE)) if re.search("[A-Za-z0-9]", x) else None for x in lines]
+    while start < len(lines):
+        end = start + 1
+        while end < len(lines) and kinds[end] is kinds[start]:
+            end += 1
+        block = "\n".join(lines[start:end])
+        if end - start > 1 and kinds[start] is not None and re.search(TRIGGER, block.lower(), re.ASCII):
+            yield path, start, end - start, block
+        start = end
+
+
+_BLOCK = pa.schema([("path", pa.string()), ("line", pa.int32()), ("lines", pa.int32()), ("unit", pa.string())])
 
 
 def match_units(files: DataFrame) -> DataFrame:
-    """(path, line, license, score): each line that reaches LINE, and as line -1 each whole text that reaches FILE, with its best template."""
+    """(path, line, license, score, weak): each line and block of lines that reaches LINE, and as line -1 each whole text that reaches FILE, with its best template."""
     spark = files.sparkSession
     some = keep(files.where(F.lower("text").rlike(TRIGGER)), "licence-texts")
     lines = some.select("path", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.lower("unit").rlike(TRIGGER))
-    units = lines.unionByName(some.select("path", F.lit(-1).alias("line"), F.col("text").alias("unit")))
-    known = F.broadcast(spark.createDataFrame(list(_frequencies().items()), "term string, idf double"))  # as many rows as the templates have words
-    words = units.select("path", "line", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(WORDS), F.lit(0))).alias("term"))
-    tf = words.groupBy("path", "line", "term").agg(F.count("*").alias("n")).join(known, "term", "left")
+    units = lines.unionByName(some.select("path", F.lit(-1).alias("line"), F.col("text").alias("unit"))).withColumn("lines", F.lit(1))
+    units = units.unionByName(some.select("path", "text").mapInArrow(arrow_rows(blocks, _BLOCK, ["path", "text"]), "path string, line int, lines int, unit string"))
+    known = F.broadcast(spark.createDataFrame(list(_frequencies(MORE).items()), "term string, idf double"))  # as many rows as the templates have words
+    words = units.select("path", "line", "lines", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(WORDS), F.lit(0))).alias("term"))
+    tf = words.groupBy("path", "line", "lines", "term").agg(F.count("*").alias("n")).join(known, "term", "left")
     tf = tf.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(idf(0))))
-    sizes = tf.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = tf.where("idf is not null").join(F.broadcast(_templates(spark)), "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(sizes, ["path", "line"]).withColumn("score", F.round(F.col("dot") / F.col("size"), 6))
+    sizes = tf.groupBy("path", "line", "lines").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = tf.where("idf is not null").join(F.broadcast(_templates(spark)), "term").groupBy("path", "line", "lines", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(sizes, ["path", "line", "lines"]).withColumn("score", F.round(F.col("dot") / F.col("size"), 6))
     good = scored.where(F.col("score") >= F.when(F.col("line") < 0, F.lit(FILE)).otherwise(F.lit(LINE)))
-    best = F.row_number().over(Window.partitionBy("path", "line").orderBy(F.desc("score"), "template"))
-    return good.withColumn("r", best).where("r = 1").select("path", "line", "license", "score")
+    good = good.withColumn("weak", (F.col("template") == WEAK).cast("int"))
+    best = F.row_number().over(Window.partitionBy("path", "line").orderBy("weak", F.desc("score"), "template", "lines"))
+    return good.withColumn("r", best).where("r = 1").select("path", "line", "license", "score", "weak")
 
 
 def _parent(path: Column) -> Column:
@@ -103,7 +154,7 @@ def _parent(path: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """path, license, score, line, origin for every row of files (path, text).
 
-    origin is "header" (a line, the best; the first of equals), "file" (the whole
+    origin is "header" (a line or a block by its first line, the best; the first of equals), "file" (the whole
     text is a licence), "inherited" (from the nearest directory above that holds
     a licence file; of several files there the one with the least path) or null.
     line is the header's line, from 0. Null and empty texts have no licence of
@@ -115,7 +166,7 @@ def scan(files: DataFrame) -> DataFrame:
     found = keep(match_units(files.where("text is not null")), "units")
     top = F.max(F.when(F.col("line") >= 0, F.col("score"))).over(Window.partitionBy("path"))
     found = found.withColumn("top", top).where((F.col("line") >= 0) | F.col("path").rlike(NAMED) | (F.col("score") >= F.coalesce("top", F.lit(0.0)))).drop("top")
-    rank = F.row_number().over(Window.partitionBy("path").orderBy((F.col("line") >= 0).cast("int"), F.desc("score"), "line"))
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("weak", (F.col("line") >= 0).cast("int"), F.desc("score"), "line"))
     own = found.withColumn("r", rank).where("r = 1").drop("r")
     own = own.select("path", "license", "score", F.when(F.col("line") >= 0, F.col("line")).alias("line"), F.when(F.col("line") < 0, "file").otherwise("header").alias("origin"))
     dirs = own.where((F.col("origin") == "file") & (F.col("path") != "\u0000")).groupBy(_parent(F.col("path")).alias("dir"))
