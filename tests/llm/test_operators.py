@@ -346,6 +346,19 @@ def test_pages(spark):
     assert got[90].text == got[91].text == "" and got[92].text == "plain words only" and got[93].text == "Alpha beta gamma delta. Second one." and got[94].text == "deep"
 
 
+def test_template_is_counted_over_all_pages_of_a_layout(spark):
+    page = '<html><body><div class="ad">Buy {0}</div><div class="{1}"><h2>{2}</h2>{3}<p>{4}</p></div></body></html>'
+    copy = "".join(f"<p>Long paragraph number {j} of the one article that was copied.</p>" for j in range(8))
+    rows = [(i, page.format(f"x{i}", "a", "Copied", copy, "Layout a says hello.")) for i in range(40)]  # copies that differ in the advert alone
+    rows += [(100 + i, page.format(i, "a", f"Short {i}", f"<p>Only text of page {i} here.</p>", "Layout a says hello.")) for i in range(4)]
+    rows += [(200 + i, page.format(i, "b", f"Other {i}", f"<p>Own words of page {i} there.</p>", "Layout b says goodbye.")) for i in range(4)]
+    table_ = spark.createDataFrame([(i, f"http://h.org/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(table_).collect()}
+    copied = " ".join(f"Long paragraph number {j} of the one article that was copied." for j in range(8))
+    assert all(got[i] == f"Copied {copied}" for i in range(40))
+    assert all(got[100 + i] == f"Short {i} Only text of page {i} here." and got[200 + i] == f"Other {i} Own words of page {i} there." for i in range(4))
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", licenses.TEMPLATES[0][1]), ("a/x.py", "code\ncode"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("a/b/c/z.py", ""), ("q/w.py", "the copyright owner sleeps"), ("q/n.py", None), (None, "x"), ("a/b/c/LICENSE", "Licensed under CC BY 4.0."),

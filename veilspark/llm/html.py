@@ -1,24 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. A bounded sample of each host's distinct pages
-is parsed into trees and aligned by simple tree matching: the largest set of
-matched nodes that keeps order and ancestry. Aligned nodes whose text never
-changes are template; the others are slots. The wrapper names the container that
-holds the slots' running text and the constant nodes inside it. Each page is then
-read through its host's wrapper; a page where the container is missing is
-read by a wrapper of its own.
+Pages of one host share templates. Every page is parsed into a tree, and nodes
+with equal path and text are counted over all pages of the host. A node is template
+if SHARE of the distinct articles that have its path have its text there too, so
+each layout is judged by the pages that have it and copies of an article count
+once. A page's container is what holds the running text that is no template; where
+pages of one layout disagree, the commonest container holds for all of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.work import keep
@@ -33,6 +33,10 @@ CLOSES_P = BLOCK - {"br", "option", "title", "caption", "legend", "summary"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 MAX_DEPTH = 200
+#: Part of a path's distinct articles, and their least number, that make an equal text template.
+SHARE, LEAST = 0.5, 3
+SECTIONS = frozenset("body div section td center article main".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 
 
 class Node:
@@ -109,35 +113,6 @@ def dropped(node: Node, inside: bool) -> bool:
     return bool(node.mark) and node.tag not in ("html", "body", "article", "main") and bool(NOT_TEXT_WORDS.search(node.mark))
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: pairs of a largest order-keeping alignment."""
-    if a.sign != b.sign:
-        return []
-    x, y = a.nodes(), b.nodes()
-    head, tail = [], []  # equal ends need no table
-    while x and y and not x[0].nodes() and not y[0].nodes() and x[0].sign == y[0].sign:
-        head.append((x[0], y[0]))
-        x, y = x[1:], y[1:]
-    while x and y and not x[-1].nodes() and not y[-1].nodes() and x[-1].sign == y[-1].sign:
-        tail.append((x[-1], y[-1]))
-        x, y = x[:-1], y[:-1]
-    pairs = [[match(p, q) for q in y] for p in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + len(pairs[i][j]))
-    out, i, j = [(a, b), *head, *tail], len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out += pairs[i][j]
-    return out
-
-
 def _walk(node: Node, path: tuple[str, ...], inside: bool) -> Iterator[tuple[Node, tuple[str, ...], bool]]:
     """Nodes that may hold article text, with their paths from the root."""
     for child in node.nodes():
@@ -148,52 +123,67 @@ def _walk(node: Node, path: tuple[str, ...], inside: bool) -> Iterator[tuple[Nod
             yield from _walk(child, here, within)
 
 
-def induce(pages: list[str]) -> str:
-    """A wrapper, as JSON, from pages of one host: the container's path and constant (path, text) inside it."""
-    trees = [parse(p) for p in pages]
-    base = trees[0]
-    same: dict[int, list[bool]] = {}
-    for other in trees[1:]:
-        for p, q in match(base, other):
-            same.setdefault(id(p), []).append(p.own() == q.own())
+def _key(x: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def constants(html: str) -> tuple[int, set[tuple[int, int]]]:
+    """A page's article, by its first heading and longest text, and the (path, text) of its nodes that may be template."""
+    head, longest, out = "", "", set()
+    for node, path, _ in _walk(parse(html), (), False):
+        if text := node.own():
+            if node.tag in HEADINGS:
+                head = head or text
+            else:
+                out.add((_key(path), _key(text)))
+            if node.tag != "a" and len(text) > len(longest):
+                longest = text
+    return _key((head, longest)), out
+
+
+def container(root: Node, fixed: frozenset[tuple[int, int]]) -> tuple[int, tuple[str, ...]]:
+    """A page's layout, by its outer sections, and the path of the container of its running text."""
     weight: dict[tuple[str, ...], int] = {}
-    fixed: list[tuple[tuple[str, ...], str]] = []
-    for node, path, _ in _walk(base, (), False):
-        text, seen = node.own(), same.get(id(node), [])
-        if text and len(seen) >= 2 and all(seen):
-            fixed.append((path, text))
-        elif text and node.tag != "a":
+    outer: set[tuple[str, ...]] = set()
+    for node, path, _ in _walk(root, (), False):
+        if node.tag in SECTIONS and len(path) <= 4:
+            outer.add(path)
+        text = node.own()
+        if text and node.tag != "a" and (node.tag in HEADINGS or not fixed or (_key(path), _key(text)) not in fixed):
             for k in range(1, len(path) + 1):
                 weight[path[:k]] = weight.get(path[:k], 0) + len(text)
+    layout = _key(sorted(outer))
     if not weight:
-        return json.dumps({"path": [], "fixed": []})
+        return layout, ()
     named = [p for p in weight if p[-1].split("|")[0] in ("article", "main") or "main" in p[-1].split("|")[1].split()]
     if named:
         path = max(named, key=lambda p: (weight[p], -len(p)))
         inner = [p for p in named if p[: len(path)] == path and p[-1].startswith("article|") and weight[p] >= 0.5 * weight[path]]
-        path = max(inner, key=len, default=path)
-    else:
-        total = max(weight.values())
-        path = max((p for p in weight if weight[p] >= 0.8 * total and p[-1].split("|")[0] in ("body", "div", "section", "td", "center")), key=len, default=())
-    keep_fixed = [[list(p), t] for p, t in fixed if p[: len(path)] == path and p[-1].split("|")[0] not in ("h1", "h2", "h3")]
-    return json.dumps({"path": list(path), "fixed": keep_fixed})
+        return layout, max(inner, key=len, default=path)
+    total = max(weight.values())
+    return layout, max((p for p in weight if weight[p] >= 0.8 * total and p[-1].split("|")[0] in ("body", "div", "section", "td", "center")), key=len, default=())
 
 
-def extract(html: str | None, wrapper: str | None) -> str:
-    """The page's text through a wrapper; without one that fits, through its own."""
+@lru_cache(maxsize=256)
+def _wrapper(fixed: str | None, votes: str | None) -> tuple[frozenset[tuple[int, int]], dict[int, tuple[str, ...]]]:
+    return frozenset((x["p"], x["t"]) for x in json.loads(fixed or "[]")), {x["layout"]: tuple(json.loads(x["path"])) for x in json.loads(votes or "[]")}
+
+
+def extract(html: str | None, fixed: str | None = None, votes: str | None = None) -> str:
+    """The page's text through its host's wrapper: template nodes, and containers of layouts whose pages disagree, as JSON."""
     if not html or not html.strip():
         return ""
+    constant, agreed = _wrapper(fixed, votes)
     root = parse(html)
-    spec = json.loads(wrapper) if wrapper else None
-    found = _containers(root, tuple(spec["path"])) if spec else []
+    layout, own = container(root, constant)
+    at = agreed.get(layout, own)
+    found = _containers(root, at)
     if not found:
-        spec = json.loads(induce([html]))
-        found = _containers(root, tuple(spec["path"]))
-    fixed = {(tuple(p), t) for p, t in spec["fixed"]}
+        at, found = own, _containers(root, own)
     parts: list[str] = []
 
     def gather(node: Node, path: tuple[str, ...]) -> None:
-        if fixed and (path, node.own()) in fixed:
+        if constant and node.tag not in HEADINGS and (_key(path), _key(node.own())) in constant:
             for c in node.nodes():
                 if not dropped(c, True):
                     gather(c, (*path, c.sign))
@@ -209,7 +199,7 @@ def extract(html: str | None, wrapper: str | None) -> str:
 
     for node in found:
         parts.append(" ")
-        gather(node, tuple(spec["path"]))
+        gather(node, at)
     return " ".join("".join(parts).split())
 
 
@@ -220,33 +210,42 @@ def _containers(root: Node, path: tuple[str, ...]) -> list[Node]:
     return level
 
 
-def main_text(pages: DataFrame, sample: int = 6) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
-    A host's wrapper is induced from at most ``sample`` of its distinct pages,
-    those with the smallest hashes, so a host with a third of all rows costs its
-    wrapper no more than another. Null and empty pages have empty text; pages
+    All pages of a host are counted for its wrapper; a host with a third of all
+    rows is counted in parts. Null and empty pages have empty text; pages
     without a host share the empty host. Repeated rows and null ids keep their
     own rows; an empty table gives an empty result; other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("html").alias("h"))
-    marks = rows.where("html is not null").select("host", "h").distinct()
-    for part in (F.pmod("h", F.lit(256)), F.lit(0)):  # the least hashes, first within parts so that no task sorts a whole host
-        rank = F.row_number().over(Window.partitionBy("host", "part").orderBy("h"))
-        marks = marks.withColumn("part", part).withColumn("r", rank).where(F.col("r") <= sample).select("host", "h")
-    marks = keep(marks, "sample")
-    chosen = rows.join(marks, ["host", "h"]).groupBy("host", "h").agg(F.min("html").alias("html"))
+    rows = pages.select("page_id", "url", "html", host.alias("host"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(h, article, p, t) for h, x in zip(b.column("host").to_pylist(), b.column("html")) for article, pairs in [constants(x.as_py())] for p, t in pairs]
+            hosts, *ids = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(c, pa.int64()) for c in ids]], names=["host", "article", "p", "t"])
+
+    seen = keep(rows.where("html is not null").select("host", "html").mapInArrow(count, "host string, article long, p long, t long").distinct(), "nodes")
+    articles = seen.select("host", "p", "article").distinct().groupBy("host", "p").agg(F.count("*").alias("articles"))
+    fixed = seen.groupBy("host", "p", "t").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).join(articles, ["host", "p"]).where(F.col("n") >= SHARE * F.col("articles"))
+    fixed = keep(fixed.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("p", "t")))).alias("fixed")), "template")
+    rows = rows.join(fixed, "host", "left")
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [induce(pdf.sort_values("h")["html"].tolist())]})
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [container(parse(x.as_py()), _wrapper(f.as_py(), None)[0]) for x, f in zip(b.column("html"), b.column("fixed"))]
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([g[0] for g in got], pa.int64()), pa.array([json.dumps(g[1]) for g in got], pa.string())], names=["host", "layout", "path"])
 
-    wrappers = keep(chosen.groupBy("host").applyInPandas(one, "host string, wrapper string"), "wrappers")
+    votes = rows.where("html is not null").select("host", "html", "fixed").mapInArrow(vote, "host string, layout long, path string").groupBy("host", "layout", "path").agg(F.count("*").alias("n"))
+    votes = votes.groupBy("host", "layout").agg(F.count("*").alias("paths"), F.min(F.struct(-F.col("n"), F.length("path"), F.col("path").alias("path"))).alias("best")).where("paths > 1")
+    votes = keep(votes.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("layout", F.col("best.path").alias("path"))))).alias("votes")), "votes")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [extract(h.as_py(), w.as_py()) for h, w in zip(b.column("html"), b.column("wrapper"))]
+            text = [extract(h.as_py(), f.as_py(), v.as_py()) for h, f, v in zip(b.column("html"), b.column("fixed"), b.column("votes"))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.join(votes, "host", "left").select("page_id", "url", "html", "fixed", "votes").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
