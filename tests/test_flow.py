@@ -78,3 +78,19 @@ def test_duplicates(spark):
 def test_entry_names():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_read_whole_texts_and_tables(spark, tmp_path):
+    from veilspark.plans import catalog
+
+    spark.createDataFrame([(1, "a" * 300 + "bc"), (2, "a" * 300 + "bd e")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalog.QUERIES["error_rates"](spark, str(tmp_path)).collect()
+    assert [(r.item_id, r.cer, r.wer) for r in got] == [(1, round(3 / 304, 6), 1.5)]
+    # part keys draw phrases 10 ("agreement") twice, then 9 (a whole agreement): the third line decides
+    spark.createDataFrame([(7, 10, 1), (7, 10, 2), (7, 9, 3)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = [(1, "Medical record. Patient diagnosis by the physician."), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.document_type, r.confidence) for r in catalog.QUERIES["classify_documents"](spark, str(tmp_path)).collect()}
+    texts = [*rows, (-8, " ".join(catalog._PHRASES[i] for i in (10, 10, 9)))]
+    assert found == {r.doc_id: (r.document_type, r.confidence) for r in documents.classify(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found[-8][0] != "UNKNOWN" and found[1][0] != "UNKNOWN"

@@ -90,7 +90,7 @@ def classify_domain(spark, sf_dir):
     return documents.classify_domain(read(spark, sf_dir, "documents").select("doc_id", "text").unionByName(made))
 
 
-#: Texts with document signals: two phrases drawn by an order's lines.
+#: Texts with document signals: a phrase drawn by each of an order's lines. Classified besides the documents, under -l_orderkey - 1.
 _PHRASES = ("bank statement with account number and ifsc", "tax invoice bill to amount due", "sales receipt cashier change due", "medical record patient diagnosis physician", "lab report specimen reference range", "prescription rx dosage refill pharmacy", "insurance policy number claim number premium", "form 1099 tax year wages", "passport date of birth nationality", "this agreement whereas governing law signed by", "agreement", "branch and rate")
 
 
@@ -114,9 +114,9 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id AND rn = 1"""
 @query(_classified_sql())
 def classify_documents(spark, sf_dir):
     phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("l_partkey") % 12 + 1).cast("int"))
-    lines = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", phrase.alias("p"))
+    lines = read(spark, sf_dir, "lineitem").select((-F.col("l_orderkey") - 1).alias("doc_id"), "l_linenumber", phrase.alias("p"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "p"))), lambda x: x["p"]), " ")
-    return documents.classify(lines.groupBy("doc_id").agg(text.alias("text")))
+    return documents.classify(read(spark, sf_dir, "documents").select("doc_id", "text").unionByName(lines.groupBy("doc_id").agg(text.alias("text"))))
 
 
 @query()
@@ -291,7 +291,7 @@ def match_gold(spark, sf_dir):
 @query("""WITH p AS (SELECT a.item_id, substr(regexp_replace(a.text, '[^ -~]', '', 'g'), 1, 300) AS x, substr(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 300) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
 SELECT item_id, round(levenshtein(x, y) / greatest(length(y), 1), 6) AS cer, round(levenshtein(x, y) / greatest(len(regexp_extract_all(y, '\\S+')), 1), 6) AS wer FROM p""".replace("\\\\", "\\"))
 def error_rates(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 300).alias("x"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("x"))
     pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("x").alias("y")), "item_id")
     cer, wer = evaluate.error_rates(F.col("x"), F.col("y"))
     return pairs.select("item_id", cer.alias("cer"), wer.alias("wer"))
