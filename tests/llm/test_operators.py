@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -334,6 +335,21 @@ def test_ann_small_tables(spark):
     assert [r.vec_id for r in got] == [1, 2, 3, 4]
 
 
+def test_ann_lone_vectors_find_k(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(12, 16))
+    x = np.r_[centres.repeat(170, 0) + 0.01 * r.normal(size=(2040, 16)), r.normal(size=(60, 16))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph = ann.Graph(x[[0, 2040, 2041, 170]], np.array([[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]]), np.array([0]), 1.0)
+    graph.points = np.c_[graph.points, np.zeros(4)]
+    sizes = np.array([900, 1, 2, 900])
+    lists = next(iter(ann._probe(graph, 1.24, 4, sizes, 84)(iter([pa.RecordBatch.from_pydict({"query_id": [2040], "q": [x[2040].tolist()]})]))))["list"].to_pylist()
+    assert lists[0] == 1 and sizes[lists].sum() >= 84
+    got = ann.nearest(table_, F.col("vec_id") >= 2040).groupBy("query_id").count().collect()
+    assert len(got) == 60 and all(g["count"] == 20 for g in got)
+
+
 PAGE = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>{0}</a></ul></nav><div class="ad">Buy {1}</div><article><h1>{2}</h1><p><b>{3}<br><p>x&amp;y {4}</article><div id=comments>hm {5}</div><footer>&copy; us {6}</footer>'
 
 

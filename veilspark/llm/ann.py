@@ -138,8 +138,9 @@ def _post(graph: Graph, replicas: int, closure: float):
     return run
 
 
-def _probe(graph: Graph, ratio: float, beam: int):
-    """Lists of each query, nearest first: those within ``ratio`` times the nearest centroid's distance."""
+def _probe(graph: Graph, ratio: float, beam: int, sizes: np.ndarray, enough: int):
+    """Lists of each query, nearest first: those within ``ratio`` times the
+    nearest centroid's distance, and further ones until they have ``enough`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,6 +149,11 @@ def _probe(graph: Graph, ratio: float, beam: int):
             for i, v in enumerate(q):
                 near, d = graph.search(v, beam, beam)
                 use = near[d <= ratio**2 * d[0] + 1e-12]
+                if sizes[use].sum() < enough:
+                    far = np.argsort(((graph.points - v) ** 2).sum(1), kind="stable")
+                    far = far[~np.isin(far, use)]
+                    missing = enough - sizes[use].sum()
+                    use = np.r_[use, far[: np.searchsorted(np.cumsum(sizes[far]), missing) + 1]]
                 ids += [i] * len(use)
                 lists += use.tolist()
                 turns += range(len(use))
@@ -202,7 +208,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = 1.2
     posted = keep(good.mapInArrow(_post(graph, replicas, closure), f"list int, vec_id long, v {kind}"), "postings")
     blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = good.where(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"])
-    asked = asked.mapInArrow(_probe(graph, ratio, beam or len(graph.points)), f"list int, turn int, query_id long, q {kind}")
+    # a vector is in at most ``most`` lists, so lists with most * (k + 1) rows hold k others than the query
+    ids = posted.select("list", "vec_id").distinct()
+    sizes = np.zeros(len(graph.points), np.int64)
+    for r in ids.groupBy("list").agg(F.count("*").alias("n")).collect():  # as many rows as there are centroids
+        sizes[r["list"]] = r["n"]
+    most = ids.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    asked = asked.mapInArrow(_probe(graph, ratio, beam or len(graph.points), sizes, most * (k + 1)), f"list int, turn int, query_id long, q {kind}")
     asked = keep(asked, "probes")
     members = posted.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("list", "block", "vec_id", "v")
 
