@@ -74,11 +74,14 @@ def plan(docs: DataFrame, entropy: float, repeats: float, budget: float | None,
     shares = t.where("t > 0").select("t", (F.col("t") / F.lit(float(max(total, 1)))).alias("p"))
     a = exponent(shares, entropy, repeats, budget) if total else 1.0
     z, largest = (shares.agg(F.sum(F.pow("p", F.lit(a))), F.max("p")).first()) if total else (1.0, 1.0)
-    if budget is None:
+    whole = budget is None
+    if whole:
         budget = total * z * largest ** (1 - a)
-    weight = F.when(F.col("t") > 0, F.round(F.pow(F.col("t") / F.lit(float(max(total, 1))), F.lit(a)) / F.lit(z), 12)).otherwise(F.lit(0.0))
-    quota = F.when(F.col("t") > 0, F.floor(F.lit(float(budget)) * F.col("weight") * (1 + 1e-9))).otherwise(F.lit(0))
-    out = t.withColumn("weight", weight).withColumn("quota", quota.cast("long"))
+    weight = F.when(F.col("t") > 0, F.pow(F.col("t") / F.lit(float(max(total, 1))), F.lit(a)) / F.lit(z)).otherwise(F.lit(0.0))
+    quota = F.when(F.col("t") > 0, F.floor(F.lit(float(budget)) * F.col("weight") * (1 + 1e-9))).otherwise(F.lit(0)).cast("long")
+    if whole:
+        quota = F.greatest(quota, F.col("t"))
+    out = t.withColumn("weight", weight).withColumn("quota", quota).withColumn("weight", F.round("weight", 12))
     out = out.withColumn("epochs", F.when(F.col("t") > 0, F.floor(F.col("quota") / F.col("t"))).otherwise(F.lit(1)).cast("int"))
     return out.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("t")).withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long"))
 
