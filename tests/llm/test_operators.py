@@ -223,6 +223,16 @@ def test_candidates_are_learned(spark):
     assert spans[0].startswith("secret:") and "number:11:23" in spans[1] and spans[2].startswith("name:") and spans[3:] == ["", "", ""]
 
 
+def test_numbers_before_digits_and_short_secrets_are_proposed(spark):
+    texts = ["call 555-123-4567 3pm", "SSN 123-45-6789 2nd page", "phone (555) 123-4567 24h", "call 555-123-4567 2", "ssn 2 123-45-6789 2", "account 1234 5678 9012", 'password = "hunter"', "secret: correcthorse", "mobile 555.123.4567."]
+    want = ["555-123-4567", "123-45-6789", "(555) 123-4567", "555-123-4567", "123-45-6789", "1234 5678 9012", "hunter", "correcthorse", "555.123.4567"]
+    cut = pii._scanned(table(spark, texts), pii.PROPOSED).orderBy("doc_id").collect()
+    for r, w in zip(cut, want):
+        assert w in [*r.v_number, *r.v_secret], (r.text, r.v_number, r.v_secret)
+    left = [r.text for r in pii.redact(table(spark, texts[:5])).orderBy("doc_id").collect()]
+    assert not [t for t in left if re.search("4567|6789", t)]
+
+
 # ---- the others -----------------------------------------------------------------------
 
 
@@ -252,6 +262,11 @@ def test_mixing_takes_whole_epochs_and_keeps_to_its_budget(spark):
         assert abs(sum(size[i] for ids in epochs.values() for i in ids) - weight[source] * budget) <= 40 * (len(weight) + 1)
 
 
+def test_mixing_many_equal_sources_lose_nothing(spark):
+    rows = [(i, "w " * (1000 + i % 3), "en", f"s{i:05d}", 0, "k", "z", "x") for i in range(6000)]
+    assert mixing.mix_sources(spark.createDataFrame(rows, DOCS)).select("doc_id").distinct().count() == 6000
+
+
 def test_mixing_odd_tables(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0
     got = mixing.mix_sources(table(spark, ODD), columns=["text", "z"])

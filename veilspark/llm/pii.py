@@ -29,8 +29,12 @@ EMAIL = _RUN % r"A-Za-z0-9._%+\-" + r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A
 IP = _RUN % "0-9" + r"[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20\-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
-TOKEN = _RUN % r"A-Za-z0-9_\-" + r"(?=[A-Za-z_\-]*+[0-9])[A-Za-z0-9_\-]{12,}+"
-NUMBER = r"(?<![A-Za-z0-9_])\(?[0-9](?:[\x20().\-/]{0,3}+[0-9]){6,}+(?![A-Za-z0-9_])"
+SECRET_WORD = r"(?i:token|secret|passw(?:or)?d|passphrase|api[_\x20\-]?key|auth|credentials?)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?"
+TOKEN = rf"(?:(?<=[=:\x20\"'])(?<=[=:]\x20{{0,2}}[\"']?)(?<={SECRET_WORD})[^\s\"'<>,;=:]{{4,}}+|" + _RUN % r"A-Za-z0-9_\-" + r"(?=[A-Za-z_\-]*+[0-9])[A-Za-z0-9_\-]{12,}+)"
+# a number shape ends before a space or mark; the long run stops at its last whole digit group and before a shape
+_SHAPE = r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:\([0-9]{3}\)\x20?|[0-9]{3}[\-.\x20])[0-9]{3}[\-.][0-9]{4})(?![A-Za-z0-9_]|[.\-/][0-9])"
+_GROUP = r"[0-9]++(?![A-Za-z_])"
+NUMBER = rf"(?<![A-Za-z0-9_])(?:(?<![0-9][.\-/]){_SHAPE}|(?=\(?[0-9](?:(?!\x20{_SHAPE})[\x20().\-/]{{0,3}}+[0-9]){{6}})\(?{_GROUP}(?:(?!\x20{_SHAPE})[\x20().\-/]{{1,3}}+{_GROUP})*+)"
 NAME = r"(?:Mr|Mrs|Ms|Dr|Prof|Name|Contact|Patient)[.:]{1}+\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++){0,2}+"
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 CONTEXT = 24
@@ -66,8 +70,8 @@ BASE = (
     Kind("phone", PHONE, lambda t: t.contains("+"), lambda v: F.length(_digits(v)).between(9, 15)),
 )
 PROPOSED = (
-    Kind("secret", TOKEN, _has_digit, lambda v: F.lit(True)),
-    Kind("number", NUMBER, _has_digit, lambda v: F.lit(True)),
+    Kind("secret", TOKEN, lambda t: _has_digit(t) | t.rlike(SECRET_WORD), lambda v: F.lit(True)),
+    Kind("number", NUMBER, _has_digit, lambda v: F.length(_digits(v)) >= 7),
     Kind("name", NAME, lambda t: t.rlike(r"(?:Mr|Mrs|Ms|Dr|Prof|Name|Contact|Patient)[.:] "), lambda v: F.lit(True)),
 )
 RANK = {k.name: i for i, k in enumerate(BASE + PROPOSED)}
@@ -259,7 +263,7 @@ def _proposals(k: Kind) -> Column:
         f = _features(k.name, r["v"], left)
         return F.struct((r["e"] - F.length(r["v"])).alias("start"), F.lit(RANK[k.name]).alias("rank"), r["e"].alias("end"), F.lit(k.name).alias("kind"), F.struct(*[c.alias(n) for n, c in f.items()]).alias("f"))
 
-    return F.transform(rows, one)
+    return F.transform(F.filter(rows, lambda r: k.valid(r["v"])), one)
 
 
 def _added(k: Kind, model: Boosted) -> Column:
@@ -305,7 +309,7 @@ def _rewriter(k: Kind, model: Boosted) -> Callable[[Column, Column], Column]:
         ok = k.valid(m)
         if k in PROPOSED:
             left = F.substring(s, F.greatest(gap - CONTEXT + 1, F.lit(1)), F.least(gap, F.lit(CONTEXT)))
-            ok = model.column(_features(k.name, m, left)) >= model.threshold
+            ok = ok & (model.column(_features(k.name, m, left)) >= model.threshold)
         return F.when(ok, F.concat(F.substring(s, F.lit(1), gap), F.lit(f"[{k.name.upper()}]"))).otherwise(s)
 
     return rewrite
