@@ -1,21 +1,24 @@
 """Near-duplicates by a signature-coordinate inverted join.
 
-1. One pass makes each document's shingle set, a MinHash signature, a sketch
-   (the set's hashes that end in ``level`` zero bits, the whole set at level 0)
-   and a key of the set. Documents with equal sets become one class at once.
+1. One pass makes each document's shingle set, a MinHash signature and a key of
+   the set. Documents with equal sets become one class at once; from here on a
+   class is its smallest doc_id.
 2. Classes are posted under each (coordinate, value). Coordinates are ordered by
    how many classes share them; two classes that agree on at least MATCHES
-   coordinates still agree on one after each drops its MATCHES - 1 commonest, so
-   those are skipped. What a common passage puts into thousands of signatures
+   coordinates still agree on one after each skips its MATCHES - 1 commonest, so
+   those are not posted. What a common passage puts into thousands of signatures
    falls away here.
 3. Postings with the same members are merged. Members of a posting meet in one
-   task, or in one task per pair of blocks if they are many. Sketches decide
-   there: exactly where both are whole sets; otherwise they only rule out pairs
-   five standard errors below the threshold.
-4. What sketches cannot decide is confirmed on full sets. The first round takes a
-   spanning forest of the likely pairs, the second every pair that may link two
-   components left apart, so no link that matters is lost and a large group does
-   not become all of its pairs.
+   task, where collisions are counted: on how many coordinates two signatures
+   agree. Pairs with MATCHES or more, and set sizes that allow the threshold, are
+   retained. What leaves the task is not the pairs but the pieces they connect: a
+   row for each member.
+4. Full sets of a piece's members meet once, and retained pairs are confirmed in
+   the order of their counts. A pair whose ends are connected by then is not
+   needed, so a piece of m members yields m - 1 links at most.
+5. A posting of more than BLOCK members is first dealt into blocks, by another
+   hash in each posting. Only if its members are in several components after that
+   do its blocks meet pairwise, and then only pairs of different components count.
 
 With COORDS = 32 and MATCHES = 12 a pair at similarity 0.75 agrees on fewer than
 MATCHES coordinates with probability below 1e-5 (binomial tail).
@@ -26,19 +29,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.graph import components
-from veilspark.llm.work import drop, keep
+from veilspark.llm.work import by_group, drop, join_counted, keep
 from veilspark.llm.words import mix, shingles
 
 COORDS, MATCHES = 32, 12
-SKETCH = 256
-BLOCK = 2048
+BLOCK = 1024
 MERGE = 64
 _SALT = mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
 _XOR, _ODD = _SALT[:COORDS], _SALT[COORDS:] | np.uint64(1)
@@ -50,55 +51,35 @@ def signature(s: np.ndarray) -> np.ndarray:
     return mix(low ^ mix(_SALT[:COORDS])).view(np.int64)
 
 
-def sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
-    """Smallest level at which at most SKETCH hashes remain, and those hashes."""
-    level = 0
-    while len(s) > SKETCH:
-        level += 1
-        s = s[s & np.uint64((1 << level) - 1) == 0]
-    return level, s
-
-
 def describe(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (set size), key (a digest of the set) and signature of every row; wordless texts have n 0 and no key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            n, key, sig = [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py(), width)
-                level, sk = sketch(s)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s) if len(s) else None, level, sk.tobytes()))
-            n, key, sig, level, sk = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(level, pa.int32()), pa.array(sk, pa.binary())],
-                names=["doc_id", "n", "key", "sig", "level", "sketch"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key binary, sig array<long>, level int, sketch binary")
-
-
-def _linked(inter: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
-
-
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all sets of a block: products of 0/1 columns, a slab at a time."""
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    every = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, count = np.unique(every, return_inverse=True, return_counts=True)
-    shared = count > 1
-    name = np.cumsum(shared) - 1
-    use = shared[column]
-    row, column = row[use], name[column[use]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for start in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, [start, start + 4096])
-        slab = np.zeros((len(sets), 4096), np.float32)
-        slab[row[a:b], column[a:b] - start] = 1
-        out += slab @ slab.T
-    np.fill_diagonal(out, [len(x) for x in sets])
-    return out.astype(np.int64)
+                n.append(len(s))
+                key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sig.append(signature(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "n", "key", "sig"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key binary, sig array<long>")
+
+
+def collisions(sig: np.ndarray) -> np.ndarray:
+    """On how many coordinates each two rows of a signature matrix agree."""
+    out = np.zeros((len(sig), len(sig)), np.uint8)
+    for column in sig.T:
+        out += column[:, None] == column[None, :]
+    return out
+
+
+def retained(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> np.ndarray:
+    """Collision counts of pairs that may link: MATCHES at least, set sizes near enough, different components; 0 elsewhere."""
+    count = collisions(sig)
+    near = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    return np.where((count >= MATCHES) & near & (comp[:, None] != comp[None, :]), count, 0)
 
 
 def _labels(adjacent: np.ndarray) -> np.ndarray:
@@ -113,37 +94,44 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(pdf: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
-    """Edges among a posting's members: sure ones as a forest; unsure ones as a
-    forest of the likely pairs, or with ``every`` all that join two ``comp``s."""
-    pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
-    ids, level = pdf["doc_id"].to_numpy(), pdf["level"].to_numpy()
-    raw = [np.frombuffer(x, np.uint64) for x in pdf["sketch"]]
-    k = len(ids)
-    sure, likely, estimate = np.zeros((k, k), bool), np.zeros((k, k), bool), np.zeros((k, k), np.float32)
-    for top in np.unique(level):
-        at = np.flatnonzero(level <= top)
-        sets = [raw[i][raw[i] & np.uint64((1 << int(top)) - 1) == 0] for i in at]
-        n = np.array([len(x) for x in sets])
-        inter = _overlaps(sets)
-        here = np.ix_(at, at)
-        if top == 0:
-            sure[here] = _linked(inter, n, percent)
-            continue
-        fresh = (level[at][:, None] == top) | (level[at][None, :] == top)
-        union = np.maximum(n[:, None] + n[None, :] - inter, 1)
-        j, p = inter / union, percent / 100
-        estimate[here] = np.where(fresh, j, estimate[here])
-        likely[here] |= fresh & (j >= p - 5 * np.sqrt(p * (1 - p) / union))
-    np.fill_diagonal(sure, False)
-    out = [(ids[i], ids[m], True) for i, m in enumerate(_labels(sure)) if i != m]
-    comp = pdf["comp"].to_numpy()
-    likely &= comp[:, None] != comp[None, :]
-    a, b = np.nonzero(np.triu(likely, 1))
-    if every:
-        out += [(ids[j], ids[i], False) for i, j in zip(a, b)]
-    else:
-        root = _labels(sure).tolist()
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _pieces(percent: int):
+    """A posting's members to (piece, doc_id, comp): the parts that retained pairs connect. Equal parts of several postings get one name."""
+
+    def work(t: pa.Table):
+        if len(t) < 2:
+            return None
+        ids, comp = t["doc_id"].to_numpy(), t["comp"].to_numpy()
+        label = _labels(retained(_matrix(t["sig"]), t["n"].to_numpy(), comp, percent) > 0)
+        order = np.lexsort((ids, label))
+        ids, comp, label = ids[order], comp[order], label[order]
+        names, members = [], []
+        for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(label)) + 1):
+            if len(part) > 1:
+                name = xxhash.xxh3_64_intdigest(np.concatenate([ids[part], comp[part]]).tobytes())
+                names.append(np.full(len(part), name, np.uint64).view(np.int64))
+                members.append(part)
+        if not members:
+            return None
+        at = np.concatenate(members)
+        return [np.concatenate(names), ids[at], comp[at]]
+
+    return work
+
+
+def _links(percent: int):
+    """A piece's members with their full sets to confirmed links, as a forest over what ``comp`` connects already."""
+
+    def work(t: pa.Table):
+        ids, comp = t["doc_id"].to_numpy(), t["comp"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in t["s"].chunks for x in chunk]
+        n = np.array([len(s) for s in sets])
+        count = retained(_matrix(t["sig"]), n, comp, percent)
+        _, first = np.unique(comp, return_inverse=True)
+        root = list(range(first.max() + 1))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -151,55 +139,91 @@ def compare(pdf: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
                 x = root[x]
             return x
 
-        for e in np.argsort(-estimate[a, b], kind="stable"):
-            x, y = find(a[e]), find(b[e])
+        a, b = np.nonzero(np.triu(count, 1))
+        order = np.argsort(-count[a, b].astype(int), kind="stable")
+        group, out = first.tolist(), []
+        for i, j in zip(a[order].tolist(), b[order].tolist()):
+            x, y = find(group[i]), find(group[j])
             if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((ids[b[e]], ids[a[e]], False))
-    return pd.DataFrame(out, columns=["a", "b", "sure"])
+                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * same >= percent * (n[i] + n[j] - same):
+                    root[y] = x
+                    out.append((i, j))
+        if not out:
+            return None
+        i, j = np.array(out).T
+        return [ids[i], ids[j]]
+
+    return work
 
 
-def _groups(reps: DataFrame) -> DataFrame:
-    """(gid, doc_id, size) of merged postings with two members at least, large ones as pairs of blocks."""
+def _postings(reps: DataFrame) -> DataFrame:
+    """(k, doc_id, c): the postings classes do not skip, with two members at least; c is the number of members."""
     posted = reps.select("doc_id", F.explode("sig").alias("k"))
-    shared = posted.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    shared = keep(posted.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), F.desc("k")))
-    kept = keep(posted.join(shared, "k").withColumn("r", rank).where(F.col("r") >= MATCHES).select("doc_id", "k"), "postings")
-    sizes = kept.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
-    sized = kept.join(sizes, "k")
-    small = sized.where(F.col("c") <= MERGE).groupBy("k").agg(F.sort_array(F.collect_set("doc_id")).alias("m")).select("m").distinct()
-    small = small.select(F.xxhash64(F.lit("m"), "m").alias("gid"), F.explode("m").alias("doc_id"), F.size("m").cast("long").alias("size"))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    large = sized.where(F.col("c") > MERGE).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-    large = large.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("gid"), "doc_id", F.col("c").alias("size"))
-    return keep(small.unionByName(large), "groups")
-
-
-def _confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets reach the threshold."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    kept = keep(join_counted(posted, shared, "k").withColumn("r", rank).where(F.col("r") >= MATCHES).select("doc_id", "k"), "kept")
+    drop(shared)
+    sizes = keep(kept.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    out = keep(join_counted(kept, sizes, "k"), "postings")
+    drop(kept)
+    drop(sizes)
+    return out
+
+
+def _groups(postings: DataFrame) -> DataFrame:
+    """(gid, doc_id): small postings once for each set of members, large ones dealt into blocks."""
+    small = postings.where(F.col("c") <= MERGE).groupBy("k").agg(F.sort_array(F.collect_set("doc_id")).alias("m")).select("m").distinct()
+    small = small.select(F.xxhash64(F.lit("m"), "m").alias("gid"), F.explode("m").alias("doc_id"))
+    large = postings.where(F.col("c") > MERGE).select(F.xxhash64("k", _block(F.xxhash64("doc_id", "k"))).alias("gid"), "doc_id")
+    return small.unionByName(large)
+
+
+def _block(h):
+    return F.pmod(h, F.ceil(F.col("c") / BLOCK).cast("int")).cast("int")
+
+
+def _block_pairs(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """(gid, doc_id, comp) of postings of several blocks whose members are not in one component yet, for each two of their blocks."""
+    wide = postings.where(F.col("c") > BLOCK).join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k", "c", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    apart = wide.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("k", "c")
+    rows = join_counted(wide.drop("c"), keep(apart, "apart"), "k").withColumn("own", _block(F.xxhash64("doc_id", "k")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / BLOCK).cast("int") - 1)))
+    return rows.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("gid"), "doc_id", "comp")
+
+
+def _confirmed(docs: DataFrame, pieces: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each piece."""
+    ddl = "piece long, doc_id long, comp long, sig array<long>, s binary"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingles(t.as_py(), width).tobytes() for t in b.column("text")], pa.binary())], names=["doc_id", "s"])
+        out: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["piece", "doc_id", "comp", "sig", "s"])
+            out.clear()
+            return done
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                i = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * i >= percent * (len(x) + len(y) - i))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    made = keep(texts.mapInArrow(sets, "doc_id long, s binary"), "sets")
-    both = pairs.join(made.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(made.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    out = keep(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
-    drop(made)
-    return out
+            for i, text, at in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("at").to_pylist()):
+                s = shingles(text.as_py(), width)
+                if not len(s):
+                    continue
+                sig, raw = signature(s), s.tobytes()
+                for x in at:
+                    out.append((x["piece"], i, x["comp"], sig, raw))
+                    size += len(raw) + 300
+                if size > 8_000_000:
+                    yield flush()
+                    size = 0
+        if out:
+            yield flush()
+
+    by_doc = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("piece", "comp")).alias("at"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(by_doc, "doc_id").mapInArrow(sets, ddl)
+    return keep(by_group(rows, "piece", _links(percent), "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -208,31 +232,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     Linked documents share 100 * intersection >= percent * union of their
     shingle sets; a component is named by its smallest doc_id. Null, empty and
     wordless texts have no shingles, link with nothing and are kept. Equal sets
-    are linked, so of repeated rows one doc_id stays. An empty table gives an
-    empty result; other columns are ignored. doc_id is taken as unique; a row
-    without one joins the component of equal sets, or none, and links nothing.
+    are linked. Repeated rows get the same component and the same kept; rows
+    that repeat a doc_id with other texts are judged each by its own text, and
+    what one of them links is linked for the id. A row without a doc_id joins
+    the component of equal sets, or none, and links nothing. An empty table
+    gives an empty result; other columns are ignored.
     """
     made = keep(describe(docs, width), "described")
-    classes = made.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = keep(made.join(classes, "key").where("doc_id = rep").select("doc_id", "sig", "level", "sketch").dropDuplicates(["doc_id"]), "reps")
-    groups = _groups(reps)
-    marks = reps.select("doc_id", "level", "sketch")
-
-    def edges(members: DataFrame, every: bool) -> DataFrame:
-        rows = members.join(marks, "doc_id").select("gid", "doc_id", "comp", "level", "sketch")
-        found = rows.groupBy("gid").applyInPandas(lambda pdf: compare(pdf, percent, every), "a long, b long, sure boolean").distinct()
-        found = keep(found, "found")
-        return found.where("sure").select("a", "b").unionByName(_confirm(docs, found.where("not sure").select("a", "b"), width, percent))
-
-    first = edges(groups.withColumn("comp", F.col("doc_id")), False)
+    worded = made.where("n > 0")
+    best = worded.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r"))
+    reps = keep(best.select("key", "r.doc_id", "r.n", "r.sig"), "reps")
+    postings = _postings(reps)
+    marks = reps.select("doc_id", "n", "sig")
+
+    def links(members: DataFrame) -> DataFrame:
+        rows = members.join(marks, "doc_id").select("gid", "doc_id", "comp", "n", "sig")
+        pieces = keep(by_group(rows, "gid", _pieces(percent), "piece long, doc_id long, comp long").distinct(), "pieces")
+        found = _confirmed(docs, pieces, width, percent)
+        drop(pieces)
+        return found
+
+    first = links(_groups(postings).withColumn("comp", F.col("doc_id")))
     comps = keep(components(first), "components")
-    named = groups.where("size > 2").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("gid", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    named = named.join(marks.select("doc_id", "level"), "doc_id")
-    apart = named.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("level").alias("top")).where("lo < hi and top > 0").select("gid")
-    second = edges(named.drop("level").join(apart, "gid"), True)
-    comps = keep(components(first.unionByName(second)), "components")
-
-    by_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("c"))
-    out = made.select("doc_id", "n", "key").join(by_class, "key", "left")
+    if not postings.where(F.col("c") > BLOCK).isEmpty():
+        second = links(_block_pairs(postings, comps))
+        drop(comps)
+        comps = keep(components(first.unionByName(second)), "components")
+        drop(second)
+    drop(first)
+    drop(postings)
+
+    by_class = reps.select("key", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", F.coalesce("component", "doc_id").alias("c"))
+    out = worded.select("doc_id", "n", "key").join(by_class, "key", "left").select("doc_id", "n", "c")
+    out = out.unionByName(made.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("c")))
     component = F.coalesce("c", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -12,8 +12,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +49,65 @@ def drop(df: DataFrame) -> None:
         return
 
 
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, parts: int = 4096) -> DataFrame:
+    """rows joined with counts (key, c), a kept table with the number of rows of each key.
+
+    Keys with more than 1/parts of all rows, so fewer than ``parts`` keys, are
+    broadcast and their rows stay where they are; the others are shuffled.
+    """
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    most = max(1000, total // parts)
+    hot = F.broadcast(counts.where(F.col("c") > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(counts.where(F.col("c") <= most), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def by_group(rows: DataFrame, key: str, work: Callable[[pa.Table], list[np.ndarray] | None], ddl: str) -> DataFrame:
+    """Rows that ``work`` makes of each group of the long column ``key``.
+
+    Groups are many and small: rows are dealt and sorted by key, and a task
+    holds one group at a time as an Arrow table. work returns a column each.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        made: list[list[np.ndarray]] = []
+        last, size = None, 0
+
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*made), schema)], schema=schema)
+            made.clear()
+            return done
+
+        def close() -> None:
+            nonlocal size
+            got = work(pa.Table.from_batches(held)) if held else None
+            held.clear()
+            if got is not None:
+                made.append(got)
+                size += len(got[0])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(key).to_numpy()
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for start, stop in zip(edges, edges[1:]):
+                if ids[start] != last:
+                    close()
+                    last = ids[start]
+                held.append(b.slice(start, stop - start))
+                if size > 8192:
+                    yield flush()
+                    size = 0
+        close()
+        if made:
+            yield flush()
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, ddl)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
