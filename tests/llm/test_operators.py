@@ -262,6 +262,65 @@ def test_mixing_takes_whole_epochs_and_keeps_to_its_budget(spark):
         assert abs(sum(size[i] for ids in epochs.values() for i in ids) - weight[source] * budget) <= 40 * (len(weight) + 1)
 
 
+def mixed(rows, goal, repeats, block_docs, places):
+    """The same by its definition: rows are (doc_id, text, source), places are {(doc_id, epoch): (block hash, position)}."""
+    total, own = {}, {}
+    for i, text, source in rows:
+        own.setdefault(source, []).append((i, len((text or "").split())))
+    total = {s: sum(n for _, n in d) for s, d in own.items()}
+    every = sum(total.values())
+    weights = lambda a: {s: (t / every) ** a / sum((u / every) ** a for u in total.values()) for s, t in total.items()}
+    entropy = lambda a: -sum(w * np.log(w) for w in weights(a).values()) / np.log(len(total))
+    epochs_of = lambda a: max(weights(a)[s] / t for s, t in total.items()) / min(weights(a)[s] / t for s, t in total.items())
+
+    def least(good):
+        low, high = 0.0, 1.0
+        if good(0.0):
+            return 0.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if good(mid) else (mid, high)
+        return high
+
+    a = max(least(lambda a: entropy(a) <= goal), least(lambda a: epochs_of(a) <= repeats * (1 + 1e-9)))
+    w = weights(a)
+    budget = max(total[s] / w[s] for s in total)
+    out = set()
+    for s, docs in own.items():
+        quota = max(int(budget * w[s] * (1 + 1e-9)), total[s])
+        whole, rest = divmod(quota, total[s])
+        out |= {(i, e) for i, _ in docs for e in range(whole)}
+        blocks = -(-len(docs) // block_docs)
+        used = 0
+        for i, n in sorted(docs, key=lambda d: (places[d[0], whole][0] % blocks, places[d[0], whole][1])) if rest else []:
+            used += n
+            if used > rest:
+                break
+            out.add((i, whole))
+    return out, w
+
+
+@pytest.mark.parametrize(("goal", "repeats", "block_docs"), [(0.97, 2.0, 20), (0.9, 5.0, 7), (0.999, 4.0, 1000)])
+def test_mixing_is_its_definition(spark, goal, repeats, block_docs):
+    r = random.Random(5)
+    rows = [(i, " ".join(["w"] * r.randrange(0, 40)), r.choice("aaaaaaabbc")) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    grid = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("epoch"))
+    grid = grid.select("doc_id", "epoch", F.xxhash64(F.lit(7), F.lit("block"), "epoch", F.col("doc_id").cast("string")).alias("b"), F.xxhash64(F.lit(7), "epoch", F.col("doc_id").cast("string")).alias("p"))
+    expected, weights = mixed(rows, goal, repeats, block_docs, {(x.doc_id, x.epoch): (x.b, x.p) for x in grid.collect()})
+    got = mixing.mix_sources(docs, entropy=goal, repeats=repeats, block_docs=block_docs).collect()
+    assert len(got) == len({(x.doc_id, x.epoch) for x in got})
+    assert {(x.doc_id, x.epoch) for x in got} == expected
+    assert all(abs(x.weight - weights[x.source]) < 1e-6 for x in got)
+
+
+def test_mixing_keeps_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b", "x", "mine", 0.5), (1, "a b", "x", "mine", 0.5), (None, "c", "x", "mine", 0.5), (None, "d e f", "y", "mine", 0.5), (2, None, None, "mine", 0.5)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, s string, weight double"), columns=["s", "weight"]).collect()
+    assert {x.s for x in got} == {"mine"} and {x.weight_in for x in got} == {0.5}
+    assert sorted((x.doc_id or 0, x.n_tokens) for x in got if x.epoch == 0) == [(0, 1), (0, 3), (1, 2), (1, 2), (2, 0)]
+
+
 def test_mixing_many_equal_sources_lose_nothing(spark):
     rows = [(i, "w " * (1000 + i % 3), "en", f"s{i:05d}", 0, "k", "z", "x") for i in range(6000)]
     assert mixing.mix_sources(spark.createDataFrame(rows, DOCS)).select("doc_id").distinct().count() == 6000

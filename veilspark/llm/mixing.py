@@ -7,6 +7,10 @@ weights, then raised as far as the repetition limit asks. A source's token budge
 buys whole epochs and one partial epoch. Every epoch is a permutation of the
 source's documents: a hash deals them into blocks, another orders each block, and
 the partial epoch stops where the running token count would pass the budget.
+
+Where that is, is one (block, place) for each source: sums of blocks show in which
+block the budget ends, and only that block is walked. Documents are then taken or
+left where they lie, by comparing hashes with their source's row; no text moves.
 DataFrame operations only.
 """
 
@@ -17,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.work import keep
+from veilspark.llm.work import drop, join_counted, keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 SECTIONS = 32
@@ -64,11 +68,11 @@ def exponent(shares: DataFrame, entropy: float, repeats: float, budget: float |
 
 
 def plan(docs: DataFrame, entropy: float, repeats: float, budget: float | None, block_docs: int) -> DataFrame:
-    """Per source: t (tokens), docs, weight, quota (tokens to take), epochs (whole ones), rest, blocks.
+    """Per source key s: t (tokens), c (documents), weight, quota (tokens to take), epochs (whole ones), rest, blocks.
 
     Sources without a token have no weight: their documents are taken once.
     """
-    t = docs.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("docs"))
+    t = docs.groupBy("s").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"))
     t = keep(t, "sources")
     total = t.agg(F.sum("t")).first()[0] or 0
     shares = t.where("t > 0").select("t", (F.col("t") / F.lit(float(max(total, 1)))).alias("p"))
@@ -83,58 +87,62 @@ def plan(docs: DataFrame, entropy: float, repeats: float, budget: float | None,
         quota = F.greatest(quota, F.col("t"))
     out = t.withColumn("weight", weight).withColumn("quota", quota).withColumn("weight", F.round("weight", 12))
     out = out.withColumn("epochs", F.when(F.col("t") > 0, F.floor(F.col("quota") / F.col("t"))).otherwise(F.lit(1)).cast("int"))
-    return out.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("t")).withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long"))
+    return out.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("t")).withColumn("blocks", F.ceil(F.col("c") / block_docs).cast("long"))
+
 
+#: What mix_sources returns besides the columns asked for.
+OUT = ("doc_id", "source", "n_tokens", "epoch", "block", "position", "weight")
 
-def _hash(*parts: Column) -> Column:
-    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+
+def _dealt(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds block and position: hashes of the epoch and the row's id."""
+    return rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "epoch", "id"), F.col("blocks"))).withColumn("position", F.xxhash64(F.lit(seed), "epoch", "id"))
+
+
+def _stops(light: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """Per source with a partial epoch: its last block and the last position taken there (null if none)."""
+    some = sources.where("rest > 0")
+    rows = _dealt(join_counted(light, some, "s").withColumn("epoch", F.col("epochs")), seed)
+    blocks = keep(rows.groupBy("s", "block").agg(F.sum("n_tokens").alias("b")).withColumn("upper", F.floor(F.col("block") / 1000)), "blocks")
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    uppers = blocks.groupBy("s", "upper").agg(F.sum("b").alias("u"))
+    uppers = uppers.withColumn("base", F.coalesce(F.sum("u").over(before("s", "upper")), F.lit(0))).select("s", "upper", "base")
+    begins = blocks.withColumn("inner", F.coalesce(F.sum("b").over(before("s", "upper", "block")), F.lit(0))).join(uppers, ["s", "upper"]).withColumn("begin", F.col("base") + F.col("inner"))
+    last = begins.join(some.select("s", "rest"), "s").where("begin + b > rest").groupBy("s").agg(F.min(F.struct("block", "begin")).alias("m"))
+    last = keep(last.select("s", F.col("m.block").alias("last"), F.col("m.begin").alias("begin"), F.lit(1).alias("c")), "last")
+    drop(blocks)
+    edge = join_counted(rows.drop("c"), last, "s").where("block = last")
+    sofar = F.sum("n_tokens").over(Window.partitionBy("s").orderBy("position").rangeBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("sofar", sofar).where("begin + sofar <= rest").groupBy("s").agg(F.max("position").alias("stop"))
+    out = keep(last.select("s", "last").join(edge, "s", "left"), "stops")
+    drop(last)
+    return out
 
 
 def mix_sources(docs: DataFrame, entropy: float = 0.97, repeats: float = 2.0, budget: float | None = None, block_docs: int = 1000, seed: int = 7, columns: list[str] | None = None) -> DataFrame:
     """Documents in mixed order: doc_id, source, n_tokens, epoch, block, position,
-    weight, and ``columns`` of docs.
+    weight, and ``columns`` of docs (one named like an output column gets "_in"
+    behind its name).
 
     A row appears once for each epoch that takes it. ``block`` and ``position``
     order a source's epoch. A null source is a source of its own, null and empty
-    texts count no tokens. Rows that repeat a doc_id are mixed as they are; ties
-    in the order keep no meaning. Documents of a source without any token are
-    taken once. An empty table gives an empty result.
+    texts count no tokens. Rows that repeat a doc_id share their places and are
+    taken together; rows without one are told apart by their texts. Documents of
+    a source without any token are taken once. An empty table gives an empty
+    result.
     """
-    columns = columns or []
-    base = docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), *columns)
-    light = keep(base.select("doc_id", "source", "n_tokens"), "tokens")
-    sources = plan(light, entropy, repeats, budget, block_docs)
-    wide = base if columns else light
-    wide = wide.withColumn("s", F.coalesce("source", F.lit("\u0000")))
-    sources = keep(sources, "plan").withColumn("s", F.coalesce("source", F.lit("\u0000"))).select("s", "weight", "epochs", "rest", "blocks")
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        first = F.when(F.col("rest") > 0, F.col("epochs")).otherwise(F.col("epochs") - 1)
-        out = rows.join(sources, "s").where(first >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), first)))
-        h = _hash(F.lit(seed), F.col("epoch"), F.col("doc_id"))
-        return out.withColumn("h", h).withColumn("block", F.pmod(F.conv(F.substring("h", 1, 12), 16, 10).cast("long"), F.col("blocks")))
-
-    # where in the partial epoch each block starts: sums of blocks, then running sums in two levels
-    rows = light.withColumn("s", F.coalesce("source", F.lit("\u0000")))
-    blocks = dealt(rows).where("epoch = epochs").groupBy("s", "block").agg(F.sum("n_tokens").alias("b"))
-    blocks = keep(blocks.withColumn("upper", F.floor(F.col("block") / 1000)), "blocks")
-    uppers = blocks.groupBy("s", "upper").agg(F.sum("b").alias("u"))
-    uppers = uppers.withColumn("base", F.coalesce(F.sum("u").over(Window.partitionBy("s").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy("s", "upper").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.withColumn("inner", F.coalesce(F.sum("b").over(within), F.lit(0))).join(uppers.select("s", "upper", "base"), ["s", "upper"])
-    starts = starts.select("s", "block", (F.col("base") + F.col("inner")).alias("begin"))
-
-    order = Window.partitionBy("s", "epoch", "block").orderBy("h", "doc_id", "n_tokens")
-    ranked = dealt(rows).withColumn("position", F.row_number().over(order) - 1).withColumn("sofar", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = ranked.join(starts, ["s", "block"], "left")
-    taken = placed.where((F.col("epoch") < F.col("epochs")) | (F.coalesce("begin", F.lit(0)) + F.col("sofar") <= F.col("rest")))
-    out = taken.select("doc_id", "source", "n_tokens", "epoch", "block", "position", "weight")
-    if not columns:
-        return out
-    # rows with their columns come back by id; rows that share an id share its places evenly
-    places = taken.groupBy("doc_id", "s").agg(F.collect_list(F.struct("epoch", "block", "position", "weight")).alias("at"))
-    copies = light.groupBy("doc_id", F.coalesce("source", F.lit("\u0000")).alias("s")).agg(F.count("*").alias("copies"))
-    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["s"] == y["s"])
-    places = places.join(copies, same(places, copies)).select(places["doc_id"], places["s"], F.expr("slice(at, 1, cast(ceil(size(at) / copies) as int))").alias("at"))
-    joined = wide.join(places, same(wide, places)).select(*[wide[c] for c in ("doc_id", "source", "n_tokens", *columns)], F.explode("at").alias("x"))
-    return joined.select("doc_id", "source", "n_tokens", "x.epoch", "x.block", "x.position", "x.weight", *columns)
+    kept = F.struct(F.lit(0), *[F.col(c).alias(c if c not in OUT else f"{c}_in") for c in columns or []])
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    base = docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), F.coalesce("source", F.lit("\u0000")).alias("s"), ident.alias("id"), kept.alias("kept"))
+    light = keep(base.select("s", "id", "n_tokens"), "tokens")
+    sources = keep(plan(light, entropy, repeats, budget, block_docs), "plan")
+    stops = _stops(light, sources, seed)
+    drop(light)
+    sources = keep(sources.join(stops, "s", "left").select("s", "c", "weight", "epochs", "rest", "blocks", "last", "stop"), "places")
+    drop(stops)
+
+    last = F.when(F.col("rest") > 0, F.col("epochs")).otherwise(F.col("epochs") - 1)
+    rows = _dealt(join_counted(base, sources, "s").where(last >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), last))), seed)
+    inside = (F.col("block") < F.col("last")) | ((F.col("block") == F.col("last")) & (F.col("position") <= F.col("stop")))
+    taken = rows.where((F.col("epoch") < F.col("epochs")) | F.coalesce(inside, F.lit(False)))
+    return taken.select(*OUT, *[F.col("kept")[c if c not in OUT else f"{c}_in"].alias(c if c not in OUT else f"{c}_in") for c in columns or []])

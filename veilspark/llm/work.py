@@ -49,13 +49,16 @@ def drop(df: DataFrame) -> None:
         return
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, key: str, parts: int = 4096) -> DataFrame:
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, parts: int = 4096, few: int = 20_000) -> DataFrame:
     """rows joined with counts (key, c), a kept table with the number of rows of each key.
 
-    Keys with more than 1/parts of all rows, so fewer than ``parts`` keys, are
-    broadcast and their rows stay where they are; the others are shuffled.
+    Up to ``few`` keys are broadcast. Of more, those with over 1/parts of all
+    rows, so fewer than ``parts``, are broadcast and their rows stay where they
+    are; the others are shuffled.
     """
-    total = counts.agg(F.sum("c")).first()[0] or 0
+    total, keys = counts.agg(F.sum("c"), F.count("*")).first()
+    if keys <= few:
+        return rows.join(F.broadcast(counts), key)
     most = max(1000, total // parts)
     hot = F.broadcast(counts.where(F.col("c") > most))
     rest = rows.join(hot.select(key), key, "left_anti").join(counts.where(F.col("c") <= most), key)
