@@ -38,7 +38,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights. The budget gives every source a whole epoch, so no document is lost; small sources repeat."""
+    """Sources at their target weights. The budget gives every source a whole epoch, so no document is lost; small sources repeat.
+    Null sources are one source, repeated rows stay, an empty table stays empty."""
     return mix_sources(docs, columns=["text", "lang", "n_chars"]).select(COLUMNS)
 
 
