@@ -474,6 +474,20 @@ def test_real_notices_reach_their_licence(spark):
     assert got["m/LICENSE"][1] == got["b/LICENSE"][1] == "file" and got["m/x.py"][1] == "inherited"
 
 
+def test_notices_without_their_first_word(spark):
+    """No word is asked for before lines are compared."""
+    cut = [licenses.TEMPLATES[i][1].split(" ", 1)[1] for i in (1, 9, 17)]
+    rows = [(i, f"def f():\n    # {t}\n    return 1", "en", "s") for i, t in enumerate(cut)]
+    got = licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()
+    assert [(r.license, r.line) for r in got] == [("MIT", 1), ("BSD-3-Clause", 1), ("CC0-1.0", 1)]
+
+
+def test_full_licence_file(spark):
+    text = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + f"{licenses._MIT}\n\n{licenses._AS_IS}\n"
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame([("a/LICENSE", text), ("a/b/c.py", "x = 1"), ("d/c.py", "x = 1")], "path string, text string")).collect()}
+    assert got == {"a/LICENSE": ("MIT", "file"), "a/b/c.py": ("MIT", "inherited"), "d/c.py": (None, None)}
+
+
 def test_document_that_is_a_licence_licenses_its_directory(spark):
     rows = [(1, "Licensed under the Apache License,\nVersion 2.0.", "en", "s"), (2, "plain words", "en", "s"), (3, "plain words", "fr", "s"), (4, "# Licensed under CC BY 4.0.\nx = 1", "en", "s"), (5, "other words", "en", "t")]
     got = {r.doc_id: (r.license, r.origin, r.line) for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}

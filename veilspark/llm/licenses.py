@@ -16,10 +16,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.work import arrow_rows, keep
@@ -76,12 +77,11 @@ MORE = (
 )
 #: The first of MORE stands beside other licences too, so it counts only where a file has no other.
 WEAK = len(TEMPLATES)
-#: A line without any of these cannot reach the threshold against a template.
-TRIGGER = "licen[cs]|copyright|permission|redistribut|free software|unencumbered|public domain|rights reserved|proprietary|\\bcc0?\\b"
 LINE, FILE = 0.8, 0.8
 #: Last parts of paths that name a licence file.
 NAMED = "(?i)(^|/)[^/]*(licen[cs]e|copying|notice|copyright)[^/]*$"
 WORDS = "[a-z0-9]+"
+COMMENTED = re.compile(r"[ \t\n\f\r\v]*(?:[#/*;!%<>]|--|\"\"\"|'''|dnl |rem )", re.IGNORECASE)
 
 
 def template_terms(more: tuple[tuple[str, str], ...] = ()) -> list[tuple[int, str, str, float]]:
@@ -106,43 +106,80 @@ def _frequencies(more: tuple[tuple[str, str], ...] = ()) -> dict[str, float]:
     return {t: idf(df[t]) for _, _, t, _ in template_terms(more)}
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(template_terms(MORE), "template int, license string, term string, weight double")
+@lru_cache(maxsize=1)
+def _compiled() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Words of all templates by number, their idf, and a row of weights for each template."""
+    freq = _frequencies(MORE)
+    at = {t: i for i, t in enumerate(freq)}
+    rows = np.zeros((len(TEMPLATES) + len(MORE), len(at)))
+    for i, _, t, w in template_terms(MORE):
+        rows[i, at[t]] = w
+    return at, np.array(list(freq.values())), rows
+
+
+def block_starts(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, behind last) of runs of two or more lines with words, all or none of them commented."""
+    kinds = [bool(COMMENTED.match(x)) if re.search("[A-Za-z0-9]", x) else None for x in lines]
+    edges = [0, *[i for i in range(1, len(lines)) if kinds[i] is not kinds[i - 1]], len(lines)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b - a > 1 and kinds[a] is not None]
+
 
+def _near(unit: np.ndarray, word: np.ndarray, units: int, least: float) -> np.ndarray:
+    """Units (by number, given for each word) that can reach ``least``: the cosine is
+    at most the length of the words that templates have to the length of all."""
+    _, idf_of, _ = _compiled()
+    known = word >= 0
+    cell, n = np.unique(unit[known] * len(idf_of) + word[known], return_counts=True)
+    own = np.bincount(cell // len(idf_of), (n * idf_of[cell % len(idf_of)]) ** 2, units)
+    other = np.bincount(unit[~known], minlength=units) * idf(0) ** 2  # at least: a word that repeats weighs more
+    return np.flatnonzero((own > 0) & (own >= (least - 1e-9) ** 2 * (own + other)))
 
-def blocks(path: str, text: str) -> Iterator[tuple[str, int, int, str]]:
-    """(path, first line, lines, text) of runs of two or more lines with words, all or none of them commented, that hold a trigger."""
-    lines, start = text.split("\n"), 0
-    kinds = [bool(re.match(r"\s*(?:[#/*;!%<>]|--|\"\"\"|'''|dnl |rem )", x, re.IGNORECASE)) if re.search("[A-Za-z0-9]", x) else None for x in lines]
-    while start < len(lines):
-        end = start + 1
-        while end < len(lines) and kinds[end] is kinds[start]:
-            end += 1
-        block = "\n".join(lines[start:end])
-        if end - start > 1 and kinds[start] is not None and re.search(TRIGGER, block.lower(), re.ASCII):
-            yield path, start, end - start, block
-        start = end
 
+def compare(path: str, text: str) -> Iterator[tuple[str, int, int, int, float]]:
+    """(path, line, lines, template, score) of each line and block of lines that reaches LINE, and as line -1 of a whole text that reaches FILE."""
+    at, idf_of, rows = _compiled()
+    lines = text.split("\n")
+    words = [re.findall(WORDS, x) for x in text.lower().split("\n")]
+    sizes = np.array([len(w) for w in words])
+    ends = np.cumsum(sizes)
+    flat = [w for x in words for w in x]
+    if not flat:
+        return
+    number = np.array([at.get(w, -1) for w in flat], np.int64)
+    line = np.repeat(np.arange(len(words)), sizes)
+    units = [(i, i + 1, i) for i in _near(line, number, len(words), LINE).tolist()]
+    if len(lines) > 1:
+        runs = block_starts(lines)
+        begin = [int(ends[a] - sizes[a]) for a, _ in runs]
+        stop = [int(ends[b - 1]) for _, b in runs]
+        inside = np.concatenate([np.arange(a, b) for a, b in zip(begin, stop)]) if runs else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(runs)), np.array(stop, int) - np.array(begin, int)) if runs else inside
+        units += [(*runs[i], runs[i][0]) for i in _near(owner, number[inside], len(runs), LINE).tolist()]
+    units += [(0, len(words), -1) for _ in _near(np.zeros(len(flat), np.int64), number, 1, FILE).tolist()]
+    for a, b, name in units:
+        count = Counter(w for x in words[a:b] for w in x)
+        v, size = np.zeros(len(idf_of)), 0.0
+        for w, n in count.items():
+            if (i := at.get(w)) is None:
+                size += (n * idf(0)) ** 2
+            else:
+                v[i] = n * idf_of[i]
+        scores = np.round(rows @ v / math.sqrt(size + float(v @ v)), 6)
+        for i in np.flatnonzero(scores >= (FILE if name < 0 else LINE)).tolist():
+            yield path, name, b - a if name >= 0 else 1, i, float(scores[i])
 
-_BLOCK = pa.schema([("path", pa.string()), ("line", pa.int32()), ("lines", pa.int32()), ("unit", pa.string())])
+
+_FOUND = pa.schema([("path", pa.string()), ("line", pa.int32()), ("lines", pa.int32()), ("template", pa.int32()), ("score", pa.float64())])
 
 
 def match_units(files: DataFrame) -> DataFrame:
-    """(path, line, license, score, weak): each line and block of lines that reaches LINE, and as line -1 each whole text that reaches FILE, with its best template."""
-    spark = files.sparkSession
-    some = keep(files.where(F.lower("text").rlike(TRIGGER)), "licence-texts")
-    lines = some.select("path", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(F.lower("unit").rlike(TRIGGER))
-    units = lines.unionByName(some.select("path", F.lit(-1).alias("line"), F.col("text").alias("unit"))).withColumn("lines", F.lit(1))
-    units = units.unionByName(some.select("path", "text").mapInArrow(arrow_rows(blocks, _BLOCK, ["path", "text"]), "path string, line int, lines int, unit string"))
-    known = F.broadcast(spark.createDataFrame(list(_frequencies(MORE).items()), "term string, idf double"))  # as many rows as the templates have words
-    words = units.select("path", "line", "lines", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(WORDS), F.lit(0))).alias("term"))
-    tf = words.groupBy("path", "line", "lines", "term").agg(F.count("*").alias("n")).join(known, "term", "left")
-    tf = tf.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(idf(0))))
-    sizes = tf.groupBy("path", "line", "lines").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = tf.where("idf is not null").join(F.broadcast(_templates(spark)), "term").groupBy("path", "line", "lines", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(sizes, ["path", "line", "lines"]).withColumn("score", F.round(F.col("dot") / F.col("size"), 6))
-    good = scored.where(F.col("score") >= F.when(F.col("line") < 0, F.lit(FILE)).otherwise(F.lit(LINE)))
-    good = good.withColumn("weak", (F.col("template") == WEAK).cast("int"))
+    """(path, line, license, score, weak): each line and block of lines that reaches LINE, and as line -1 each whole text that reaches FILE, with its best template.
+
+    Texts are compared where they lie; only what matches leaves a task.
+    """
+    good = files.select("path", "text").mapInArrow(arrow_rows(compare, _FOUND, ["path", "text"]), "path string, line int, lines int, template int, score double")
+    names = F.array(*[F.lit(name) for name, _ in TEMPLATES + MORE])
+    good = good.withColumn("weak", (F.col("template") == WEAK).cast("int")).withColumn("license", F.get(names, F.col("template")))
     best = F.row_number().over(Window.partitionBy("path", "line").orderBy("weak", F.desc("score"), "template", "lines"))
     return good.withColumn("r", best).where("r = 1").select("path", "line", "license", "score", "weak")
 
@@ -187,25 +224,31 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same over documents in DuckDB: each step a relation."""
-    rows = ", ".join(f"({i}, '{name}', '{t}', {w!r}::DOUBLE)" for i, name, t, w in template_terms())
-    freq = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in _frequencies().items())
+    """The same over documents in DuckDB: each step a relation, every word of every line."""
+    rows = ", ".join(f"({i}, '{name}', '{t}', {w!r}::DOUBLE)" for i, name, t, w in template_terms(MORE))
+    freq = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in _frequencies(MORE).items())
+    commented = r"^[ \t\n\f\r\v]*([#/*;!%<>]|--|\"\"\"|'''|dnl |rem )".replace("'", "''")
     return rf"""
 WITH tmpl(template, license, term, weight) AS (VALUES {rows}),
 known(term, idf) AS (VALUES {freq}),
 files AS (SELECT concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(doc_id::VARCHAR, 'none')) AS path, text, doc_id FROM documents),
-hit AS (SELECT * FROM files WHERE regexp_matches(lower(text), '{TRIGGER}')),
-lines AS (SELECT path, unnest(range(len(string_split(text, chr(10)))))::INT AS line, unnest(string_split(text, chr(10))) AS unit FROM hit),
-units AS (SELECT * FROM lines WHERE regexp_matches(lower(unit), '{TRIGGER}') UNION ALL SELECT path, -1, text FROM hit WHERE regexp_matches(path, '{NAMED}')),
-words AS (SELECT path, line, unnest(regexp_extract_all(lower(unit), '{WORDS}')) AS term FROM units),
-tf AS (SELECT path, line, term, count(*) AS n FROM words GROUP BY ALL),
+lines AS (SELECT path, unnest(range(len(string_split(text, chr(10)))))::INT AS line, unnest(string_split(text, chr(10))) AS unit FROM files WHERE text IS NOT NULL),
+kinds AS (SELECT *, CASE WHEN regexp_matches(unit, '[A-Za-z0-9]') THEN regexp_matches(unit, '{commented}', 'i') END AS kind FROM lines),
+turns AS (SELECT *, CASE WHEN kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY path ORDER BY line) OR line = 0 THEN 1 ELSE 0 END AS fresh FROM kinds),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY line) AS island FROM turns),
+blocks AS (SELECT path, min(line) AS line, count(*)::INT AS lines, string_agg(unit, chr(10) ORDER BY line) AS unit FROM islands WHERE kind IS NOT NULL GROUP BY path, island HAVING count(*) > 1),
+units AS (SELECT path, line, 1 AS lines, unit FROM lines UNION ALL SELECT path, line, lines, unit FROM blocks UNION ALL SELECT path, -1, 1, text FROM files WHERE text IS NOT NULL),
+words AS (SELECT path, line, lines, unnest(regexp_extract_all(lower(unit), '{WORDS}')) AS term FROM units),
+tf AS (SELECT path, line, lines, term, count(*) AS n FROM words GROUP BY ALL),
 w AS (SELECT tf.*, idf, n * coalesce(idf, {idf(0)!r}::DOUBLE) AS w FROM tf LEFT JOIN known USING (term)),
-sizes AS (SELECT path, line, sqrt(sum(w * w)) AS size FROM w GROUP BY ALL),
-dots AS (SELECT path, line, template, license, sum(w * weight) AS dot FROM w JOIN tmpl USING (term) GROUP BY ALL),
-scored AS (SELECT path, line, template, license, round(dot / size, 6) AS score FROM dots JOIN sizes USING (path, line)),
-best AS (SELECT * FROM scored WHERE score >= CASE WHEN line < 0 THEN {FILE} ELSE {LINE} END QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY score DESC, template) = 1),
-own AS (SELECT path, license, score, CASE WHEN line >= 0 THEN line END AS line, CASE WHEN line < 0 THEN 'file' ELSE 'header' END AS origin
-        FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY (line >= 0)::INT, score DESC, best.line) = 1),
+sizes AS (SELECT path, line, lines, sqrt(sum(w * w)) AS size FROM w GROUP BY ALL HAVING sum(w * w) FILTER (idf IS NOT NULL) >= 0.6 * sum(w * w)),
+dots AS (SELECT path, line, lines, template, license, sum(w * weight) AS dot FROM w JOIN sizes USING (path, line, lines) JOIN tmpl USING (term) GROUP BY ALL),
+scored AS (SELECT path, line, lines, template, license, round(dot / size, 6) AS score, (template = {WEAK})::INT AS weak FROM dots JOIN sizes USING (path, line, lines)),
+found AS (SELECT * FROM scored WHERE score >= CASE WHEN line < 0 THEN {FILE} ELSE {LINE} END QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY weak, score DESC, template, lines) = 1),
+tops AS (SELECT *, max(CASE WHEN line >= 0 THEN score END) OVER (PARTITION BY path) AS top FROM found),
+best AS (SELECT * FROM tops WHERE line >= 0 OR regexp_matches(path, '{NAMED}') OR score >= coalesce(top, 0.0)),
+own AS (SELECT path, license, score, CASE WHEN best.line >= 0 THEN best.line END AS line, CASE WHEN best.line < 0 THEN 'file' ELSE 'header' END AS origin
+        FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY weak, (best.line >= 0)::INT, score DESC, best.line) = 1),
 dirs AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, arg_min(license, path) AS license, arg_min(score, path) AS score FROM own WHERE origin = 'file' GROUP BY 1),
 near AS (SELECT f.path, d.license, d.score FROM files f JOIN dirs d ON f.path LIKE d.dir || '/%' WHERE f.path NOT IN (SELECT path FROM own)
          QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(d.dir) DESC) = 1),
