@@ -122,6 +122,25 @@ def test_near_duplicate_blocks(spark, monkeypatch):
     assert [(x.n_shingles, x.component_id) for x in got] == components_of(texts)
 
 
+def test_near_duplicates_far_ends_of_a_group(spark, monkeypatch):
+    """Copies that are near one another but often too far to link: many pairs fail, the links that hold are found."""
+    r = random.Random(8)
+    base = prose(2, 150, 4000)
+    texts = [" ".join(edited(base, r, 0.045)) for _ in range(250)]
+    got = neardup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
+    assert [(x.n_shingles, x.component_id) for x in got] == components_of(texts)
+    monkeypatch.setattr(neardup, "FEW", 0)
+    again = neardup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()
+    assert again == got
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(prose(s, 60, 4000)) for s in range(3))
+    texts, ids = [a, a, a + " x", b, b + " y", c, None, None, a], [5, 5, 7, 9, 9, None, None, 3, None]
+    got = sorted((x.doc_id or -1, x.n_shingles, x.component_id or -1, x.kept) for x in neardup.near_duplicates(table(spark, texts, ids)).collect())
+    assert got == sorted([(5, 56, 5, True), (5, 56, 5, True), (7, 57, 5, False), (9, 56, 9, True), (9, 57, 9, True), (-1, 56, -1, True), (-1, 0, -1, True), (3, 0, 3, True), (-1, 56, 5, False)])
+
+
 # ---- substrings -------------------------------------------------------------------
 
 

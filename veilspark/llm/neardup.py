@@ -41,6 +41,8 @@ from veilspark.llm.words import mix, shingles
 COORDS, MATCHES = 32, 12
 BLOCK = 1024
 MERGE = 64
+#: Up to so many ids of texts to fetch (8 bytes each) are sent to every task; more are joined by a shuffle.
+FEW = 1_000_000
 _SALT = mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64))
 _XOR, _ODD = _SALT[:COORDS], _SALT[COORDS:] | np.uint64(1)
 
@@ -122,8 +124,29 @@ def _pieces(percent: int):
     return work
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of each two of many sets: products of 0/1 columns, a slab of shared elements at a time."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    use = shared[column]
+    row, column = row[use], (np.cumsum(shared) - 1)[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        slab = np.zeros((len(sets), 4096), np.float32)
+        slab[row[a:b], column[a:b] - start] = 1
+        out += slab @ slab.T
+    return out.astype(np.int64)
+
+
 def _links(percent: int):
-    """A piece's members with their full sets to confirmed links, as a forest over what ``comp`` connects already."""
+    """A piece's members with their full sets to confirmed links, as a forest over what ``comp`` connects already.
+
+    Pairs are tried one by one while that succeeds; after many failures all intersections are computed together.
+    """
 
     def work(t: pa.Table):
         ids, comp = t["doc_id"].to_numpy(), t["comp"].to_numpy()
@@ -141,14 +164,28 @@ def _links(percent: int):
 
         a, b = np.nonzero(np.triu(count, 1))
         order = np.argsort(-count[a, b].astype(int), kind="stable")
-        group, out = first.tolist(), []
-        for i, j in zip(a[order].tolist(), b[order].tolist()):
+        a, b = a[order], b[order]
+        group, out, inter, failed = first.tolist(), [], None, 0
+        for at, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
             x, y = find(group[i]), find(group[j])
             if x != y:
                 same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * same >= percent * (n[i] + n[j] - same):
                     root[y] = x
                     out.append((i, j))
+                else:
+                    failed += 1
+                    if failed > 200 + 4 * len(ids):
+                        inter = overlaps(sets)
+                        break
+        if inter is not None:
+            a, b = a[at:], b[at:]
+            good = 100 * inter[a, b] >= percent * (n[a] + n[b] - inter[a, b])
+            for i, j in zip(a[good].tolist(), b[good].tolist()):
+                x, y = find(group[i]), find(group[j])
+                if x != y:
+                    root[y] = x
+                    out.append((i, j))
         if not out:
             return None
         i, j = np.array(out).T
@@ -222,8 +259,14 @@ def _confirmed(docs: DataFrame, pieces: DataFrame, width: int, percent: int) ->
             yield flush()
 
     by_doc = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("piece", "comp")).alias("at"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(by_doc, "doc_id").mapInArrow(sets, ddl)
-    return keep(by_group(rows, "piece", _links(percent), "a long, b long").distinct(), "links")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    need = keep(pieces.select("doc_id").distinct(), "need")
+    if need.count() <= FEW:  # other texts stay where they are
+        texts = texts.join(F.broadcast(need), "doc_id", "left_semi")
+    rows = texts.join(by_doc, "doc_id").mapInArrow(sets, ddl)
+    out = keep(by_group(rows, "piece", _links(percent), "a long, b long").distinct(), "links")
+    drop(need)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
