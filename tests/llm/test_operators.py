@@ -175,6 +175,16 @@ def test_substrings_match_the_definition(spark):
     assert [(x.n_words, x.n_removed, x.kept_sha256) for x in got] == removed(texts, 50)
 
 
+def test_substrings_with_repeated_and_null_ids(spark):
+    a, b, c = (prose(s, 90, 4000) for s in (1, 2, 3))
+    texts = [" ".join(x) for x in (a, a[:70] + b, a[:70] + b, c, b[:60] + c, a, c)]
+    ids = [1, 4, 4, 2, 4, None, 9]
+    got = sorted((x.doc_id or 0, x.n_words, x.n_removed, x.kept_sha256) for x in recompress.substring_dedup(table(spark, texts, ids)).collect())
+    sha = lambda w: hashlib.sha256(" ".join(w).encode()).hexdigest()
+    want = [(1, 90, 0, sha(a)), (4, 160, 70, sha(b)), (4, 160, 70, sha(b)), (2, 90, 0, sha(c)), (4, 150, 90, sha(b[:60])), (0, 90, 0, sha(a)), (9, 90, 90, sha([]))]
+    assert got == sorted(want)
+
+
 def test_anchors_depend_on_the_window_alone():
     r = np.random.default_rng(0)
     for _ in range(200):

@@ -10,7 +10,9 @@ that holds the extent, the same symbol arises in every document.
 So two equal windows share the symbols whose extents they hold. Each window takes
 as anchor one short phrase of such symbols, of the highest round that offers one,
 by a rule that looks at the window alone. Anchors of one document only prove their windows
-unrepeated; for the others the windows are compared themselves.
+unrepeated; for the others the windows themselves are compared, by 128 bits of their words.
+A name is a function of the words below it, so it is the same in every task without a table
+of names: such a table would shuffle every symbol in every round.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.work import keep
+from veilspark.llm.work import drop, join_counted, keep
 from veilspark.llm.words import mix, split_words, windows, word_ids
 
 ROUNDS, PHRASE = 4, 3
+#: A window is named by 128 bits: two hashes of its words with different bases.
+BASES = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
 
 
 def recompress(ids: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -157,45 +162,60 @@ def _scan(width: int):
 
 
 def _windows(width: int):
-    """doc_id, z and the document's shared anchors to the windows under them: name and start of each."""
+    """doc_id, z and the document's shared anchors to the windows under them: two hashes and start of each,
+    those under very common anchors apart. A start carries a tag of its text, as several may have one doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            packed, marks, names, places = b.column("z"), b.column("shared"), [], []
+            packed, marks = b.column("z"), (b.column("cold"), b.column("hot"))
+            out: list[list] = [[] for _ in range(6)]
             for part in _groups([4 * len(z.as_py()) for z in packed]):
                 words = [unpack.decompress(z.as_py()).split() for z in packed[part]]
                 ids, start = batch_ids(words)
-                anchor, name = anchors(ids, width).view(np.int64), windows(ids, width).view(np.int64)
-                for s, w, own in zip(start.tolist(), words, marks[part]):
-                    n = max(0, len(w) - width + 1)
-                    at = np.flatnonzero(np.isin(anchor[s : s + n], own.values.to_numpy(zero_copy_only=False)))
-                    names.append(name[s : s + n][at])
-                    places.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("z"), pa.array(names, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "z", "h", "p"])
+                anchor = anchors(ids, width).view(np.int64)
+                names = [windows(ids, width, base).view(np.int64) for base in BASES]
+                for i, (s, w) in enumerate(zip(start.tolist(), words)):
+                    n, tag = max(0, len(w) - width + 1), text_tag(w)
+                    for k, mark in enumerate(marks):
+                        own = mark[part][i].values.to_numpy(zero_copy_only=False)
+                        at = np.flatnonzero(np.isin(anchor[s : s + n], own))
+                        for j in (0, 1):
+                            out[3 * k + j].append(names[j][s : s + n][at])
+                        out[3 * k + 2].append(at | tag)
+            kinds = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("z"), *[pa.array(x, kinds) for x in out]], names=["doc_id", "z", "h", "g", "p", "hot_h", "hot_g", "hot_p"])
 
     return run
 
 
+def text_tag(words: list[bytes]) -> int:
+    """31 bits of a text, above the 32 bits of a word's place."""
+    return (xxhash.xxh32_intdigest(b" ".join(words)) >> 1) << 32
+
+
 def _cut(width: int):
-    """doc_id, text, starts of repeated windows to n_removed and the hash of what is kept."""
+    """doc_id, text, starts of repeated windows to n_removed, the hashes of its words and of what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            gone, sha, kept = [], [], []
+            gone, before, sha, kept = [], [], [], []
             for z, starts in zip(b.column("z"), b.column("starts")):
                 words = unpack.decompress(z.as_py()).split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = np.unique(starts.values.to_numpy(zero_copy_only=False))
+                at = at[at >> 32 == text_tag(words) >> 32] & 0xFFFFFFFF
                 edge[at] += 1
                 edge[at + width] -= 1
                 stay = np.cumsum(edge[:-1]) == 0
                 left = [w for w, s in zip(words, stay.tolist()) if s]
                 gone.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
+                before.append(_sha(words))
                 sha.append(_sha(left))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_removed", "cut_sha", "kept_text"])
+            columns = [b.column("doc_id"), pa.array(gone, pa.int64()), *[pa.array(x, pa.string()) for x in (before, sha, kept)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_removed", "sha", "cut_sha", "kept_text"])
 
     return run
 
@@ -209,29 +229,46 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_repeats(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:
     """(all, cut). ``all`` has doc_id, n_words, sha of the words of every
-    document; ``cut`` has doc_id, n_removed, cut_sha, kept_text of documents that
-    lose words: those inside a window of ``width`` words that also starts in a
-    document with a smaller doc_id, all windows being judged on the input.
-
-    Null and empty texts have no words. doc_id is taken as unique; rows with a
-    null doc_id provide and lose nothing. Other columns are ignored.
+    document; ``cut`` has doc_id, n_removed, sha, cut_sha, kept_text of documents
+    that lose words: those inside a window of ``width`` words that also starts in
+    a document with a smaller doc_id, all windows being judged on the input.
+
+    Null and empty texts have no words. Rows with a null doc_id provide and lose
+    nothing. Rows that repeat a doc_id are one document with several texts: each
+    provides windows for it, each is cut by smaller ids, and ``all`` has a row
+    for each, ``cut`` one for each distinct text. Other columns are ignored. An
+    empty table gives empty results.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     seen = keep(texts.mapInArrow(_scan(width), "doc_id long, n_words long, sha string, anchors array<long>"), "symbols")
     posts = seen.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = posts.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    marked = posts.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    shared = posts.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("anchor", "c")
+    shared = keep(shared, "anchors")
+    hot = F.col("c") > max(1000, (shared.agg(F.sum("c")).first()[0] or 0) // 4096)
+    own = lambda which: F.collect_set(F.when(which, F.col("anchor")))
+    marked = join_counted(posts, shared, "anchor").groupBy("doc_id").agg(own(~hot).alias("cold"), own(hot).alias("hot"))
     packed = texts.mapInArrow(_pack, "doc_id long, z binary")
-    found = keep(packed.join(marked, "doc_id").mapInArrow(_windows(width), "doc_id long, z binary, h array<long>, p array<int>"), "windows")
-    rows = found.select("doc_id", F.explode(F.arrays_zip("h", "p")).alias("w")).select("doc_id", F.col("w.h").alias("h"), F.col("w.p").alias("p"))
-    owners = rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    starts = rows.join(owners, "h").where("doc_id > lo").groupBy("doc_id").agg(F.collect_list("p").alias("starts"))
-    cut = found.select("doc_id", "z").join(starts, "doc_id").mapInArrow(_cut(width), "doc_id long, n_removed long, cut_sha string, kept_text string")
-    return seen.drop("anchors"), cut
+    found = "doc_id long, z binary, " + ", ".join(f"{x} array<long>" for x in ("h", "g", "p", "hot_h", "hot_g", "hot_p"))
+    found = keep(packed.join(marked, "doc_id").mapInArrow(_windows(width), found), "windows")
+    drop(shared)
+
+    def rows(*names: str) -> DataFrame:
+        each = found.select("doc_id", F.explode(F.arrays_zip(*[F.col(n).alias(c) for n, c in zip(names, "hgp")])).alias("w"))
+        return each.select("doc_id", F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.p").alias("p"))
+
+    # a window's smallest document: one sorted pass where anchors are rare, counts first where windows may be very common
+    first = F.min("doc_id").over(Window.partitionBy("h", "g").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    repeated = rows("h", "g", "p").withColumn("lo", first).where("doc_id > lo").select("doc_id", "p")
+    common = rows("hot_h", "hot_g", "hot_p")
+    owners = keep(common.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "g", "lo", "c"), "owners")
+    repeated = repeated.unionByName(join_counted(common, owners, ["h", "g"]).where("doc_id > lo").select("doc_id", "p"))
+    starts = repeated.groupBy("doc_id").agg(F.collect_list("p").alias("starts"))
+    cut = found.select("doc_id", "z").join(starts, "doc_id").mapInArrow(_cut(width), "doc_id long, n_removed long, sha string, cut_sha string, kept_text string")
+    return seen.drop("anchors"), cut.dropDuplicates(["doc_id", "sha"])
 
 
 def substring_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document; see cut_repeats."""
+    """doc_id, n_words, n_removed, kept_sha256 of every row of docs; see cut_repeats."""
     every, cut = cut_repeats(docs, width)
-    joined = every.join(cut.drop("kept_text"), "doc_id", "left")
+    joined = every.join(cut.drop("kept_text"), ["doc_id", "sha"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))

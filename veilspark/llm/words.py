@@ -37,8 +37,8 @@ def word_ids(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def windows(ids: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each run of ``width`` consecutive ids, by start."""
+def windows(ids: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """A hash for each run of ``width`` consecutive ids, by start. Another odd ``base`` gives an independent one."""
     n = len(ids) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -46,7 +46,7 @@ def windows(ids: np.ndarray, width: int) -> np.ndarray:
     factor = np.uint64(1)
     with np.errstate(over="ignore"):
         for k in range(width):
-            factor = factor * np.uint64(0xD6E8FEB86659FD93)
+            factor = factor * np.uint64(base)
             out += mix(ids[k : k + n]) * factor if k == 0 and width == 1 else ids[k : k + n] * factor
     return mix(out)
 

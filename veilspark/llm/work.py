@@ -49,20 +49,21 @@ def drop(df: DataFrame) -> None:
         return
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, key: str, parts: int = 4096, few: int = 20_000) -> DataFrame:
+def join_counted(rows: DataFrame, counts: DataFrame, key: str | list[str], parts: int = 4096, few: int = 20_000) -> DataFrame:
     """rows joined with counts (key, c), a kept table with the number of rows of each key.
 
     Up to ``few`` keys are broadcast. Of more, those with over 1/parts of all
     rows, so fewer than ``parts``, are broadcast and their rows stay where they
     are; the others are shuffled.
     """
-    total, keys = counts.agg(F.sum("c"), F.count("*")).first()
-    if keys <= few:
+    total, number = counts.agg(F.sum("c"), F.count("*")).first()
+    if number <= few:
         return rows.join(F.broadcast(counts), key)
     most = max(1000, total // parts)
     hot = F.broadcast(counts.where(F.col("c") > most))
-    rest = rows.join(hot.select(key), key, "left_anti").join(counts.where(F.col("c") <= most), key)
-    return rows.join(hot, key).unionByName(rest)
+    keys = [key] if isinstance(key, str) else key
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counts.where(F.col("c") <= most), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def by_group(rows: DataFrame, key: str, work: Callable[[pa.Table], list[np.ndarray] | None], ddl: str) -> DataFrame:
