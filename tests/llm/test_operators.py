@@ -478,6 +478,29 @@ def test_template_is_counted_over_all_pages_of_a_layout(spark):
     assert all(got[100 + i] == f"Short {i} Only text of page {i} here." and got[200 + i] == f"Other {i} Own words of page {i} there." for i in range(4))
 
 
+def test_deep_and_odd_pages(spark):
+    deep = "<html><body>" + "<div>" * 5000 + "<script>var leak=1;</script><nav>menu</nav><p>real words of the page</p>" + "</div>" * 5000 + "<p>and after</p></body></html>"
+    assert html.extract(deep) == "real words of the page and after"
+    body = "".join(f"<p>Paragraph {i} of some running text that goes on for a while.</p>" for i in range(4))
+    page = f'<body><article>{body}<div class="side effects"><p>Nausea and other effects of the drug.</p></div><section class="related work"><p>Earlier studies of the drug.</p></section><div class="related"><a href="/x">Other page</a></div><div class="comments"><p>First!</p></div></article></body>'
+    text = html.extract(page)
+    assert "Nausea" in text and "Earlier studies" in text and "Other page" not in text and "First!" not in text
+    rows = [(i, "http://h.example/%d" % i, p) for i, p in enumerate([None, "", "   ", "no mark-up", "<p>", "</p></div>", "<article>&amp; &eacute;&#x1F600;</article>"])] + [(None, None, "<p>x</p>"), (3, "http://h.example/3", "no mark-up")]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(x.n_chars == len(x.text) for x in got)
+    by = {x.page_id: x.text for x in got}
+    assert by[0] == by[1] == by[2] == by[4] == by[5] == "" and by[3] == "no mark-up" and by[6] == "& é😀" and by[None] == "x"
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_near_copies_keep_their_article(spark):
+    """Pages of a host that are near copies of one another have no template inside of their article."""
+    common = "".join(f"<p>Sentence {i} that all of the copies share with one another.</p>" for i in range(8))
+    rows = [(i, f"http://c.example/{i}", f"<body><nav>menu</nav><article><h1>Title {i}</h1><p>A longer paragraph that only copy number {i} has, which makes it count as an article of its own here.</p>{common}</article></body>") for i in range(6)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(f"copy number {x.page_id} has" in x.text and x.text.endswith("Sentence 7 that all of the copies share with one another.") and "menu" not in x.text for x in got)
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", licenses.TEMPLATES[0][1]), ("a/x.py", "code\ncode"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("a/b/c/z.py", ""), ("q/w.py", "the copyright owner sleeps"), ("q/n.py", None), (None, "x"), ("a/b/c/LICENSE", "Licensed under CC BY 4.0."),

@@ -4,7 +4,8 @@ Pages of one host share templates. Every page is parsed into a tree, and nodes
 with equal path and text are counted over all pages of the host. A node is template
 if SHARE of the distinct articles that have its path have its text there too, so
 each layout is judged by the pages that have it and copies of an article count
-once. A page's container is what holds the running text that is no template; where
+once. This is simple tree matching of all pages of a host at once: nodes align
+where their paths are equal, whatever stands beside them. A page's container is what holds the running text that is no template; where
 pages of one layout disagree, the commonest container holds for all of them.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -24,30 +26,30 @@ from pyspark.sql import functions as F
 from veilspark.llm.work import keep
 
 # Elements without an end tag, elements that break a line, elements
-# that are no article text, and words in class or id that mark the same.
+# that are no article text, and words in class or id that mark the same. LOOSE
+# words also name parts of articles: inside of one they count only where links
+# make up the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 NOT_TEXT = frozenset("head script style noscript template nav footer aside form iframe object svg canvas button select textarea menu dialog title".split())
-NOT_TEXT_WORDS = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|menu|nav\w*|sidebar|side|comments?|replies|respond|share|sharing|social|related|breadcrumbs?|newsletter|subscribe|signup|login|popup|modal|widget|footer|masthead|skip)(?:$|[-_ ])")
+NOT_TEXT_WORDS = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|menu|nav\w*|sidebar|comments?|replies|breadcrumbs?|newsletter|subscribe|signup|login|popup|modal|footer|masthead|skip)(?:$|[-_ ])")
+LOOSE_WORDS = re.compile(r"(?:^|[-_ ])(?:side|related|social|share|sharing|respond|widget)(?:$|[-_ ])")
 CLOSES_P = BLOCK - {"br", "option", "title", "caption", "legend", "summary"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-MAX_DEPTH = 200
 #: Part of a path's distinct articles, and their least number, that make an equal text template.
 SHARE, LEAST = 0.5, 3
+#: Part of a text in links from which a loosely marked part of an article is a list of links.
+LINKS = 0.3
 SECTIONS = frozenset("body div section td center article main".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children")
+    __slots__ = ("tag", "mark", "children", "size", "linked")
 
     def __init__(self, tag: str, mark: str = "") -> None:
-        self.tag, self.mark, self.children = tag, mark, []
-
-    @property
-    def sign(self) -> str:
-        return f"{self.tag}|{self.mark}"
+        self.tag, self.mark, self.children, self.size, self.linked = tag, mark, [], 0, 0
 
     def own(self) -> str:
         return " ".join(" ".join(c for c in self.children if isinstance(c, str)).split())
@@ -57,12 +59,18 @@ class Node:
 
 
 class _Reader(HTMLParser):
-    """A tree from any mark-up: unclosed and stray tags are taken as browsers do in the common cases."""
+    """A tree from any mark-up, however deep: unclosed and stray tags are taken as browsers do in the common cases."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#")
         self.path = [self.root]
+        self.open: Counter[str] = Counter()
+
+    def _drop(self, i: int) -> None:
+        for node in self.path[i:]:
+            self.open[node.tag] -= 1
+        del self.path[i:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P:
@@ -73,8 +81,9 @@ class _Reader(HTMLParser):
         mark = " ".join(filter(None, (found.get("class"), found.get("id"), found.get("role")))).lower()
         node = Node(tag, " ".join(mark.split()))
         self.path[-1].children.append(node)
-        if tag not in VOID and len(self.path) < MAX_DEPTH:
+        if tag not in VOID:
             self.path.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -82,27 +91,37 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tags: set[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.path) - 1, 0, -1):
             if self.path[i].tag in tags:
-                del self.path[i:]
+                self._drop(i)
                 return
             if self.path[i].tag in stop:
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.path) - 1, 0, -1):
-            if self.path[i].tag == tag:
-                del self.path[i:]
-                return
+        if self.open[tag]:
+            self._drop(max(i for i in range(len(self.path)) if self.path[i].tag == tag) if self.path[-1].tag != tag else len(self.path) - 1)
 
     def handle_data(self, data: str) -> None:
         self.path[-1].children.append(data)
 
 
 def parse(html: str | None) -> Node:
+    """The tree, with the length of each node's text and of what of it stands in links."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
+    order, todo = [], [reader.root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += node.nodes()
+    for node in reversed(order):
+        below = node.nodes()
+        node.size = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.size for c in below)
+        node.linked = node.size if node.tag == "a" else sum(c.linked for c in below)
     return reader.root
 
 
@@ -110,104 +129,133 @@ def dropped(node: Node, inside: bool) -> bool:
     """Whether a node is no article text. A header counts as one only outside of the container."""
     if node.tag in NOT_TEXT or node.tag == "header" and not inside:
         return True
-    return bool(node.mark) and node.tag not in ("html", "body", "article", "main") and bool(NOT_TEXT_WORDS.search(node.mark))
-
-
-def _walk(node: Node, path: tuple[str, ...], inside: bool) -> Iterator[tuple[Node, tuple[str, ...], bool]]:
-    """Nodes that may hold article text, with their paths from the root."""
-    for child in node.nodes():
-        within = inside or child.tag in ("article", "main")
-        if not dropped(child, within):
-            here = (*path, child.sign)
-            yield child, here, within
-            yield from _walk(child, here, within)
+    if not node.mark or node.tag in ("html", "body", "article", "main"):
+        return False
+    return bool(NOT_TEXT_WORDS.search(node.mark)) or bool(LOOSE_WORDS.search(node.mark)) and (not inside or node.linked >= LINKS * max(node.size, 1))
 
 
 def _key(x: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _walk(root: Node) -> Iterator[tuple[Node, int, int, int, bool]]:
+    """Nodes that may hold article text, in page order: node, path, its parent's path, depth, whether inside of an article.
+    A path is named by a hash of its parent's name and the node's tag and mark; the root's is 0."""
+    todo = [(root, 0, 0, 0, False)]
+    while todo:
+        node, path, parent, depth, inside = todo.pop()
+        if depth:
+            yield node, path, parent, depth, inside
+        for child in reversed(node.nodes()):
+            within = inside or child.tag in ("article", "main")
+            if not dropped(child, within):
+                todo.append((child, _key((path, child.tag, child.mark)), path, depth + 1, within))
+
+
 def constants(html: str) -> tuple[int, set[tuple[int, int]]]:
     """A page's article, by its first heading and longest text, and the (path, text) of its nodes that may be template."""
     head, longest, out = "", "", set()
-    for node, path, _ in _walk(parse(html), (), False):
+    for node, path, *_ in _walk(parse(html)):
         if text := node.own():
             if node.tag in HEADINGS:
                 head = head or text
             else:
-                out.add((_key(path), _key(text)))
+                out.add((path, _key(text)))
             if node.tag != "a" and len(text) > len(longest):
                 longest = text
     return _key((head, longest)), out
 
 
-def container(root: Node, fixed: frozenset[tuple[int, int]]) -> tuple[int, tuple[str, ...]]:
-    """A page's layout, by its outer sections, and the path of the container of its running text."""
-    weight: dict[tuple[str, ...], int] = {}
-    outer: set[tuple[str, ...]] = set()
-    for node, path, _ in _walk(root, (), False):
-        if node.tag in SECTIONS and len(path) <= 4:
+def container(root: Node, fixed: frozenset[tuple[int, int]]) -> tuple[int, int, int]:
+    """A page's layout, by its outer sections, and path and depth of the container of its running text."""
+    weight: dict[int, int] = {0: 0}
+    about: dict[int, tuple[int, int, Node]] = {}
+    outer: set[int] = set()
+    for node, path, parent, depth, _ in _walk(root):
+        if node.tag in SECTIONS and depth <= 4:
             outer.add(path)
+        about.setdefault(path, (parent, depth, node))
+        weight.setdefault(path, 0)
         text = node.own()
-        if text and node.tag != "a" and (node.tag in HEADINGS or not fixed or (_key(path), _key(text)) not in fixed):
-            for k in range(1, len(path) + 1):
-                weight[path[:k]] = weight.get(path[:k], 0) + len(text)
+        if text and node.tag != "a" and (node.tag in HEADINGS or not fixed or (path, _key(text)) not in fixed):
+            weight[path] += len(text)
+    for path in reversed(about):  # parents stand before their children
+        weight[about[path][0]] += weight[path]
     layout = _key(sorted(outer))
-    if not weight:
-        return layout, ()
-    named = [p for p in weight if p[-1].split("|")[0] in ("article", "main") or "main" in p[-1].split("|")[1].split()]
+    full = {p: w for p, w in weight.items() if p and w}
+    if not full:
+        return layout, 0, 0
+    depth = lambda p: about[p][1]
+    named = [p for p in full if about[p][2].tag in ("article", "main") or "main" in about[p][2].mark.split()]
     if named:
-        path = max(named, key=lambda p: (weight[p], -len(p)))
-        inner = [p for p in named if p[: len(path)] == path and p[-1].startswith("article|") and weight[p] >= 0.5 * weight[path]]
-        return layout, max(inner, key=len, default=path)
-    total = max(weight.values())
-    return layout, max((p for p in weight if weight[p] >= 0.8 * total and p[-1].split("|")[0] in ("body", "div", "section", "td", "center")), key=len, default=())
+        path = max(named, key=lambda p: (full[p], -depth(p)))
+
+        def below(p: int) -> bool:
+            while p and p != path:
+                p = about[p][0]
+            return p == path
+
+        inner = [p for p in named if about[p][2].tag == "article" and full[p] >= 0.5 * full[path] and below(p)]
+        path = max(inner, key=depth, default=path)
+        return layout, path, depth(path)
+    total = max(full.values())
+    path = max((p for p in full if full[p] >= 0.8 * total and about[p][2].tag in ("body", "div", "section", "td", "center")), key=depth, default=0)
+    return layout, path, depth(path) if path else 0
 
 
 @lru_cache(maxsize=256)
-def _wrapper(fixed: str | None, votes: str | None) -> tuple[frozenset[tuple[int, int]], dict[int, tuple[str, ...]]]:
-    return frozenset((x["p"], x["t"]) for x in json.loads(fixed or "[]")), {x["layout"]: tuple(json.loads(x["path"])) for x in json.loads(votes or "[]")}
+def _wrapper(fixed: str | None, votes: str | None) -> tuple[frozenset[tuple[int, int]], dict[int, int]]:
+    return frozenset((x["p"], x["t"]) for x in json.loads(fixed or "[]")), {x["layout"]: x["path"] for x in json.loads(votes or "[]")}
 
 
 def extract(html: str | None, fixed: str | None = None, votes: str | None = None) -> str:
-    """The page's text through its host's wrapper: template nodes, and containers of layouts whose pages disagree, as JSON."""
+    """The page's text through its host's wrapper: template nodes, and containers of layouts whose pages disagree, as JSON.
+
+    Where template would be more than half of a container's text, pages of the
+    host are copies of one another: then nothing in it is template.
+    """
     if not html or not html.strip():
         return ""
     constant, agreed = _wrapper(fixed, votes)
     root = parse(html)
-    layout, own = container(root, constant)
-    at = agreed.get(layout, own)
-    found = _containers(root, at)
-    if not found:
-        at, found = own, _containers(root, own)
+    layout, own, _ = container(root, constant)
+    found = _containers(root, agreed.get(layout, own)) or _containers(root, own)
     parts: list[str] = []
+    for node, path in found:
+        mine, gone = _gather(node, path, constant)
+        if gone > sum(map(len, mine)):
+            mine, _ = _gather(node, path, frozenset())
+        parts += [" ", *mine]
+    return " ".join("".join(parts).split())
 
-    def gather(node: Node, path: tuple[str, ...]) -> None:
-        if constant and node.tag not in HEADINGS and (_key(path), _key(node.own())) in constant:
-            for c in node.nodes():
-                if not dropped(c, True):
-                    gather(c, (*path, c.sign))
-            return
-        for c in node.children:
+
+def _gather(top: Node, path: int, constant: frozenset[tuple[int, int]]) -> tuple[list[str], int]:
+    """Pieces of text below a node, a space at each block's edges, and the length of what was template."""
+    parts: list[str] = []
+    gone = 0
+    todo: list[str | tuple[Node, int]] = [(top, path)]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            parts.append(item)
+            continue
+        node, path = item
+        text = node.own() if constant and node.tag not in HEADINGS else ""
+        fixed = bool(text) and (path, _key(text)) in constant
+        gone += len(text) if fixed else 0
+        for c in reversed(node.children):
             if isinstance(c, str):
-                parts.append(c)
+                if not fixed:
+                    todo.append(c)
             elif not dropped(c, True):
-                edge = " " if c.tag in BLOCK else ""
-                parts.append(edge)
-                gather(c, (*path, c.sign))
-                parts.append(edge)
-
-    for node in found:
-        parts.append(" ")
-        gather(node, at)
-    return " ".join("".join(parts).split())
+                edge = [" "] if c.tag in BLOCK else []
+                todo += [*edge, (c, _key((path, c.tag, c.mark))), *edge]
+    return parts, gone
 
 
-def _containers(root: Node, path: tuple[str, ...]) -> list[Node]:
-    level = [root]
-    for sign in path:
-        level = [c for n in level for c in n.nodes() if c.sign == sign]
-    return level
+def _containers(root: Node, path: int) -> list[tuple[Node, int]]:
+    """The nodes with a container's path, and that path; the root has path 0."""
+    return [(n, p) for n, p, *_ in _walk(root) if p == path] if path else [(root, 0)]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -236,10 +284,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [container(parse(x.as_py()), _wrapper(f.as_py(), None)[0]) for x, f in zip(b.column("html"), b.column("fixed"))]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([g[0] for g in got], pa.int64()), pa.array([json.dumps(g[1]) for g in got], pa.string())], names=["host", "layout", "path"])
+            layout, path, depth = zip(*got) if got else [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(layout, pa.int64()), pa.array(path, pa.int64()), pa.array(depth, pa.int32())], names=["host", "layout", "path", "depth"])
 
-    votes = rows.where("html is not null").select("host", "html", "fixed").mapInArrow(vote, "host string, layout long, path string").groupBy("host", "layout", "path").agg(F.count("*").alias("n"))
-    votes = votes.groupBy("host", "layout").agg(F.count("*").alias("paths"), F.min(F.struct(-F.col("n"), F.length("path"), F.col("path").alias("path"))).alias("best")).where("paths > 1")
+    votes = rows.where("html is not null").select("host", "html", "fixed").mapInArrow(vote, "host string, layout long, path long, depth int").groupBy("host", "layout", "path", "depth").agg(F.count("*").alias("n"))
+    votes = votes.groupBy("host", "layout").agg(F.count("*").alias("paths"), F.min(F.struct(-F.col("n"), "depth", F.col("path").alias("path"))).alias("best")).where("paths > 1")
     votes = keep(votes.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("layout", F.col("best.path").alias("path"))))).alias("votes")), "votes")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
