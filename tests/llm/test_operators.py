@@ -566,3 +566,19 @@ def test_pipeline_on_a_folder(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == set(range(40))
+
+
+def test_ann_lists_are_balanced():
+    r = np.random.default_rng(6)
+    x = np.r_[r.normal(size=(3000, 8)) * 0.01 + 1, r.normal(size=(1000, 8)), np.ones((500, 8))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = ann._balanced(x, ann._kmeans(x, 20), 450, 500)
+    near = (x @ c.T).argmax(1)
+    for i in np.flatnonzero(np.bincount(near, minlength=len(c)) > 450):
+        assert len(np.unique(x[near == i], axis=0)) == 1
+
+
+def test_ann_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.5, 0.5]) for i in range(60)]
+    got = ann.nearest(spark.createDataFrame(rows + rows[:7], "vec_id long, embedding array<float>"), F.col("vec_id") == 31).orderBy("rank").collect()
+    assert [g.vec_id for g in got] == [i for i in range(1, 43, 2) if i != 31][:20]

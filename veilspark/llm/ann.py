@@ -2,14 +2,15 @@
 
 Vectors are scaled by the largest norm and given one more component that fills
 them up to the unit sphere, so the largest inner product is the nearest point.
-Centroids come from k-means on a bounded sample; their number follows the table,
-so lists stay near LIST rows up to MOST centroids, beyond which long lists are
-read in blocks. A graph over the centroids, small enough to be sent everywhere,
+Centroids come from k-means on a bounded sample, clusters of more than UNEVEN times
+the mean split in two; their number follows the table, so lists stay near LIST rows
+up to MOST centroids, beyond which long lists are read in blocks. A graph over the centroids, small enough to be sent everywhere,
 is searched best-first to find the centroids near a vector or query. A vector is
 posted to its nearest centroid and, if it lies on a boundary, to others almost as
-near that are not behind one already taken. A query reads the lists whose centroid
-is within a ratio of the nearest one's distance: few in dense regions, many where
-distances hardly differ. The nearest FIRST lists are read first; their k-th best
+near that are not behind one already taken. A query's search keeps a beam of lists,
+which grows more slowly than their number, and reads those of it whose centroid is
+within a ratio of the nearest one's distance: few in dense regions, the whole beam
+where distances hardly differ. The nearest FIRST lists are read first; their k-th best
 score is what a vector in the others must reach, so those yield few rows however
 many lists there are. Scores are computed on the original vectors in double.
 """
@@ -17,6 +18,7 @@ many lists there are. Scores are computed on the original vectors in double.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,10 @@ from pyspark.sql import functions as F
 from veilspark.llm.work import keep
 
 LIST, MOST, SAMPLE, FIRST = 200, 2048, 20_000, 4
+#: A list holds at most UNEVEN times the mean of the sample's rows, unless they are equal.
+UNEVEN = 2
+#: Lists a query's search keeps: BEAM times their number to the power SPREAD, 32 at least.
+BEAM, SPREAD = 1.3, 0.7
 
 
 @dataclass
@@ -92,6 +98,26 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray
     return c
 
 
+def _balanced(x: np.ndarray, c: np.ndarray, most_rows: int, most: int) -> np.ndarray:
+    """Centroids of which none is nearest to more than ``most_rows`` rows of x, as far as rows differ and ``most`` allows: larger ones are split in two."""
+    settled: set[bytes] = set()
+    while len(c) < most:
+        near = np.concatenate([(part @ c.T).argmax(1) for part in np.array_split(x, max(1, len(x) // 2048))])
+        sizes = np.bincount(near, minlength=len(c))
+        wide = [i for i in np.argsort(-sizes, kind="stable").tolist() if sizes[i] > most_rows and c[i].tobytes() not in settled][: most - len(c)]
+        if not wide:
+            break
+        for i in wide:
+            own = x[near == i]
+            if len(np.unique(own, axis=0)) < 2:
+                settled.add(c[i].tobytes())
+                continue
+            pair = _kmeans(own, 2, rounds=4, seed=len(c))
+            c[i] = pair[0]
+            c = np.r_[c, pair[1:]]
+    return c
+
+
 def _usable(v: str) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     return F.col(v).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
@@ -104,7 +130,8 @@ def build(vectors: DataFrame, dim: int, count: int, top_norm: float, list_rows:
     graph = Graph(np.empty((0, dim + 1)), np.empty((0, 0), np.int64), np.empty(0, np.int64), top_norm)
     x = graph.lift(np.stack(rows["v"].to_numpy()).astype(float))
     k = int(np.clip(count // list_rows, 1, min(most, max(1, len(x) // 4))))
-    c = _kmeans(x, k)
+    c = _balanced(x, _kmeans(x, k), UNEVEN * max(1, len(x) // k), most)
+    k = len(c)
     graph.points = c
     graph.edges = np.argsort(-(c @ c.T), axis=1, kind="stable")[:, 1 : degree + 1]
     rng = np.random.default_rng(5)
@@ -116,24 +143,33 @@ def build(vectors: DataFrame, dim: int, count: int, top_norm: float, list_rows:
 
 def _post(graph: Graph, replicas: int, closure: float):
     """Lists of each vector: the nearest, and others within ``closure`` times its
-    distance that are nearer to the vector than to every list taken before."""
+    distance that are nearer to the vector than to every list taken before. A
+    batch of vectors is compared with all centroids at once."""
+    points = graph.points
+    apart = np.maximum(0, 2 - 2 * points @ points.T)
+
+    def lists_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = min(2 * replicas, len(points))
+        d = np.maximum(0, (x * x).sum(1)[:, None] + 1 - 2 * x @ points.T)
+        near = np.argpartition(d, wide - 1, axis=1)[:, :wide]
+        near = np.take_along_axis(near, np.lexsort((near, np.take_along_axis(d, near, 1))), 1)
+        d = np.take_along_axis(d, near, 1)
+        taken = np.zeros(near.shape, bool)
+        for j in range(wide):
+            clear = np.ones(len(x), bool)
+            for t in range(j):
+                clear &= ~taken[:, t] | (apart[near[:, j], near[:, t]] > d[:, j])
+            taken[:, j] = clear & (d[:, j] <= closure**2 * d[:, 0] + 1e-12) & (taken.sum(1) < replicas)
+        row, at = np.nonzero(taken)
+        return row, near[row, at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, lists = [], []
-            x = graph.lift(np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, -1)) if b.num_rows else np.empty((0, 0))
-            for i, v in enumerate(x):
-                near, d = graph.search(v, 2 * replicas, 32)
-                taken: list[int] = []
-                for c, dc in zip(near.tolist(), d.tolist()):
-                    if dc > closure**2 * d[0] + 1e-12 or len(taken) == replicas:
-                        break
-                    if all(((graph.points[c] - graph.points[t]) ** 2).sum() > dc for t in taken):
-                        taken.append(c)
-                ids += [i] * len(taken)
-                lists += taken
-            rows = b.take(pa.array(ids, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *rows.columns], names=["list", "vec_id", "v"])
+        for big in batches:
+            for start in range(0, big.num_rows, 1024):
+                b = big.slice(start, 1024)
+                row, lists = lists_of(graph.lift(np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, -1)))
+                rows = b.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *rows.columns], names=["list", "vec_id", "v"])
 
     return run
 
@@ -214,7 +250,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, ratio: float = 1.2
     for r in ids.groupBy("list").agg(F.count("*").alias("n")).collect():  # as many rows as there are centroids
         sizes[r["list"]] = r["n"]
     most = ids.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    asked = asked.mapInArrow(_probe(graph, ratio, beam or len(graph.points), sizes, most * (k + 1)), f"list int, turn int, query_id long, q {kind}")
+    asked = asked.mapInArrow(_probe(graph, ratio, beam or max(32, math.ceil(BEAM * len(graph.points) ** SPREAD)), sizes, most * (k + 1)), f"list int, turn int, query_id long, q {kind}")
     asked = keep(asked, "probes")
     members = posted.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("list", "block", "vec_id", "v")
 
