@@ -162,29 +162,26 @@ def _scan(width: int):
 
 
 def _windows(width: int):
-    """doc_id, z and the document's shared anchors to the windows under them: two hashes and start of each,
-    those under very common anchors apart. A start carries a tag of its text, as several may have one doc_id."""
+    """doc_id, z and shared anchors of the document to the windows under them: two hashes and start of each.
+    A start carries a tag of its text, as several may have one doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            packed, marks = b.column("z"), (b.column("cold"), b.column("hot"))
-            out: list[list] = [[] for _ in range(6)]
+            packed, marks = b.column("z"), b.column("marks")
+            out: list[list] = [[], [], []]
             for part in _groups([4 * len(z.as_py()) for z in packed]):
                 words = [unpack.decompress(z.as_py()).split() for z in packed[part]]
                 ids, start = batch_ids(words)
                 anchor = anchors(ids, width).view(np.int64)
                 names = [windows(ids, width, base).view(np.int64) for base in BASES]
-                for i, (s, w) in enumerate(zip(start.tolist(), words)):
-                    n, tag = max(0, len(w) - width + 1), text_tag(w)
-                    for k, mark in enumerate(marks):
-                        own = mark[part][i].values.to_numpy(zero_copy_only=False)
-                        at = np.flatnonzero(np.isin(anchor[s : s + n], own))
-                        for j in (0, 1):
-                            out[3 * k + j].append(names[j][s : s + n][at])
-                        out[3 * k + 2].append(at | tag)
-            kinds = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("z"), *[pa.array(x, kinds) for x in out]], names=["doc_id", "z", "h", "g", "p", "hot_h", "hot_g", "hot_p"])
+                for s, w, own in zip(start.tolist(), words, marks[part]):
+                    n = max(0, len(w) - width + 1)
+                    at = np.flatnonzero(np.isin(anchor[s : s + n], own.values.to_numpy(zero_copy_only=False)))
+                    for column, name in zip(out, names):
+                        column.append(name[s : s + n][at])
+                    out[2].append(at | text_tag(w))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, pa.list_(pa.int64())) for x in out]], names=["doc_id", "h", "g", "p"])
 
     return run
 
@@ -248,18 +245,18 @@ def cut_repeats(docs: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]
     own = lambda which: F.collect_set(F.when(which, F.col("anchor")))
     marked = join_counted(posts, shared, "anchor").groupBy("doc_id").agg(own(~hot).alias("cold"), own(hot).alias("hot"))
     packed = texts.mapInArrow(_pack, "doc_id long, z binary")
-    found = "doc_id long, z binary, " + ", ".join(f"{x} array<long>" for x in ("h", "g", "p", "hot_h", "hot_g", "hot_p"))
-    found = keep(packed.join(marked, "doc_id").mapInArrow(_windows(width), found), "windows")
+    found = keep(packed.join(marked, "doc_id"), "shared-texts")
     drop(shared)
 
-    def rows(*names: str) -> DataFrame:
-        each = found.select("doc_id", F.explode(F.arrays_zip(*[F.col(n).alias(c) for n, c in zip(names, "hgp")])).alias("w"))
-        return each.select("doc_id", F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.p").alias("p"))
+    def rows(which: str) -> DataFrame:
+        own = found.where(F.size(which) > 0).select("doc_id", "z", F.col(which).alias("marks"))
+        made = own.mapInArrow(_windows(width), "doc_id long, h array<long>, g array<long>, p array<long>")
+        return made.select("doc_id", F.explode(F.arrays_zip("h", "g", "p")).alias("w")).select("doc_id", "w.h", "w.g", "w.p")
 
     # a window's smallest document: one sorted pass where anchors are rare, counts first where windows may be very common
     first = F.min("doc_id").over(Window.partitionBy("h", "g").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    repeated = rows("h", "g", "p").withColumn("lo", first).where("doc_id > lo").select("doc_id", "p")
-    common = rows("hot_h", "hot_g", "hot_p")
+    repeated = rows("cold").withColumn("lo", first).where("doc_id > lo").select("doc_id", "p")
+    common = rows("hot")
     owners = keep(common.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "g", "lo", "c"), "owners")
     repeated = repeated.unionByName(join_counted(common, owners, ["h", "g"]).where("doc_id > lo").select("doc_id", "p"))
     starts = repeated.groupBy("doc_id").agg(F.collect_list("p").alias("starts"))
