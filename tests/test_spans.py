@@ -65,11 +65,23 @@ def test_match_gold(spark):
     assert (m.tp, m.fp, m.fn) == (1, 2, 1) and m.precision == 0.333333
 
 
-def test_merge_with_gap(spark):
-    rows = [(1, 1, 0, 5, "ADDRESS", "a", 1.0, "d"), (1, 1, 9, 12, "ADDRESS", "b", 1.0, "d"), (1, 1, 90, 95, "ADDRESS", "c", 1.0, "d")]
-    docs = spark.createDataFrame([(1, "x" * 100)], "doc_id long, text string")
-    got = spans.merge_addresses(spark.createDataFrame(rows, SCHEMA), docs)
-    assert sorted((r.start, r.end, len(r.value)) for r in got.collect()) == [(0, 12, 12), (90, 95, 5)]
+def test_addresses_merge_over_blanks_and_take_in_their_city(spark):
+    text = "Home 12 Oak Street\nApt 4, Salem, OR 97301 and 9 Elm Road-x-7 Ash Lane."
+    at = lambda v, kind="ADDRESS": (1, 1, text.index(v), text.index(v) + len(v), kind, v, 0.9, "d")
+    rows = [at("12 Oak Street"), at("Apt 4"), at("9 Elm Road"), at("7 Ash Lane")]
+    got = spans.merge_addresses(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert sorted((r.value, r.confidence) for r in got.collect()) == [("12 Oak Street\nApt 4, Salem, OR 97301 and 9 Elm Road", 1.0), ("7 Ash Lane", 0.9)]
+    city = "9 Elm Road\nSalem, OR 97301"
+    got = spans.merge_addresses(spark.createDataFrame([(1, 1, 0, 10, "ADDRESS", "9 Elm Road", 0.9, "d")], SCHEMA), spark.createDataFrame([(1, city)], "doc_id long, text string"))
+    assert [(r.value, r.end) for r in got.collect()] == [(city, len(city))]
+
+
+def test_parts_of_a_patients_name_merge(spark):
+    text = "Patient Name: David A Wilson. Nurse Ann Hill saw Bob Ray"
+    at = lambda v, kind: (1, 1, text.index(v), text.index(v) + len(v), kind, v, 0.8, "d")
+    rows = [at("David A", "PERSON"), at("Wilson", "PERSON"), at("Ann", "PERSON"), at("Hill", "PERSON"), at("Bob Ray", "PERSON")]
+    got = spans.merge_persons(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert sorted((r.value, r.entity_type) for r in got.collect()) == [("Ann", "PERSON"), ("Bob Ray", "PERSON"), ("David A Wilson", "PATIENT"), ("Hill", "PERSON")]
 
 
 def test_empty_inputs(spark):
@@ -86,7 +98,23 @@ def test_usage_is_unknown_for_the_whole_document(spark):
 
 
 def test_reclassify(spark):
-    text = "Patient Anna Smith DOB: 1980-01-01"
-    s = spark.createDataFrame([(1, 1, 8, 18, "PERSON", "Anna Smith", 1.0, "d"), (1, 1, 24, 34, "DATE", "1980-01-01", 1.0, "d")], SCHEMA)
+    text = "Patient information\nName: Anna Smith DOB: 1980-01-01\nTicket of Bob Ray"
+    at = lambda v, kind: (1, 1, text.index(v), text.index(v) + len(v), kind, v, 1.0, "d")
+    s = spark.createDataFrame([at("Anna Smith", "PERSON"), at("1980-01-01", "DATE"), at("Bob Ray", "PERSON")], SCHEMA)
     got = spans.reclassify(s, spark.createDataFrame([(1, text)], "doc_id long, text string"))
-    assert {r.entity_type for r in got.collect()} == {"PATIENT", "DATE_OF_BIRTH"}
+    assert {r.value: r.entity_type for r in got.collect()} == {"Anna Smith": "PATIENT", "1980-01-01": "DATE_OF_BIRTH", "Bob Ray": "PERSON"}
+
+
+def test_not_overlapping_is_its_definition(spark):
+    rows, locked = made(300, 1), made(40, 2)
+    free = [s for s in rows if not any(t[:2] == s[:2] and t[2] < s[3] and s[2] < t[3] for t in locked)]
+    got = [tuple(r) for r in spans.not_overlapping(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(locked, SCHEMA)).collect()]
+    assert sorted(got) == sorted(free) and free
+
+
+def test_overlap_pairs_meet_once(spark):
+    a, b = made(120, 3), made(120, 4)
+    left, right = spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA).select("doc_id", "start", "end")
+    got = spans.overlap_pairs(left.select("doc_id", "start", "end"), right, ["doc_id"], size=4)
+    want = sorted((x[0], x[2], x[3], y[2], y[3]) for x in a for y in b if x[0] == y[0] and x[2] < y[3] and y[2] < x[3])
+    assert sorted((r.doc_id, r.start, r.end, r.r_start, r.r_end) for r in got.collect()) == want

@@ -52,17 +52,26 @@ def _tidy(v: Column) -> Column:
     return F.regexp_replace(v, r"(?i)\s+at\s+", " ")
 
 
+def _let(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
+
+
+def _in_form(day: Column, pattern: str, groups: tuple[int, int, int], as_of: int) -> Column:
+    part = [F.nullif(F.regexp_extract(day, pattern, g), F.lit("")) for g in groups]
+    ymd = F.struct(_let(part[0], _year).alias("y"), _let(part[1], _number).alias("m"), _let(part[2], _number).alias("d"))
+    return _let(ymd, lambda x: exists(x["y"], x["m"], x["d"]) & F.coalesce(plausible(x["y"], as_of), F.lit(False)))
+
+
 def is_real_date(v: Column, as_of: int, with_time: Column | bool = False) -> Column:
     """Dates in one of FORMS; with ``with_time``, also a clock time, alone or behind a date."""
-    v, timed = _tidy(v), F.lit(with_time) if isinstance(with_time, bool) else with_time
-    iso_clock = v.rlike(r"^\d{4}-?\d{2}-?\d{2}[ T]")
-    day = F.when(timed | iso_clock, F.regexp_replace(v, _CLOCK, "")).otherwise(v)
-    good = F.lit(False)
-    for pattern, (gy, gm, gd) in FORMS:
-        part = lambda g: F.nullif(F.regexp_extract(day, pattern, g), F.lit(""))  # noqa: B023, E731
-        y = _year(part(gy))
-        good = good | (exists(y, _number(part(gm)), _number(part(gd))) & F.coalesce(plausible(y, as_of), F.lit(False)))
-    return good | (timed & v.rlike(_TIME))
+    timed = F.lit(with_time) if isinstance(with_time, bool) else with_time
+
+    def judge(v: Column) -> Column:
+        day = F.when(timed | v.rlike(r"^\d{4}-?\d{2}-?\d{2}[ T]"), F.regexp_replace(v, _CLOCK, "")).otherwise(v)
+        forms = lambda day: F.exists(F.array(*[_in_form(day, p, g, as_of) for p, g in FORMS]), lambda x: x)
+        return _let(day, forms) | (timed & v.rlike(_TIME))
+
+    return _let(_tidy(v), judge)
 
 
 def is_real_date_range(v: Column, as_of: int) -> Column:

@@ -56,17 +56,49 @@ def overlap_ratio(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return inter / F.greatest(a2 - a1, b2 - b1)
 
 
-def ocr_confidence(engine: Column, text: Column, expected: Column) -> Column:
-    """0.7 engine + 0.2 quality + 0.1 coverage, capped for poor text, four decimals.
-
-    Quality is the share of letters, digits and spaces; coverage is words over
-    the words expected, at most 1. Under 5 words cap at 0.45, under 20 at 0.65,
-    quality under 0.6 caps at 0.75.
-    """
-    n = F.length(text)
-    quality = F.when(n > 0, F.length(F.regexp_replace(text, "[^A-Za-z0-9 ]", "")) / n).otherwise(F.lit(0.0))
-    words = F.regexp_count(text, F.lit("[A-Za-z0-9]+"))
-    coverage = F.least(F.lit(1.0), words / F.greatest(expected, F.lit(1)))
-    score = 0.7 * engine + 0.2 * quality + 0.1 * coverage
-    cap = F.when(words < 5, 0.45).when(words < 20, 0.65).when(quality < 0.6, 0.75).otherwise(1.0)
-    return F.round(F.least(score, cap), 4)
+# Characters a page needs for each coverage, and how quality and coverage bound the confidence of recognised text.
+PAGE_COVERAGE = ((500, 1.0), (200, 0.85), (75, 0.70), (25, 0.45))
+LEAST_COVERAGE = 0.20
+
+
+def text_quality(text: Column) -> Column:
+    """0.6 valid characters + 0.4 words of 2 to 35 characters, less a penalty for question marks and runs of symbols; four decimals."""
+    shown = F.length(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]", ""))
+    valid = F.length(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}!-/:-@\[-`{-~]", ""))
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9][A-Za-z0-9'/-]*"), F.lit(0))
+    meant = F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.length(w).between(2, 35))) / F.size(words)).otherwise(F.lit(0.0))
+    odd = F.length(text) - F.length(F.translate(text, "?\ufffd", ""))
+    runs = F.least(F.regexp_count(text, F.lit(r"(?U)[^A-Za-z0-9\s]{4,}")) * 0.05, F.lit(0.25))
+    noise = F.least(odd / F.greatest(F.length(text), F.lit(1)) + runs, F.lit(0.40))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), valid / shown * 0.60 + meant * 0.40 - noise))
+    return F.when(shown > 0, F.round(score, 4)).otherwise(F.lit(0.0))
+
+
+def page_coverage(text: Column, pages: Column) -> Column:
+    each = F.length(text) / F.greatest(pages, F.lit(1))
+    return F.coalesce(*[F.when(each >= least, F.lit(share)) for least, share in PAGE_COVERAGE], F.lit(LEAST_COVERAGE))
+
+
+def ocr_confidence(engine: Column, text: Column, pages: Column) -> Column:
+    """0.7 engine + 0.2 quality + 0.1 coverage, four decimals; poor text bounds it."""
+    quality, coverage = text_quality(text), page_coverage(text, pages)
+    bound = F.when(quality < 0.30, 0.45).when(quality < 0.50, 0.65).when((coverage <= LEAST_COVERAGE) & (quality < 0.80), 0.75).otherwise(1.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(0.7 * engine + 0.2 * quality + 0.1 * coverage, bound)), 4)
+
+
+# Labels that say nothing about what a text holds.
+FIELD_LABELS = (
+    "email", "phone", "mobile", "contact", "pan", "aadhaar", "passport", "ssn", "mrn", "insurance id", "insurance", "policy", "claim number", "claim", "ifsc code", "ifsc", "upi id", "upi", "pin code", "pin", "zip code", "zip",
+    "url", "ip address", "ip", "passport number", "aadhaar number", "pan number", "phone number", "date of birth", "dob", "customer name", "account holder", "account number", "patient name", "patient", "doctor", "consultant",
+    "hospital", "address", "diagnosis", "medication", "medicines", "cpt", "icd", "history", "symptom", "procedure", "vital signs", "lab", "laboratory", "results", "date", "time", "location", "organization", "person", "gender",
+    "age", "sex",
+)
+
+
+def without_labels(text: Column) -> Column:
+    """Lower-case words of three letters at least, without field labels, digits and marks."""
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for label in FIELD_LABELS:  # one after another: a label may show only once another is gone
+        out = F.regexp_replace(out, rf"(?U)\b{label}\b", " ")
+    words = F.filter(F.split(F.regexp_replace(out, r"(?U)[\W\d_]+", " "), " "), lambda w: F.length(w) >= 3)
+    return F.array_join(words, " ")

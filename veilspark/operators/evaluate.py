@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -64,3 +64,53 @@ def error_rates(read: Column, truth: Column) -> tuple[Column, Column]:
     edits = F.levenshtein(read, truth)
     words = F.regexp_count(truth, F.lit(r"\S+"))
     return F.round(edits / F.greatest(F.length(truth), F.lit(1)), 6), F.round(edits / F.greatest(words, F.lit(1)), 6)
+
+
+# Types that count as one in scoring; types not named count as themselves.
+SCORED_AS = {
+    "PERSON": "PATIENT PROVIDER DOCTOR PHYSICIAN NURSE", "DISEASE": "DIAGNOSIS PROBLEM MEDICAL_CONDITION", "MEDICATION": "DRUG", "LAB": "LAB_RESULT LAB_TEST", "DATE": "DATE_TIME START_DATE VISIT_DATE TIME", "DATE_OF_BIRTH": "DOB",
+    "EMAIL": "EMAIL_ADDRESS", "US_PHONE_NUMBER": "PHONE_NUMBER PHONE MOBILE", "ADDRESS": "PO_BOX", "LOCATION": "CITY STATE COUNTRY", "ORGANIZATION": "ORG COMPANY HOSPITAL CLINIC INSTITUTE MEDICAL_FACILITY HEALTHCARE_ORGANIZATION INSURANCE_PROVIDER",
+    "POLICY_NUMBER": "INSURANCE_ID", "TAX_ID": "EIN", "MRN": "MEDICAL_RECORD_NUMBER", "ZIP_CODE": "PIN_CODE POSTAL_CODE", "BANK_ACCOUNT_NUMBER": "BANK_ACCOUNT", "CREDIT_CARD_NUMBER": "CREDIT_CARD", "AADHAAR_NUMBER": "AADHAAR",
+    "PASSPORT_NUMBER": "PASSPORT", "DRIVING_LICENSE": "DRIVING_LICENSE_NUMBER",
+}
+
+
+def scored_type(kind: Column) -> Column:
+    """The type a detector's type counts as in scoring."""
+    name = F.upper(F.trim(F.coalesce(kind, F.lit(""))))
+    pairs = [*[(a, k) for k, names in SCORED_AS.items() for a in names.split()], ("CLINICAL FINDING", "CLINICAL_FINDING")]
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs for x in kv]), name), name)
+
+
+def resolve_annotations(gold: DataFrame, docs: DataFrame) -> DataFrame:
+    """Gold annotations (doc_id, seq, entity_type, value, start, end, page) with missing offsets filled in.
+
+    Equal values of a document take its occurrences one after another, in the
+    order of ``seq``, without those that annotations with offsets hold already;
+    blanks in a value match any blanks. Values that do not occur stay without offsets.
+    """
+    given = gold.where("start is not null and end is not null")
+    asked = gold.where("start is null or end is null")
+    words = F.transform(F.split("value", " "), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    wanted = asked.where("value <> ''").select("doc_id", "value").distinct().withColumn("pattern", F.concat(F.lit(r"\G([\s\S]*?)("), F.array_join(words, r"\s+"), F.lit(")")))
+    both = wanted.join(docs.select("doc_id", "text"), "doc_id")
+    cuts = F.zip_with(F.expr("regexp_extract_all(text, pattern, 1)"), F.expr("regexp_extract_all(text, pattern, 2)"), lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("v")))
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0))
+    found = F.aggregate(cuts, F.array().cast("array<struct<a:int,b:int>>"), lambda acc, c: F.concat(acc, F.array(F.struct((last(acc) + c["g"]).alias("a"), (last(acc) + c["g"] + c["v"]).alias("b")))))
+    places = both.select("doc_id", "value", F.explode(found).alias("m")).select("doc_id", "value", F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    used = given.select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
+    places = places.join(used, ["doc_id", "a", "b"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "value").orderBy("a")))
+    numbered = asked.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "value").orderBy("seq")))
+    filled = numbered.join(places, ["doc_id", "value", "n"], "left").withColumn("start", F.coalesce("a", "start")).withColumn("end", F.coalesce("b", "end"))
+    return given.unionByName(filled.select(*gold.columns))
+
+
+def page_of(offsets: DataFrame, docs: DataFrame) -> DataFrame:
+    """offsets (doc_id, offset) with page: the page of the document's text that holds it; the last page for what no page holds."""
+    from veilspark.functions.text import PAGE_BREAK
+
+    sizes = F.transform(F.split("text", PAGE_BREAK.replace("\f", "\\f").replace("\n", "\\n")), lambda p: F.length(p))
+    ends = F.aggregate(sizes, F.array().cast("array<struct<a:int,b:int>>"), lambda acc, n: F.concat(acc, F.array(F.struct((F.coalesce(F.get(acc, F.size(acc) - 1)["b"] + len(PAGE_BREAK), F.lit(0))).alias("a"), (F.coalesce(F.get(acc, F.size(acc) - 1)["b"] + len(PAGE_BREAK), F.lit(0)) + n).alias("b")))))
+    out = offsets.join(docs.select("doc_id", ends.alias("pages")), "doc_id", "left")
+    at = F.filter(F.transform("pages", lambda p, i: F.when((p["a"] <= F.col("offset")) & (F.col("offset") < p["b"]), i + 1)), lambda x: x.isNotNull())
+    return out.withColumn("page", F.coalesce(F.get(at, 0), F.size("pages"), F.lit(1))).drop("pages")

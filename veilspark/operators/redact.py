@@ -9,7 +9,7 @@ from veilspark.functions.text import value_key
 from veilspark.operators.spans import merge_touching
 
 # Types that must not remain after redaction, and types whose values are looked for in the whole text.
-HIGH_RISK = ("SSN", "CREDIT_CARD", "CREDIT_CARD_NUMBER", "BANK_ACCOUNT", "BANK_ACCOUNT_NUMBER", "EMAIL", "US_PHONE_NUMBER", "PHONE_NUMBER", "MRN", "MEDICAL_RECORD_NUMBER", "PASSPORT_NUMBER", "AADHAAR_NUMBER", "PAN_NUMBER")
+HIGH_RISK = ("ACCESS_CODE", "ADDRESS", "DATE_OF_BIRTH", "EMAIL", "INSURANCE_ID", "MEDICAL_RECORD_NUMBER", "MEMBER_ID", "PATIENT", "REPORT_ID", "PHONE_NUMBER", "SSN", "TRACKING_NUMBER", "US_PHONE_NUMBER")
 EXPANDED = ("PERSON", "PATIENT", "DOCTOR", "PROVIDER", "HOSPITAL", "ORGANIZATION", "ADDRESS", "EMAIL", "PHONE_NUMBER", "US_PHONE_NUMBER", "SSN", "MEMBER_ID", "GROUP_NUMBER", "CLAIM_NUMBER", "POLICY_NUMBER", "MEDICAL_RECORD_NUMBER", "BANK_ACCOUNT_NUMBER", "CREDIT_CARD_NUMBER", "PASSPORT_NUMBER", "EMPLOYEE_ID", "INSURANCE_ID", "DOCUMENT_ID")
 
 
@@ -43,7 +43,8 @@ def expand_occurrences(docs: DataFrame, spans: DataFrame, bounded: bool = False)
     both = values.join(docs.select("doc_id", "text"), "doc_id").withColumn("pattern", F.concat(F.lit(r"(?is)\G(.*?)("), edge, quoted, edge, F.lit(")")))
     found = both.withColumn("gaps", F.expr("regexp_extract_all(text, pattern, 1)")).where(F.size("gaps") > 0)
     n = F.length("needle")
-    starts = F.transform("gaps", lambda g, i: F.aggregate(F.slice(F.col("gaps"), F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i * n)
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1) + n, F.lit(0))
+    starts = F.aggregate("gaps", F.array().cast("array<int>"), lambda acc, g: F.concat(acc, F.array(last(acc) + F.length(g))))
     at = found.withColumn("start", F.explode(starts))
     return at.select("doc_id", F.lit(1).alias("page"), "start", (F.col("start") + n).alias("end"), "entity_type", F.substring(F.col("text"), F.col("start") + 1, n).alias("value"), "confidence", F.lit("expansion").alias("detector"))
 
@@ -111,3 +112,22 @@ def usage_ledger(calls: DataFrame) -> DataFrame:
     return calls.groupBy("doc_id").agg(
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.when(F.bool_and(known), (F.sum(cost).cast("decimal(32,6)") * F.lit(0.000001).cast("decimal(6,6)"))).alias("cost")
     )
+
+
+def normalize_audits(reports: DataFrame) -> DataFrame:
+    """doc_id, accepted, rejected of each report (doc_id, payload as JSON): the objects its audit lists, as JSON texts.
+
+    A payload that is no object, or names another document, has no audit (nulls);
+    a missing or odd audit is empty; entries that are no objects go.
+    """
+    audit = lambda side: F.coalesce(F.from_json(F.get_json_object("payload", f"$.llm_candidate_audit.{side}"), "array<string>"), F.array().cast("array<string>"))
+    objects = lambda side: F.filter(audit(side), lambda x: x.rlike(r"^\s*\{"))
+    owned = F.coalesce(F.get_json_object("payload", "$.document_id") == F.col("doc_id").cast("string"), F.lit(False))
+    return reports.select("doc_id", F.when(owned, objects("accepted")).alias("accepted"), F.when(owned, objects("rejected")).alias("rejected"))
+
+
+def audit_of(decisions: DataFrame) -> DataFrame:
+    """doc_id, accepted, rejected: the values a model's decisions kept and refused, in order of place."""
+    item = F.struct("start", "end", "entity_type", "value")
+    side = lambda kept: F.transform(F.sort_array(F.collect_list(F.when((F.col("decision") != "REJECT") == kept, item))), lambda x: F.to_json(x))
+    return decisions.groupBy("doc_id").agg(side(F.lit(True)).alias("accepted"), side(F.lit(False)).alias("rejected"))

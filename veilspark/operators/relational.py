@@ -42,6 +42,18 @@ def run_name(number: Column) -> Column:
     return F.format_string("RUN-%06d", number)
 
 
-def canonical_provider(c: Column) -> Column:
-    low = F.lower(F.trim(c))
-    return F.when(low.contains("azure"), "azure").when(low.rlike("gemma|qwen|ollama|local"), "local").when(low == "", None).otherwise(low)
+def canonical_provider(name: Column) -> Column:
+    """The name shown for a model's provider: Azure or Gemma for what contains or stands for them, else the name as given; blank is none."""
+    given = F.nullif(F.trim(name), F.lit(""))
+    key = F.translate(F.lower(given), "- ", "__")
+    return F.when(F.contains(key, F.lit("azure")), "Azure").when(F.contains(key, F.lit("gemma")) | (key == "ollama"), "Gemma").otherwise(given)
+
+
+def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``keys`` (what DELETE ... IN leaves): rows with a null key stay."""
+    return df.join(keys.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+
+
+def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """All of new, and what old holds of other keys: delete-then-insert as one table."""
+    return without_keys(old, new, key).unionByName(new)

@@ -63,16 +63,16 @@ def priorities(types: DataFrame, policies: DataFrame | None = None, names: dict[
     own = policies.select(F.col("document_type").alias("known"), F.col("name").alias("entry"), F.col("priority").alias("own"))
     fits = (F.col("entry") == F.col("name")) | ((F.size(_words(F.col("name"))) > 0) & (F.size(F.array_except(_words(F.col("name")), _words(F.col("entry")))) == 0))
     rank = F.row_number().over(Window.partitionBy("document_type", "entity_type").orderBy((F.col("entry") != F.col("name")).cast("int"), "entry"))
-    best = asked.join(own, "known").where(fits).withColumn("r", rank).where("r = 1").select("document_type", "entity_type", "own")
-    same = lambda a, b: a["document_type"].eqNullSafe(b["document_type"]) & (a["entity_type"] == b["entity_type"])
-    return asked.join(best, same(asked, best), "left").select(asked["document_type"], asked["entity_type"], F.coalesce("own", "general", F.lit("NICE_TO_HAVE")).alias("priority"))
+    best = asked.join(own, "known").where(fits).withColumn("r", rank).where("r = 1").select(F.col("document_type").alias("d_"), F.col("entity_type").alias("t_"), "own")
+    out = asked.join(best, F.col("document_type").eqNullSafe(F.col("d_")) & (F.col("entity_type") == F.col("t_")), "left")
+    return out.select("document_type", "entity_type", F.coalesce("own", "general", F.lit("NICE_TO_HAVE")).alias("priority"))
 
 
 def apply(spans: DataFrame, policies: DataFrame | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """Spans (with document_type) with priority and should_mask. DROP spans go where the document's type is given; without one nothing is dropped."""
     table = priorities(spans.select("document_type", "entity_type"), policies, names)
     p = table.select(F.col("document_type").alias("d_"), F.col("entity_type").alias("t_"), "priority")
-    out = spans.join(F.broadcast(p), spans["document_type"].eqNullSafe(F.col("d_")) & (spans["entity_type"] == F.col("t_")), "left").drop("d_", "t_")
+    out = spans.join(F.broadcast(p), F.col("document_type").eqNullSafe(F.col("d_")) & (F.col("entity_type") == F.col("t_")), "left").drop("d_", "t_")
     out = out.withColumn("should_mask", F.col("priority").isin(*MASKED))
     return out.where((F.col("priority") != "DROP") | (F.coalesce("document_type", F.lit("")) == ""))
 

@@ -17,6 +17,7 @@ from veilspark.functions import tables as T
 from veilspark.functions import vocabulary as V
 from veilspark.functions.dates import is_real_date, is_real_date_range
 from veilspark.functions.text import semantic_key
+from veilspark.operators.store import fence
 
 _BLANK = r"\s\x{85}\x{a0}\x{1c}-\x{1f}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}"
 
@@ -41,7 +42,7 @@ def align(spans: DataFrame, docs: DataFrame) -> DataFrame:
     out = out.withColumn("span", _cut(F.col("text"), F.col("start"), F.col("end")))
     out = out.withColumn("start", F.col("start") + F.length(F.regexp_extract("span", V.SPAN_LABEL, 0))).withColumn("span", F.regexp_replace("span", V.SPAN_LABEL, ""))
     says = _squeeze(F.col("span"))
-    out = out.where((says != "") & ((says == _squeeze(F.col("value"))) | (says == _squeeze(F.regexp_replace("value", V.SPAN_LABEL, "")))))
+    out = fence(out).where((says != "") & ((says == _squeeze(F.col("value"))) | (says == _squeeze(F.regexp_replace("value", V.SPAN_LABEL, "")))))
     out = out.withColumn("start", F.col("start") + F.length("span") - F.length(F.regexp_replace("span", f"^[{_BLANK}]+", ""))).withColumn("value", _strip(F.col("span")))
     return out.withColumn("end", F.col("start") + F.length("value")).drop("span")
 
@@ -148,7 +149,7 @@ def by_rules(spans: DataFrame, as_of: int) -> DataFrame:
         listed = _t().isin(*sorted(types))
         choice = F.coalesce(*[F.when(_t().isin(*r.types) & r.holds(as_of), F.lit(r.becomes) if r.becomes else _t()) for r in RULES if types & set(r.types)])
         out = spans.withColumn("choice", F.when(listed, choice).otherwise(_t())).where("choice is not null")
-        spans = out.withColumn("proven", F.col("proven") | (listed & ~_t().isin(*UNPROVEN))).withColumn("entity_type", F.col("choice")).drop("choice")
+        spans = fence(out.withColumn("proven", F.col("proven") | (listed & ~_t().isin(*UNPROVEN))).withColumn("entity_type", F.col("choice")).drop("choice"))
     return spans
 
 
@@ -163,6 +164,6 @@ def validate(spans: DataFrame, docs: DataFrame, as_of: int) -> DataFrame:
     Spans of documents that are not in docs, with null fields or outside of
     their text go; repeated spans are judged alike; no spans give none.
     """
-    out = cut_labels(known_types(align(spans, docs)))
-    out = by_rules(specialise(out.where(~is_noise(_t(), _v()))), as_of)
+    out = fence(cut_labels(fence(known_types(fence(align(spans, docs))))))
+    out = by_rules(fence(specialise(out.where(~is_noise(_t(), _v())))), as_of)
     return cap_models(out).drop("text").withColumn("privacy_category", F.when(F.col("entity_type").isin(*V.HEALTH), "PHI").otherwise("PII"))

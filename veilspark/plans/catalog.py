@@ -97,8 +97,14 @@ _PHRASES = ("bank statement with account number and ifsc", "tax invoice bill to
 def _classified_sql() -> str:
     rows = ", ".join(f"('{kind}', {i}, '{g}', {w}, {n}, '{s}', {sw})" for i, (kind, groups) in enumerate(T.DOCUMENT_SIGNALS.items()) for n, (g, w, sig) in enumerate(groups) for s, sw in sig)
     phrases = ", ".join(f"'{p}'" for p in _PHRASES)
+    repaired = "x"
+    for pattern, to in documents.REPAIRS:
+        repaired = f"regexp_replace({repaired}, '{pattern}', '{to}', 'g')"
     return rf"""WITH sig(kind, ord, grp, gw, gn, signal, w) AS (VALUES {rows}),
-d AS (SELECT l_orderkey AS doc_id, string_agg([{phrases}][l_partkey % 12 + 1], ' ' ORDER BY l_linenumber) AS t FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+raw AS (SELECT -l_orderkey - 1 AS doc_id, string_agg([{phrases}][l_partkey % 12 + 1], ' ' ORDER BY l_linenumber) AS x FROM lineitem GROUP BY 1 UNION ALL SELECT doc_id, text FROM documents),
+low AS (SELECT doc_id, lower(substr(coalesce(x, ''), 1, {documents.MOST_CHARS})) AS x FROM raw),
+fixed AS (SELECT doc_id, CASE WHEN regexp_matches(x, '{documents.REPAIR_SIGNS}') THEN {repaired} ELSE x END AS x FROM low),
+d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '[^a-z0-9#\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM fixed),
 hit AS (SELECT doc_id, sig.* FROM d JOIN sig ON CASE WHEN contains(signal, ' ') OR contains(signal, '#') THEN contains(t, signal) ELSE regexp_matches(t, '\b' || signal || '\b') END),
 grp AS (SELECT doc_id, kind, ord, grp, sum(w) * (1 + any_value(gw) / 10) AS score, bool_or(signal <> 'agreement') AS strong FROM hit GROUP BY ALL),
 size AS (SELECT kind, count(DISTINCT grp) AS groups FROM sig GROUP BY 1),
@@ -194,20 +200,8 @@ def suppress_locked(spark, sf_dir):
     return spans.not_overlapping(s.where("detector = 'llm'"), s.where("detector = 'regex'"))
 
 
-@query(f"""WITH {SPANS}, c AS (SELECT DISTINCT doc_id, k AS chunk_id, k * 60 AS start, k * 60 + 60 AS "end" FROM s, range(3) r(k)),
-x AS (SELECT c.doc_id, chunk_id, c.start AS c0, c."end" AS c1, greatest(s.start, c.start) AS a, least(s."end", c."end") AS b FROM c JOIN s ON c.doc_id = s.doc_id AND s.start < c."end" AND s."end" > c.start),
-y AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc_id, chunk_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c0) AS before FROM x),
-z AS (SELECT doc_id, chunk_id, sum(greatest(0, b - greatest(a, before))) AS covered, count(*) FILTER (a - before >= 20) AS g, max(b) AS last FROM y GROUP BY 1, 2),
-o AS (SELECT c.doc_id, c.chunk_id, coalesce(covered, 0)::BIGINT AS covered, coalesce(covered, 0) / (c."end" - c.start) AS share, (coalesce(g, 0) + CASE WHEN c."end" - coalesce(last, c.start) >= 20 THEN 1 ELSE 0 END)::INT AS gaps FROM c LEFT JOIN z USING (doc_id, chunk_id))
-SELECT doc_id, chunk_id, covered, round(share, 6) AS share, gaps, CASE WHEN covered = 0 THEN 'UNCOVERED' WHEN gaps = 0 THEN 'FULLY' WHEN share < 0.35 OR gaps >= 3 THEN 'INSUFFICIENTLY' ELSE 'PARTIALLY' END AS status FROM o""")
-def chunk_coverage(spark, sf_dir):
-    s = line_spans(spark, sf_dir)
-    chunks = s.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("chunk_id")).select("doc_id", "chunk_id", (F.col("chunk_id") * 60).alias("start"), (F.col("chunk_id") * 60 + 60).alias("end"))
-    return spans.coverage(chunks, s)
-
-
 @query(f"""WITH {SPANS}, c AS (SELECT * REPLACE (CASE WHEN detector = 'clinical' THEN least(confidence, 0.95) WHEN detector = 'llm' THEN greatest(confidence, 0.88) ELSE confidence END AS confidence) FROM s)
-SELECT *, CASE WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM c""")
+SELECT * REPLACE (round(confidence, 3) AS confidence), CASE WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM c""")
 def calibrate_confidence(spark, sf_dir):
     return spans.calibrate(line_spans(spark, sf_dir))
 
@@ -219,17 +213,6 @@ def audit_report(spark, sf_dir):
     return made.select("doc_id", "total", "pii", "phi", "pending", F.array_join("detectors", ",").alias("detectors"))
 
 
-@query(f"""WITH {SPANS}, p(document_type, entity_type, priority) AS (VALUES ('F', 'DATE', 'DROP'), ('F', 'PERSON', 'MUST_HAVE'), (NULL, 'MEDICATION', 'MUST_HAVE'), (NULL, 'DATE', 'GOOD_TO_HAVE')),
-t AS (SELECT s.*, o_orderstatus AS document_type FROM s JOIN orders ON doc_id = o_orderkey)
-SELECT t.document_type, t.entity_type, coalesce(a.priority, b.priority, 'NICE_TO_HAVE') AS priority, coalesce(a.priority, b.priority, '') = 'MUST_HAVE' AS should_mask, count(*) AS n
-FROM t LEFT JOIN p a ON a.document_type = t.document_type AND a.entity_type = t.entity_type LEFT JOIN p b ON b.document_type IS NULL AND b.entity_type = t.entity_type WHERE coalesce(a.priority, b.priority, '') <> 'DROP' GROUP BY ALL""")
-def policy_priorities(spark, sf_dir):
-    policy = spark.createDataFrame([("F", "DATE", "DROP"), ("F", "PERSON", "MUST_HAVE"), (None, "MEDICATION", "MUST_HAVE"), (None, "DATE", "GOOD_TO_HAVE")], "document_type string, entity_type string, priority string")
-    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("document_type"))
-    done = spans.apply_policy(line_spans(spark, sf_dir).join(orders, "doc_id"), policy)
-    return done.groupBy("document_type", "entity_type", "priority", "should_mask").agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {SPANS}, d AS (SELECT detector, CASE WHEN confidence >= 0.8 THEN 'LOCKED' ELSE 'PENDING' END AS status FROM s)
 SELECT detector, count(*) FILTER (status = 'LOCKED') AS "LOCKED", count(*) FILTER (status = 'PENDING') AS "PENDING", 0 AS "PRE_LLM_REJECT" FROM d GROUP BY 1""")
 def routing_counts(spark, sf_dir):
@@ -265,10 +248,14 @@ def vector_cosine(spark, sf_dir):
     return e.join(nxt, "vec_id").select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
 
 
-@query("""WITH t AS (SELECT doc_id, text, n_chars, (doc_id % 10) / 10.0 AS e, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) / length(text) ELSE 0.0 END AS q, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents)
-SELECT doc_id, round(least(0.7 * e + 0.2 * q + 0.1 * least(1.0, w / 100), CASE WHEN w < 5 THEN 0.45 WHEN w < 20 THEN 0.65 WHEN q < 0.6 THEN 0.75 ELSE 1.0 END), 4)::DOUBLE AS confidence FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, text, (doc_id % 10) / 10.0 AS e, regexp_replace(text, '\s', '', 'g') AS shown, regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''/-]*') AS w FROM documents),
+v AS (SELECT *, length(regexp_replace(shown, '[^\p{L}\p{N}!-/:-@\[-`{-~]', '', 'g')) AS valid, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) BETWEEN 2 AND 35)) / len(w) ELSE 0 END AS meant,
+ least((length(text) - length(replace(replace(text, '?', ''), chr(65533), ''))) / greatest(length(text), 1) + least(len(regexp_extract_all(text, '[^A-Za-z0-9\s]{4,}')) * 0.05, 0.25), 0.40) AS noise FROM t),
+q AS (SELECT doc_id, e, CASE WHEN length(shown) > 0 THEN round(greatest(0, least(1, valid / length(shown) * 0.6 + meant * 0.4 - noise)), 4) ELSE 0 END AS q,
+ CASE WHEN length(text) >= 500 THEN 1.0 WHEN length(text) >= 200 THEN 0.85 WHEN length(text) >= 75 THEN 0.70 WHEN length(text) >= 25 THEN 0.45 ELSE 0.20 END AS c FROM v)
+SELECT doc_id, round(greatest(0, least(0.7 * e + 0.2 * q + 0.1 * c, CASE WHEN q < 0.30 THEN 0.45 WHEN q < 0.50 THEN 0.65 WHEN c <= 0.20 AND q < 0.80 THEN 0.75 ELSE 1.0 END)), 4)::DOUBLE AS confidence FROM q""")
 def recognition_confidence(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", X.ocr_confidence((F.col("doc_id") % 10) / F.lit(10.0), F.col("text"), F.lit(100)).alias("confidence"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.ocr_confidence((F.col("doc_id") % 10) / F.lit(10.0), F.col("text"), F.lit(1)).alias("confidence"))
 
 
 # ---- evaluation ---------------------------------------------------------
@@ -288,7 +275,7 @@ def match_gold(spark, sf_dir):
     return evaluate.match_gold(s.where("detector = 'regex'"), s.where("detector <> 'regex'"))
 
 
-@query("""WITH p AS (SELECT a.item_id, substr(regexp_replace(a.text, '[^ -~]', '', 'g'), 1, 300) AS x, substr(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 300) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
+@query("""WITH p AS (SELECT a.item_id, regexp_replace(a.text, '[^ -~]', '', 'g') AS x, regexp_replace(b.text, '[^ -~]', '', 'g') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
 SELECT item_id, round(levenshtein(x, y) / greatest(length(y), 1), 6) AS cer, round(levenshtein(x, y) / greatest(len(regexp_extract_all(y, '\\S+')), 1), 6) AS wer FROM p""".replace("\\\\", "\\"))
 def error_rates(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("x"))
@@ -377,3 +364,9 @@ def image_area(spark, sf_dir):
     x, y = (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double")
     boxes = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), x.alias("left"), y.alias("top"), (x + F.col("l_quantity")).alias("right"), (y + 20).alias("bottom"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"))
     return layout.union_area(boxes)
+
+
+from veilspark.plans import cases  # noqa: E402
+
+QUERIES |= cases.CASES
+ORACLES |= cases.ANSWERS

@@ -7,7 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators import detect, documents, redact, spans
+from veilspark.functions import tables as T
+from veilspark.functions import vocabulary as V
+from veilspark.operators import detect, documents, redact, rules, spans, taxonomy, validate
+from veilspark.operators.store import fence, settle
+
+LEAST = 0.60
 
 
 @dataclass
@@ -18,21 +23,58 @@ class Release:
     reports: DataFrame
 
 
-def find_spans(docs: DataFrame, entities: tuple[str, ...] | None = None, least: float = 0.60) -> DataFrame:
-    """Canonical, calibrated, non-overlapping spans of whole documents."""
-    found = detect.detect(documents.split_pages(docs), entities)
-    typed = spans.normalize_types(found).where(F.col("confidence") >= least)
-    return spans.drop_line_crossing(spans.resolve(spans.dedupe(spans.calibrate(typed))))
+def candidates(docs: DataFrame, entities: tuple[str, ...] | None = None) -> DataFrame:
+    """Spans of all detectors that need no model, over the pages of whole documents."""
+    pages = documents.split_pages(docs)
+    found = detect.detect(pages, entities)
+    if entities is not None:
+        return found
+    return found.unionByName(rules.supplements(pages)).unionByName(rules.care_roles(pages)).unionByName(rules.phrases(pages))
+
+
+def finalize(found: DataFrame, docs: DataFrame, as_of: int, policies: DataFrame | None = None) -> DataFrame:
+    """What stands of found spans, in the order: validation, type names, policy, confidence, duplicates, overlaps,
+    lines, addresses, names, the safety net, words around, calibration.
+
+    docs may have document_type; without it no policy drops anything.
+    """
+    good = spans.normalize_types(validate.validate(found, docs, as_of).drop("original_type", "proven"))
+    kinds = docs.select("doc_id", (F.col("document_type") if "document_type" in docs.columns else F.lit(None).cast("string")).alias("document_type"))
+    good = fence(taxonomy.apply(settle(good.join(kinds, "doc_id")), policies).drop("document_type", "priority", "should_mask"))
+    good = spans.calibrate(good.where(F.col("confidence") >= LEAST)).drop("level")
+    good = settle(spans.drop_line_crossing(spans.resolve(spans.dedupe(good))))
+    good = spans.merge_persons(spans.merge_addresses(good, docs), docs)
+    net = spans.normalize_types(validate.validate(found.where("detector = 'regex'"), docs, as_of).drop("original_type", "proven"))
+    net = net.where(F.col("entity_type").isin(*redact.HIGH_RISK)).select(*good.columns)
+    every = spans.resolve(spans.dedupe(good.unionByName(net)))
+    return spans.calibrate(spans.reclassify(every, docs))
+
+
+def find_spans(docs: DataFrame, as_of: int, entities: tuple[str, ...] | None = None, policies: DataFrame | None = None) -> DataFrame:
+    """Validated, calibrated spans of whole documents that do not overlap."""
+    return finalize(settle(candidates(docs, entities)), docs, as_of, policies)
+
+
+def _residual(text: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    found = detect.detect(text.select("doc_id", F.col("redacted_text").alias("text")), kinds)
+    return spans.normalize_types(found).where(F.col("entity_type").isin(*redact.HIGH_RISK))
+
 
+def release(docs: DataFrame, as_of: int = 2025, rounds: int = 3, entities: tuple[str, ...] | None = None, policies: DataFrame | None = None) -> Release:
+    """Detect, redact, redact up to ``rounds`` times what the high-risk patterns still find, verify and report.
 
-def release(docs: DataFrame, rounds: int = 1, entities: tuple[str, ...] | None = None) -> Release:
-    """Detect, redact, then redact what detection still finds, ``rounds`` times, verify and report."""
-    found = find_spans(docs, entities)
+    A document is RELEASED only if each span's text was what it says, no value is
+    left as a word, and no high-risk pattern matches what is to go out. ``as_of``
+    is the year that dates are judged in.
+    """
+    found = settle(find_spans(docs, as_of, entities, policies))
     wide = found.select("doc_id", "page", "start", "end", "entity_type", "value", "confidence", "detector")
-    every = wide.unionByName(redact.expand_occurrences(docs, wide))
-    text = redact.redact(docs, every)
+    text = settle(redact.redact(docs, wide.unionByName(redact.expand_occurrences(docs, wide))))
+    kinds = tuple(t for t in T.PATTERNS if V.TYPE_ALIASES.get(t, t) in redact.HIGH_RISK)
     for _ in range(rounds):
-        again = text.select("doc_id", F.col("redacted_text").alias("text"))
-        text = redact.redact(again, detect.detect(again, tuple(t for t in redact.HIGH_RISK if t in detect.VALID)))
-    status = redact.verify(docs, wide, text)
+        left = settle(_residual(text, kinds))
+        if left.isEmpty():
+            break
+        text = settle(redact.redact(text.select("doc_id", F.col("redacted_text").alias("text")), left))
+    status = redact.verify(docs, wide, text, _residual(text, kinds))
     return Release(found, text, status, redact.report(found))
