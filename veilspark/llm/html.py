@@ -11,7 +11,6 @@ pages of one layout disagree, the commonest container holds for all of them.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections import Counter
@@ -20,6 +19,7 @@ from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +46,10 @@ HEADINGS = frozenset("h1 h2 h3".split())
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children", "size", "linked")
+    __slots__ = ("tag", "mark", "children")
 
     def __init__(self, tag: str, mark: str = "") -> None:
-        self.tag, self.mark, self.children, self.size, self.linked = tag, mark, [], 0, 0
+        self.tag, self.mark, self.children = tag, mark, []
 
     def own(self) -> str:
         return " ".join(" ".join(c for c in self.children if isinstance(c, str)).split())
@@ -77,9 +77,11 @@ class _Reader(HTMLParser):
             self._close({"p"}, CLOSES_P - {"p"})
         if tag in SAME:
             self._close(SAME[tag], SCOPE[tag])
-        found = dict(attrs)
-        mark = " ".join(filter(None, (found.get("class"), found.get("id"), found.get("role")))).lower()
-        node = Node(tag, " ".join(mark.split()))
+        mark = ""
+        if attrs:
+            found = dict(attrs)
+            mark = " ".join(" ".join(filter(None, (found.get("class"), found.get("id"), found.get("role")))).lower().split())
+        node = Node(tag, mark)
         self.path[-1].children.append(node)
         if tag not in VOID:
             self.path.append(node)
@@ -109,33 +111,53 @@ class _Reader(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
-    """The tree, with the length of each node's text and of what of it stands in links."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    order, todo = [], [reader.root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += node.nodes()
-    for node in reversed(order):
-        below = node.nodes()
-        node.size = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.size for c in below)
-        node.linked = node.size if node.tag == "a" else sum(c.linked for c in below)
     return reader.root
 
 
+def _links(top: Node) -> bool:
+    """Whether links make up LINKS of a node's text at least."""
+    size = linked = 0
+    todo = [(top, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.tag == "a"
+        for c in node.children:
+            if isinstance(c, str):
+                size += len(c.strip())
+                linked += len(c.strip()) if inside else 0
+            else:
+                todo.append((c, inside))
+    return linked >= LINKS * max(size, 1)
+
+
+@lru_cache(maxsize=1 << 14)
+def _marked(mark: str) -> tuple[bool, bool]:
+    return bool(NOT_TEXT_WORDS.search(mark)), bool(LOOSE_WORDS.search(mark))
+
+
 def dropped(node: Node, inside: bool) -> bool:
     """Whether a node is no article text. A header counts as one only outside of the container."""
     if node.tag in NOT_TEXT or node.tag == "header" and not inside:
         return True
     if not node.mark or node.tag in ("html", "body", "article", "main"):
         return False
-    return bool(NOT_TEXT_WORDS.search(node.mark)) or bool(LOOSE_WORDS.search(node.mark)) and (not inside or node.linked >= LINKS * max(node.size, 1))
+    plain, loose = _marked(node.mark)
+    return plain or loose and (not inside or _links(node))
+
+
+def _key(text: str) -> int:
+    """A signed 64-bit name of a text."""
+    n = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
 
 
-def _key(x: object) -> int:
-    return int.from_bytes(hashlib.blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+@lru_cache(maxsize=1 << 16)
+def _below(path: int, tag: str, mark: str) -> int:
+    """The path of a node below another; pages of a host repeat theirs."""
+    return _key(f"{path} {tag} {mark}")
 
 
 def _walk(root: Node) -> Iterator[tuple[Node, int, int, int, bool]]:
@@ -146,10 +168,12 @@ def _walk(root: Node) -> Iterator[tuple[Node, int, int, int, bool]]:
         node, path, parent, depth, inside = todo.pop()
         if depth:
             yield node, path, parent, depth, inside
-        for child in reversed(node.nodes()):
+        for child in reversed(node.children):
+            if isinstance(child, str):
+                continue
             within = inside or child.tag in ("article", "main")
             if not dropped(child, within):
-                todo.append((child, _key((path, child.tag, child.mark)), path, depth + 1, within))
+                todo.append((child, _below(path, child.tag, child.mark), path, depth + 1, within))
 
 
 def constants(html: str) -> tuple[int, set[tuple[int, int]]]:
@@ -163,7 +187,7 @@ def constants(html: str) -> tuple[int, set[tuple[int, int]]]:
                 out.add((path, _key(text)))
             if node.tag != "a" and len(text) > len(longest):
                 longest = text
-    return _key((head, longest)), out
+    return _key(f"{head}\n{longest}"), out
 
 
 def container(root: Node, fixed: frozenset[tuple[int, int]]) -> tuple[int, int, int]:
@@ -181,7 +205,7 @@ def container(root: Node, fixed: frozenset[tuple[int, int]]) -> tuple[int, int,
             weight[path] += len(text)
     for path in reversed(about):  # parents stand before their children
         weight[about[path][0]] += weight[path]
-    layout = _key(sorted(outer))
+    layout = _key(str(sorted(outer)))
     full = {p: w for p, w in weight.items() if p and w}
     if not full:
         return layout, 0, 0
@@ -249,7 +273,7 @@ def _gather(top: Node, path: int, constant: frozenset[tuple[int, int]]) -> tuple
                     todo.append(c)
             elif not dropped(c, True):
                 edge = [" "] if c.tag in BLOCK else []
-                todo += [*edge, (c, _key((path, c.tag, c.mark))), *edge]
+                todo += [*edge, (c, _below(path, c.tag, c.mark)), *edge]
     return parts, gone
 
 
