@@ -28,6 +28,7 @@ def find_all(text: Column, value: str, lead: str = "", tail: str = "") -> Column
     kind = "array<struct<start:int,end:int,value:string>>"
     at = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
     one = lambda acc, c: F.struct((at(acc) + F.length(c["gap"])).alias("start"), (at(acc) + F.length(c["gap"]) + F.length(c["v"])).alias("end"), c["v"].alias("value"))
+    cuts = F.when(text.rlike(f"{lead}{value}(?={tail})" if tail else f"{lead}{value}"), cuts)  # most texts hold no match: one look tells
     return F.aggregate(F.coalesce(cuts, F.array().cast("array<struct<gap:string,v:string>>")), F.array().cast(kind), lambda acc, c: F.concat(acc, F.array(one(acc, c))))
 
 
