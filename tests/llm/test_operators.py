@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -379,7 +380,10 @@ def test_chunks_are_shared_and_altered_ones_noticed(spark):
     sizes = [sum(len(g["z"]) for g in r.gives) + len(r.own) for r in stored.orderBy("doc_id").collect()]
     assert sizes[1] < 0.2 * sizes[0]
     with pytest.raises(ValueError, match="digest"):
-        media.rebuild([{"digest": media.digest(b"x"), "size": 1}], b"", {media.digest(b"x"): b"y"})
+        media.rebuild([{"digest": media.digest(b"x"), "size": 1}], b"", media.digest(b""), {media.digest(b"x"): b"y"})
+    with pytest.raises(ValueError, match="digest"):
+        media.rebuild([{"digest": None, "size": 1}], b"y", media.digest(b"x"), {})
+    assert media.rebuild([{"digest": None, "size": 1}], b"x", media.digest(b"x"), {}) == b"x"
     payload = media.payload_of(body)[1]
     assert b"".join(media.chunks(payload)) == payload and max(map(len, media.chunks(b"\0" * 200_000))) <= media.MOST
 
@@ -557,6 +561,28 @@ def test_empty_tables(spark, run):
     assert run(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("run", "same"),
+    [
+        (lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")), ("ids_crc32",)), (media.media_columns, ("payload_sha256", "feature")), (pii.find_private, ("spans", "base_sha256")),
+        (lambda d: quality.score(d, quality.fit(np.empty((0, len(quality.FEATURES))), np.empty(0))), ("score",)), (lambda d: mixing.mix_sources(d).where("epoch = 0"), ("n_tokens",)), (licenses.scan_documents, ("license",)),
+    ],
+)
+def test_repeated_and_null_ids_keep_their_rows(spark, run, same):
+    texts = ["mail a@b.cc now", "mail a@b.cc now", "other words", None, None, "more"]
+    rows = run(table(spark, texts, [7, 7, 7, None, 7, None])).collect()
+    assert len(rows) == len(texts)
+    assert sum(r.doc_id is None for r in rows) == 2
+    assert max(Counter(tuple(r[c] for c in same) for r in rows).values()) >= 2
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cc", "x", "v", "t", "r")], "doc_id long, text string, x_email string, v string, t string, row string")
+    got = pii.redact(df)
+    assert got.columns == df.columns and got.first().asDict() == {"doc_id": 1, "text": "mail [EMAIL]", "x_email": "x", "v": "v", "t": "t", "row": "r"}
+    assert pii.redact(table(spark, [])).count() == 0
+
+
 def test_pipeline_on_a_folder(spark, tmp_path):
     import corpus_pipeline
 

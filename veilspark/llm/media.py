@@ -4,7 +4,7 @@ A payload is stored as 8-bit mono samples (WAVE). A rolling gear hash cuts it in
 chunks by content, so edits move few cuts. Chunks that occur more than once are
 found by a join of digests alone; the first owner's row gives their bytes, all
 other rows refer to them. A row keeps its private chunks in one compressed
-segment. Reading back fetches referred chunks by digest, verifies them, and
+segment with a digest of its own. Reading back fetches referred chunks by digest, verifies them, and
 rebuilds the media from its ordered chunk list.
 """
 
@@ -96,7 +96,7 @@ def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
     for b in batches:
-        sizes, lists, own, gives = [], [], [], []
+        sizes, lists, own, seals, gives = [], [], [], [], []
         for z, marks in zip(b.column("z"), b.column("marks")):
             n, payload = payload_of(unpack.decompress(z.as_py()).decode("utf-8", "surrogatepass"))
             known = {m["digest"]: m["mine"] for m in marks.as_py() or []}
@@ -112,11 +112,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     private.append(c)
             sizes.append(n)
             lists.append(order)
-            own.append(press.compress(b"".join(private)))
+            mine = b"".join(private)
+            own.append(press.compress(mine))
+            seals.append(digest(mine))
             gives.append([{"digest": d, "z": c} for d, c in given.items()])
         yield pa.RecordBatch.from_arrays(
-            [b.column("k"), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(_REF)), pa.array(own, pa.binary()), pa.array(gives, pa.list_(_GIVE))],
-            names=["k", "doc_id", "n_bytes", "chunks", "own", "gives"],
+            [b.column("k"), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(_REF)), pa.array(own, pa.binary()), pa.array(seals, pa.binary()), pa.array(gives, pa.list_(_GIVE))],
+            names=["k", "doc_id", "n_bytes", "chunks", "own", "seal", "gives"],
         )
 
 
@@ -128,8 +130,10 @@ def feature(payload: bytes) -> str:
     return f"{x.mean():.6f}:{np.sqrt((centred**2).mean()):.6f}:{crossings}"
 
 
-def rebuild(order: list[dict], own: bytes, fetched: dict[bytes, bytes]) -> bytes:
-    """Samples from an ordered chunk list; a chunk that is missing or altered raises."""
+def rebuild(order: list[dict], own: bytes, seal: bytes, fetched: dict[bytes, bytes]) -> bytes:
+    """Samples from an ordered chunk list; a shared chunk or private segment that is missing or altered raises."""
+    if digest(own) != seal:
+        raise ValueError("a private segment does not have its digest")
     parts, at = [], 0
     for c in order:
         if c["digest"] is None:
@@ -151,7 +155,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i in range(b.num_rows):
             fetched = {f["digest"]: unpack.decompress(f["z"]) for f in b.column("fetched")[i].as_py() or []}
-            media = wave(rebuild(b.column("chunks")[i].as_py(), unpack.decompress(b.column("own")[i].as_py()), fetched))
+            media = wave(rebuild(b.column("chunks")[i].as_py(), unpack.decompress(b.column("own")[i].as_py()), b.column("seal")[i].as_py(), fetched))
             p = samples(media)
             rows.append((b.column("doc_id")[i].as_py(), b.column("n_bytes")[i].as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature(p)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names=names)
@@ -166,7 +170,7 @@ def store(docs: DataFrame) -> DataFrame:
     marks = each.join(shared, "digest").groupBy("k").agg(F.collect_set(F.struct("digest", (F.col("k") == F.col("owner")).alias("mine"))).alias("marks"))
     packed = texts.mapInArrow(_press, "k long, doc_id long, z binary")
     return keep(
-        packed.join(marks, "k", "left").select("k", "doc_id", "z", "marks").mapInArrow(_segments, "k long, doc_id long, n_bytes long, chunks array<struct<digest: binary, size: int>>, own binary, gives array<struct<digest: binary, z: binary>>"),
+        packed.join(marks, "k", "left").select("k", "doc_id", "z", "marks").mapInArrow(_segments, "k long, doc_id long, n_bytes long, chunks array<struct<digest: binary, size: int>>, own binary, seal binary, gives array<struct<digest: binary, z: binary>>"),
         "media",
     )
 
@@ -177,11 +181,11 @@ def read_back(media: DataFrame) -> DataFrame:
     refers = F.exists("chunks", lambda c: c["digest"].isNotNull())
     wanted = media.where(refers).select("k", F.explode("chunks.digest").alias("digest")).where("digest is not null").distinct()
     fetched = wanted.join(given, "digest").groupBy("k").agg(F.collect_list(F.struct("digest", "z")).alias("fetched"))
-    rows = media.select("k", "doc_id", "n_bytes", "chunks", "own")
+    rows = media.select("k", "doc_id", "n_bytes", "chunks", "own", "seal")
     alone = rows.where(~refers).withColumn("fetched", F.lit(None).cast("array<struct<digest: binary, z: binary>>"))
     mixed = rows.where(refers).join(fetched, "k")
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return alone.unionByName(mixed).select("doc_id", "n_bytes", "chunks", "own", "fetched").mapInArrow(_read, ddl)
+    return alone.unionByName(mixed).select("doc_id", "n_bytes", "chunks", "own", "seal", "fetched").mapInArrow(_read, ddl)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

@@ -316,19 +316,18 @@ def _rewriter(k: Kind, model: Boosted) -> Callable[[Column, Column], Column]:
 
 
 def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
-    """docs with private spans of ``text`` replaced by [KIND], all columns kept.
+    """docs with private spans of ``text`` replaced by [KIND], all columns kept, whatever their names.
 
     Kinds go one after another, in the order listed, each over what the ones
     before left, so overlaps are covered and the work stays linear in the text.
-    A null text stays null.
+    A null text stays null; repeated rows are treated alike; an empty table stays empty.
     """
     model = model or trained(docs.sparkSession.sparkContext.applicationId)
-    out = docs
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").alias("t"))
     for k in (BASE[0], BASE[3], BASE[2], BASE[1], *PROPOSED):
-        x, v = f"x_{k.name}", f"v_{k.name}"
         none = F.array().cast("array<string>")
-        out = out.withColumn(x, _cut(F.coalesce("text", F.lit("")), k, 0))
-        out = out.withColumn(v, F.when(F.size(x) > 0, _cut(F.col("text"), k, 2)).otherwise(none))
-        whole = F.concat(F.array_join(F.zip_with(x, v, _rewriter(k, model)), ""), F.substring(F.col("text"), _total(x) + 1, F.length("text")))
-        out = out.withColumn("text", F.when(F.size(x) > 0, whole).otherwise(F.col("text"))).drop(x, v)
-    return out
+        out = out.withColumn("x", _cut(F.coalesce("t", F.lit("")), k, 0))
+        out = out.withColumn("v", F.when(F.size("x") > 0, _cut(F.col("t"), k, 2)).otherwise(none))
+        whole = F.concat(F.array_join(F.zip_with("x", "v", _rewriter(k, model)), ""), F.substring(F.col("t"), _total("x") + 1, F.length("t")))
+        out = out.withColumn("t", F.when(F.size("x") > 0, whole).otherwise(F.col("t"))).drop("x", "v")
+    return out.select(*[F.col("t").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

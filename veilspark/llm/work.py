@@ -2,8 +2,8 @@
 
 ``keep`` cuts lineage by writing Parquet into the folder that all executors
 share (``spark.checkpoint.dir``), so a lost executor loses nothing that was
-kept. Only where that setting is absent (tests, a laptop) is a temporary folder
-made and set.
+kept. Only in local mode without that setting (tests, a laptop) is a temporary
+folder made and set.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
