@@ -35,6 +35,69 @@ def test_release(spark):
     assert done.reports.where("doc_id = 1").first().total == 2
 
 
+def test_release_fails_closed(spark, monkeypatch):
+    from veilspark.operators import redact
+
+    docs = spark.createDataFrame([(1, "write to ann@mail.com today"), (2, "SSN: 123-45-6788")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, page int, start int, end int, entity_type string, value string, confidence double, detector string")
+    left = spark.createDataFrame([(1, "write to ann@mail.com today"), (2, "[REDACTED_SSN]")], "doc_id long, redacted_text string")
+    from veilspark.plans.release import _residual
+
+    status = {r.doc_id: (r.status, r.issues) for r in redact.verify(docs, none, left, _residual(left, ("EMAIL", "SSN"))).collect()}
+    assert status == {1: ("BLOCKED", ["HIGH_RISK_REMAINS"]), 2: ("RELEASED", [])}
+    done = release(docs)
+    assert {r.doc_id: r.redacted_text for r in done.redacted.collect()} == {1: "write to [REDACTED_EMAIL] today", 2: "SSN: [REDACTED_SSN]"}
+
+
+def test_uploads_become_runs(spark):
+    files_ = [("a.txt", 5, "h1", None), ("b.txt", 5, "h1", None), ("c.txt", 6, "h2", None)]
+    uploads = spark.createDataFrame(files_, "filename string, size long, content_hash string, problem string")
+    assert files.create_runs(uploads, "r").first().asDict() == {"run_id": "r", "files": 3, "documents": 2, "status": "QUEUED"}
+    assert files.create_runs(uploads.unionByName(spark.createDataFrame([("d.exe", 1, "h", "EXTENSION")], uploads.schema)), "r").first().status == "REFUSED"
+
+
+def test_docx(spark, tmp_path):
+    import zipfile
+
+    ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    body = p("One &amp; two") + f"<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}{p('c')}</w:tc></w:tr></w:tbl>" + p("") + p("end")
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body>{body}</w:body></w:document>')
+    (tmp_path / "y.docx").write_bytes(b"no zip")
+    got = sorted(r.text for r in files.read_docx(spark, str(tmp_path)).collect())
+    assert got == ["", "One & two\na\tb c\nend"]
+
+
+def test_entities_are_replaced_by_document(spark, tmp_path):
+    ddl = "doc_id long, page int, start int, end int, entity_type string, value string, confidence double"
+    files.write_entities(spark.createDataFrame([(1, 1, 0, 3, "PERSON", "Ann", 0.9), (2, 1, 0, 3, "PERSON", "Bob", 0.5)], ddl), str(tmp_path))
+    files.write_entities(spark.createDataFrame([(1, 1, 4, 8, "EMAIL", "a@b", 0.7)], ddl), str(tmp_path))
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    assert sorted((r.doc_id, r.value) for r in read("entities").collect()) == [(1, "a@b"), (2, "Bob")]
+    assert sorted(r.doc_id for r in read("reviews").collect()) == [1, 2]
+    assert sorted((r.doc_id, r.replacement) for r in read("redactions").collect()) == [(1, "[REDACTED_EMAIL]"), (2, "[REDACTED_PERSON]")]
+
+
+def test_sinks_and_page_sources(spark, tmp_path):
+    red = spark.createDataFrame([(1, "x")], "doc_id long, redacted_text string")
+    for run in ("a", "b", "a"):
+        files.write_redacted(red, str(tmp_path / "red"), run)
+    assert spark.read.parquet(str(tmp_path / "red")).count() == 2
+    files.write_reports(red, str(tmp_path / "rep"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "rep")).collect()] == ['{"doc_id":1,"redacted_text":"x"}']
+    ddl = "doc_id long, page_number int, page_text string"
+    got = files.merge_pages(spark.createDataFrame([(1, 1, "native"), (1, 2, " ")], ddl), spark.createDataFrame([(1, 2, "read"), (1, 3, "also")], ddl))
+    assert sorted((r.page_number, r.page_text) for r in got.collect()) == [(1, "native"), (2, "read"), (3, "also")]
+
+
+def test_tables(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><th>a<th>b<tr><td>1<td>2</table>"), (2, None)], "page_id long, html string")
+    assert [r.text for r in layout.table_text(layout.html_tables(pages)).collect()] == ["| a | b |\n| --- | --- |\n| 1 | 2 |"]
+    rows = spark.createDataFrame([(1, 1, 0, 0, "a\tb"), (1, 1, 0, 1, "c\td"), (1, 1, 1, 2, "text"), (1, 1, 1, 3, "x\ty")], "doc_id long, page int, block int, row int, text string")
+    assert [(r.block, r.rows, r.columns) for r in layout.infer_tables(rows).collect()] == [(0, 2, 2)]
+
+
 def test_stream_skips_known_contents_and_replays(spark, tmp_path):
     schema = "doc_id long, text string"
     source = str(tmp_path / "in")

@@ -147,67 +147,112 @@ def classify_domain(docs: DataFrame, hint: str | None = None) -> DataFrame:
     return out.withColumn("route", F.when(clinical, "regex,clinical,ner,zero_shot,llm").otherwise("regex,ner,zero_shot,llm"))
 
 
-def chunk(docs: DataFrame, most: int = 2200, usual: int = 1500, least: int = 300, overlap: int = 200) -> DataFrame:
-    """doc_id, chunk_id, start, end, chunk_text: units packed greedily.
-
-    A text of at most ``most`` characters is one chunk. Units end at blank lines,
-    before LABEL: lines and at sentence ends. A chunk closes when the next unit
-    would pass ``most``, or at a blank line once it has ``usual`` characters; the next
-    begins with the units of its last ``overlap`` characters. Packing is sequential
-    within a document, so it runs as an Arrow map; documents do not meet.
-    """
+# How long a chunk may be, when it may close, and the likeness of its neighbours that closes it.
+MOST, USUAL, LEAST, OVERLAP = 2200, 1500, 300, 200
+APART, LOOSE = 0.40, 0.65
+UNIT = r"\n\s*\n|\n(?=[A-Z][A-Za-z /]{1,40}:)|(?<=[.!?])\s+(?=[A-Z])"
+
+
+def units_of(text: str) -> list[tuple[int, int]]:
+    """Parts of a text between blank lines, before LABEL: lines and at sentence ends."""
+    import re
+
+    out, at = [], 0
+    for m in re.finditer(UNIT, text):
+        if m.start() > at:
+            out.append((at, m.start()))
+        at = m.end()
+    return [*out, (at, len(text))] if at < len(text) else out
+
+
+def likeness(a: str, b: str) -> float:
+    """Cosine of two texts' words (256 places, weight 1) and three-letter pieces (64 places, 0.5) by hash, the same in every process."""
     import re
+    import zlib
+
+    def vector(text: str) -> dict[int, float]:
+        v: dict[int, float] = {}
+        for w in re.findall("[a-z0-9_-]+", text.lower()):
+            i = zlib.crc32(w.encode()) % 256
+            v[i] = v.get(i, 0.0) + 1.0
+            for k in range(len(w) - 2):
+                j = 256 + zlib.crc32(w[k : k + 3].encode()) % 64
+                v[j] = v.get(j, 0.0) + 0.5
+        return v
 
-    unit = re.compile(r"\n\s*\n|\n(?=[A-Z][A-Za-z /]{1,40}:)|(?<=[.!?])\s+(?=[A-Z])")
-
-    def pieces(text: str) -> list[tuple[int, int, bool]]:
-        out, at = [], 0
-        for m in unit.finditer(text):
-            if m.start() > at:
-                out.append((at, m.start(), "\n" in m.group()[1:]))
-            at = m.end()
-        if at < len(text):
-            out.append((at, len(text), True))
-        return out
-
-    def cut(text: str) -> list[tuple[int, int]]:
-        if len(text) <= most:
-            return [(0, len(text))] if text.strip() else []
-        chunks, start, end = [], None, 0
-        units = pieces(text)
-        for i, (a, b, _) in enumerate(units):
-            if start is not None and b - start > most or start is not None and units[i - 1][2] and end - start >= usual:
-                chunks.append((start, end))
-                back = [u for u in units[:i] if u[0] >= max(end - overlap, start + 1)]
-                start = back[0][0] if back and b - back[0][0] <= most else a
-            start = a if start is None else start
-            end = b
-            while end - start > most:  # one unit longer than a chunk
-                chunks.append((start, start + most))
-                start += most
-        if start is not None and (end - start >= least or not chunks):
-            chunks.append((start, end))
-        elif chunks and start is not None:
-            chunks[-1] = (chunks[-1][0], end)
-        return chunks
+    x, y = vector(a), vector(b)
+    size = (sum(q * q for q in x.values()) * sum(q * q for q in y.values())) ** 0.5
+    return sum(q * y.get(i, 0.0) for i, q in x.items()) / size if size else 0.0
+
+
+def cut_chunks(text: str, like=likeness) -> list[tuple[int, int]]:
+    """Chunks of one text: units packed from left to right.
+
+    A chunk closes where the next unit would pass MOST characters, where that unit is
+    less like the last than APART once the chunk has LEAST characters, or less than
+    LOOSE once it has USUAL; the next begins with the units of its last OVERLAP characters.
+    """
+    if len(text) <= MOST:
+        return [(0, len(text))] if text.strip() else []
+    chunks: list[tuple[int, int]] = []
+    held: list[tuple[int, int]] = []
+    for a, b in units_of(text):
+        if held:
+            size = held[-1][1] - held[0][0]
+            full = b - held[0][0] > MOST
+            near = like(text[held[-1][0] : held[-1][1]], text[a:b]) if not full and size >= LEAST else 1.0
+            if full or near < APART or (size >= USUAL and near < LOOSE):
+                chunks.append((held[0][0], held[-1][1]))
+                kept = [u for u in held[1:] if u[0] >= held[-1][1] - OVERLAP]
+                held = kept if kept and b - kept[0][0] <= MOST else []
+        held.append((a, b))
+        while held[-1][1] - held[0][0] > MOST:  # one unit longer than a chunk
+            start = held[0][0]
+            chunks.append((start, start + MOST))
+            held = [(start + MOST, held[-1][1])]
+    return [*chunks, (held[0][0], held[-1][1])] if held and text[held[0][0] : held[-1][1]].strip() else chunks
+
+
+def chunk(docs: DataFrame, like=likeness) -> DataFrame:
+    """doc_id, chunk_id, start, end, chunk_text: see cut_chunks; ``like`` compares two units.
+
+    Packing is sequential within a document, so it runs as an Arrow map; documents
+    do not meet. Null and blank texts have no chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d.as_py(), i, s, e, t.as_py()[s:e]) for d, t in zip(b.column("doc_id"), b.column("text")) for i, (s, e) in enumerate(cut(t.as_py() or ""))]
-            cols = list(zip(*rows)) if rows else [()] * 5
+            rows = [(d.as_py(), i, s, e, t.as_py()[s:e]) for d, t in zip(b.column("doc_id"), b.column("text")) for i, (s, e) in enumerate(cut_chunks(t.as_py() or "", like))]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "chunk_id", "start", "end", "chunk_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["doc_id", "chunk_id", "start", "end", "chunk_text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_id int, start int, end int, chunk_text string")
 
 
-def relevant_chunks(chunks: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
-    """Up to k chunks a document by 3 x candidates + 4 x low-confidence ones + 1, in document order.
+def relevant_chunks(chunks: DataFrame, candidates: DataFrame, locked: DataFrame, k: int = 10) -> DataFrame:
+    """Up to k chunks a document by 3 x candidates + 4 x low-confidence ones + uncovered characters / 50 + 1, in document order.
 
-    Candidates (doc_id, start, end, confidence) meet chunks of their own document only.
+    Chunks (doc_id, chunk_id, start, end) that locked spans (doc_id, start, end) cover wholly
+    go. Candidates carry (doc_id, start, end, confidence).
     """
-    near = (F.col("c.doc_id") == F.col("s.doc_id")) & (F.col("s.start") < F.col("c.end")) & (F.col("s.end") > F.col("c.start"))
-    hits = chunks.alias("c").join(candidates.alias("s"), near, "left").groupBy("c.doc_id", "c.chunk_id").agg(F.count("s.start").alias("n"), F.count_if(F.col("s.confidence") < 0.8).alias("low"))
-    score = 3 * F.col("n") + 4 * F.col("low") + 1
+    from veilspark.operators.spans import merge_touching, overlap_pairs
+
+    c = chunks.select("doc_id", "chunk_id", "start", "end")
+    islands = merge_touching(locked.select("doc_id", F.lit(1).alias("page"), "start", "end", F.lit("").alias("entity_type"))).select("doc_id", "start", "end")
+    shut = overlap_pairs(c, islands, ["doc_id"], 2048).groupBy("doc_id", "chunk_id").agg(F.sum(F.least("r_end", "end") - F.greatest("r_start", "start")).alias("covered"))
+    hits = overlap_pairs(c, candidates.select("doc_id", "start", "end", "confidence"), ["doc_id"], 2048).groupBy("doc_id", "chunk_id").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") < 0.8).alias("low"))
+    out = c.join(shut, ["doc_id", "chunk_id"], "left").join(hits, ["doc_id", "chunk_id"], "left")
+    left = F.col("end") - F.col("start") - F.coalesce("covered", F.lit(0))
+    score = 3 * F.coalesce("n", F.lit(0)) + 4 * F.coalesce("low", F.lit(0)) + left / 50 + 1
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "chunk_id"))
-    return hits.withColumn("score", score).withColumn("r", rank).where(F.col("r") <= k).select("doc_id", "chunk_id", "score")
+    return out.where(left > 0).withColumn("score", F.round(score, 6)).withColumn("r", rank).where(F.col("r") <= k).select("doc_id", "chunk_id", "score")
+
+
+def enclosing_chunk(spans: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Spans with the first chunk that holds each whole; null where none does."""
+    from veilspark.operators.spans import overlap_pairs
+
+    keys = ["doc_id", "start", "end"]
+    pairs = overlap_pairs(spans.select(*keys).distinct(), chunks.select("doc_id", "chunk_id", "start", "end"), ["doc_id"], 2048)
+    first = pairs.where((F.col("r_start") <= F.col("start")) & (F.col("end") <= F.col("r_end"))).groupBy(*keys).agg(F.min("chunk_id").alias("chunk_id"))
+    return spans.join(first, keys, "left")

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.operators import evaluate, redact, routing, rules, spans, taxonomy, validate
+from veilspark.operators import documents, evaluate, layout, redact, routing, rules, spans, taxonomy, validate
+from veilspark.streaming import jobs
 
 CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ANSWERS: dict[str, str] = {}
@@ -360,3 +361,83 @@ _SCORED = [(("Nurse",), "PERSON"), (("clinical finding",), "CLINICAL_FINDING"),
 @case_query([[(a,)] for _, a in _SCORED], ["scored"])
 def scored_types(spark, sf_dir):
     return _played(spark, sf_dir, [c for c, _ in _SCORED], "kind string").select("doc_id", evaluate.scored_type(F.col("kind")).alias("scored"))
+
+
+_RESUMED = [
+    ((None, False, False), "LOAD_DOCUMENT"), (("UPDATE_PROCESSING_STATUS", False, False), "DOCUMENT_CLASSIFICATION"), (("STORE_OCR_RESULTS", True, False), "DETECTION_EXECUTION"), (("STORE_OCR_RESULTS", False, False), "DOCUMENT_CLASSIFICATION"),
+    (("REDACTION", True, True), "REPORT_GENERATION"), (("REDACTION", True, False), "DOCUMENT_CLASSIFICATION"), (("COMPLETE_WORKFLOW", False, False), "COMPLETE_WORKFLOW"),
+]
+
+
+@case_query([[(a,)] for _, a in _RESUMED], ["resume_at"])
+def resume_stages(spark, sf_dir):
+    return jobs.resume_stage(_played(spark, sf_dir, [c for c, _ in _RESUMED], "last_stage string, has_text boolean, has_redaction boolean")).select("doc_id", "resume_at")
+
+
+_RETRIED = [((0, "TIMEOUT"), ("RETRY", 1)), ((3, "TIMEOUT"), ("DEAD", 3)), ((0, "REDACTION_VERIFICATION_FAILED"), ("DEAD", 0)), ((None, None), ("RETRY", 1))]
+
+
+@case_query([[a] for _, a in _RETRIED], ["next", "retry_count"])
+def retried_jobs(spark, sf_dir):
+    return jobs.retry_or_fail(_played(spark, sf_dir, [c for c, _ in _RETRIED], "retry_count int, error string")).select("doc_id", "next", "retry_count")
+
+
+_CUT_TABLES = [
+    ("<table><tr><th>a<th>b &amp; c<tr><td>1<td>{n}</table>", [(0, 0, 0, "a"), (0, 0, 1, "b & c"), (0, 1, 0, "1"), (0, 1, 1, "{n}")]), ("<p>none {n}</p>", []),
+    ("<table><tr><td>x <table><tr><td>in {n}</td></tr></table> y</td></tr></table>", [(0, 0, 0, "x y"), (1, 0, 0, "in {n}")]),
+]
+
+
+@case_query([a for _, a in _CUT_TABLES], ["table_", "row_", "cell", "text"])
+def html_table_cells(spark, sf_dir):
+    pages = _texts(spark, sf_dir, _CUT_TABLES).select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
+    return layout.html_tables(pages).select(F.col("page_id").alias("doc_id"), F.col("table").alias("table_"), F.col("row").alias("row_"), "cell", "text")
+
+
+_STRIPPED = [(("Patient Name: Ann Hill {n}",), "ann hill"), (("email phone 12",), ""), (("the SSN of Bob_Ray",), "the bob ray")]
+
+
+@case_query([[(a,)] for _, a in _STRIPPED], ["words"])
+def label_stripper(spark, sf_dir):
+    from veilspark.functions.text import without_labels
+
+    return _played(spark, sf_dir, [c for c, _ in _STRIPPED], "text string").select("doc_id", without_labels(F.col("text")).alias("words"))
+
+
+_BOUNDED = [((100, 40, 50, 10), (30, 60)), ((20, 5, 10, 50), (0, 19)), ((10, 0, 10, 5), (0, 10)), ((100, 0, 4, 10), (0, 24)), ((100, 95, 100, 10), (75, 100))]
+
+
+@case_query([[a] for _, a in _BOUNDED], ["left_", "right_"])
+def context_windows(spark, sf_dir):
+    played = _played(spark, sf_dir, [(*c[:3],) for c, _ in _BOUNDED], "size int, start int, stop int").withColumn("i", (F.col("doc_id") % len(_BOUNDED)))
+    out = None
+    for w in sorted({c[3] for c, _ in _BOUNDED}):
+        a, b = routing.context_bounds(F.col("size"), F.col("start"), F.col("stop"), w)
+        part = played.where(F.col("i").isin(*[i for i, (c, _) in enumerate(_BOUNDED) if c[3] == w])).select("doc_id", a.alias("left_"), b.alias("right_"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_ENCLOSED = [([(0, 10), (8, 20), (15, 30)], (9, 12), 1), ([(0, 10), (8, 20)], (8, 10), 0), ([(0, 10)], (5, 12), None)]
+
+
+@case_query([[(a,)] for *_, a in _ENCLOSED], ["chunk_id"])
+def enclosing_chunks(spark, sf_dir):
+    played = _played(spark, sf_dir, [([list(x) for x in c], *s) for c, s, _ in _ENCLOSED], "chunks array<array<int>>, start int, end int")
+    chunks = played.select("doc_id", F.posexplode("chunks").alias("chunk_id", "c")).select("doc_id", "chunk_id", F.get("c", 0).alias("start"), F.get("c", 1).alias("end"))
+    return documents.enclosing_chunk(played.select("doc_id", "start", "end"), chunks).select("doc_id", "chunk_id")
+
+
+_RANKED = [
+    ([(0, 100), (100, 200), (200, 300)], [(10, 20, 0.9), (150, 160, 0.5), (155, 170, 0.9)], [(200, 300)], [(0, 6.0), (1, 13.0)]), ([(0, 100)], [], [(0, 40), (30, 60)], [(0, 1.8)]), ([(0, 100)], [(5, 9, 0.5)], [(0, 100)], []),
+]
+
+
+@case_query([a for *_, a in _RANKED], ["chunk_id", "score"])
+def relevant_chunks(spark, sf_dir):
+    rows = [([list(map(float, x)) for x in c], [list(map(float, x)) for x in s], [list(map(float, x)) for x in lo]) for c, s, lo, _ in _RANKED]
+    played = _played(spark, sf_dir, rows, "chunks array<array<double>>, found array<array<double>>, locked array<array<double>>")
+    place = [F.get("x", 0).cast("int").alias("start"), F.get("x", 1).cast("int").alias("end")]
+    chunks = played.select("doc_id", F.posexplode("chunks").alias("chunk_id", "x")).select("doc_id", "chunk_id", *place)
+    found = played.select("doc_id", F.explode("found").alias("x")).select("doc_id", *place, F.get("x", 2).alias("confidence"))
+    return documents.relevant_chunks(chunks, found, played.select("doc_id", F.explode("locked").alias("x")).select("doc_id", *place))

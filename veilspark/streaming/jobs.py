@@ -51,3 +51,32 @@ def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str,
         fresh.select("content_hash").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/hashes")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# The stages of a document's work, where work starts again after each, and what must be restored for that.
+STAGES = ("LOAD_DOCUMENT", "UPDATE_PROCESSING_STATUS", "DOCUMENT_CLASSIFICATION", "OCR_DECISION", "OCR_EXECUTION", "STORE_OCR_RESULTS", "DETECTION_EXECUTION", "STORE_DETECTION_RESULTS", "HUMAN_REVIEW", "REDACTION", "REPORT_GENERATION", "COMPLETE_WORKFLOW")
+RESUME_AT = {
+    "LOAD_DOCUMENT": "DOCUMENT_CLASSIFICATION", "UPDATE_PROCESSING_STATUS": "DOCUMENT_CLASSIFICATION", "DOCUMENT_CLASSIFICATION": "OCR_DECISION", "OCR_DECISION": "OCR_DECISION", "OCR_EXECUTION": "OCR_DECISION",
+    "STORE_OCR_RESULTS": "DETECTION_EXECUTION", "DETECTION_EXECUTION": "DETECTION_EXECUTION", "STORE_DETECTION_RESULTS": "HUMAN_REVIEW", "HUMAN_REVIEW": "REDACTION", "REDACTION": "REPORT_GENERATION",
+    "REPORT_GENERATION": "COMPLETE_WORKFLOW", "COMPLETE_WORKFLOW": "COMPLETE_WORKFLOW",
+}
+NEEDS_TEXT = ("STORE_OCR_RESULTS", "DETECTION_EXECUTION", "STORE_DETECTION_RESULTS", "HUMAN_REVIEW", "REDACTION")
+NEEDS_REDACTION = ("REDACTION",)
+
+
+def resume_stage(jobs: DataFrame) -> DataFrame:
+    """Adds resume_at to jobs (last_stage, has_text, has_redaction): where work goes on after its last finished stage.
+
+    Work without a finished stage starts at the first; work whose stored text or
+    redaction is gone starts again at classification.
+    """
+    at = F.try_element_at(F.create_map(*[F.lit(x) for kv in RESUME_AT.items() for x in kv]), F.col("last_stage"))
+    gone = (F.col("last_stage").isin(*NEEDS_TEXT) & ~F.coalesce("has_text", F.lit(False))) | (F.col("last_stage").isin(*NEEDS_REDACTION) & ~F.coalesce("has_redaction", F.lit(False)))
+    return jobs.withColumn("resume_at", F.when(F.col("last_stage").isNull(), STAGES[0]).when(gone, "DOCUMENT_CLASSIFICATION").otherwise(F.coalesce(at, F.lit(STAGES[0]))))
+
+
+def retry_or_fail(jobs: DataFrame, most: int = 3) -> DataFrame:
+    """Adds next (RETRY, DEAD) and retry_count to failed jobs (retry_count, error): a redaction that failed its checks fails the same again, so it is never retried."""
+    final = F.coalesce(F.col("error").isin("REDACTION_VERIFICATION_FAILED"), F.lit(False))
+    again = ~final & (F.coalesce("retry_count", F.lit(0)) < most)
+    return jobs.withColumn("next", F.when(again, "RETRY").otherwise("DEAD")).withColumn("retry_count", F.coalesce("retry_count", F.lit(0)) + again.cast("int"))
