@@ -253,6 +253,13 @@ def test_candidates_are_learned(spark):
     assert spans[0].startswith("secret:") and "number:11:23" in spans[1] and spans[2].startswith("name:") and spans[3:] == ["", "", ""]
 
 
+def test_candidates_on_held_out_examples(spark):
+    model = pii.trained(spark.sparkContext.applicationId)
+    x, y = pii.featured(pii.examples(1300, seed=77))
+    taken = 1 / (1 + np.exp(-(model.slope * model.logit(x) + model.offset))) >= model.threshold
+    assert (taken & (y == 1)).sum() >= 0.97 * taken.sum() and (taken & (y == 1)).sum() >= 0.97 * (y == 1).sum()
+
+
 def test_numbers_before_digits_and_short_secrets_are_proposed(spark):
     texts = ["call 555-123-4567 3pm", "SSN 123-45-6789 2nd page", "phone (555) 123-4567 24h", "call 555-123-4567 2", "ssn 2 123-45-6789 2", "account 1234 5678 9012", 'password = "hunter"', "secret: correcthorse", "mobile 555.123.4567."]
     want = ["555-123-4567", "123-45-6789", "(555) 123-4567", "555-123-4567", "123-45-6789", "1234 5678 9012", "hunter", "correcthorse", "555.123.4567"]

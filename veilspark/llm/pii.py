@@ -115,35 +115,53 @@ def _features(kind: str, v: Column, left: Column) -> dict[str, Column]:
 # ---- training on made-up examples ------------------------------------------
 
 
-def examples(n: int = 1200, seed: int = 11) -> list[tuple[str, int]]:
-    """Texts with one proposal each, and whether it is private. All are invented."""
-    r = random.Random(seed)
+def formats(r: random.Random) -> list[tuple[Callable[[], str], int]]:
+    """Ways in which a proposal stands in a text, and whether it is private there. All values are invented."""
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    token = lambda: "".join(r.choice(r.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])) for _ in range(r.randint(20, 44)))
-    one_alphabet = lambda a: "".join(r.choice(a) for _ in range(r.choice([24, 32, 40])))
-    word = lambda: "".join(r.choice("aeionrstlmdu") for _ in range(r.randint(2, 9)))
-    made = (
-        (lambda: f'{r.choice(["token", "secret", "api_key", "password", "auth"])} {r.choice("=:")} "{r.choice([token, lambda: one_alphabet("0123456789abcdef")])()}"', 1),
-        (lambda: f"{r.choice(['Bearer', 'credential'])} {token()}", 1),
-        (lambda: f"{r.choice(['phone', 'call', 'Tel.', 'mobile', 'fax'])} {r.choice(['({}) {}-{}', '{}-{}-{}', '{}.{}.{}']).format(digits(3), digits(3), digits(4))}", 1),
-        (lambda: f"{r.choice(['SSN', 'social security', 'ssn:'])} {digits(3)}-{digits(2)}-{digits(4)}", 1),
-        (lambda: f"{r.choice(['passport', 'account', 'national id', 'tax id', 'patient'])} {r.choice(['', 'no. ', '# '])}{digits(r.randint(8, 12))}", 1),
-        (lambda: f"{r.choice(['Mr.', 'Mrs.', 'Dr.', 'Name:', 'Patient:'])} {word().title()} {word().title()}", 1),
-        (lambda: f"{word()} {digits(16)}", 0),
+    drawn = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
+    hexes, capitals, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda: drawn(r.choice([hexes, letters]), r.randint(20, 44))
+    word = lambda: drawn("aeionrstlmdu", r.randint(2, 9))
+    key = lambda: r.choice(["token", "secret", "api_key", "api-key", "password", "passwd", "auth", "credential", "client_secret"])
+    phone = lambda: r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {}-{}"]).format(digits(3), digits(3), digits(4))
+    day = lambda: (r.randint(1900, 2035), r.randint(1, 12), r.randint(1, 28))
+    date = lambda: (lambda y, m, d: r.choice([f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{m}/{d}/{y}", f"{y}{m:02d}{d:02d}", f"{y}-{m:02d}-{d:02d} {r.randint(10, 23)}:{digits(2)}"]))(*day())
+    return [
+        (lambda: f'{key()} {r.choice("=:")} "{r.choice([token, lambda: drawn(hexes, r.choice([24, 32, 40, 64]))])()}"', 1),
+        (lambda: f"{key()}{r.choice(['=', ': ', ' = '])}{drawn(letters + '!?$%', r.randint(6, 14))}", 1),
+        (lambda: f"{r.choice(['Bearer', 'credential', 'authorization: token'])} {token()}", 1),
+        (lambda: f"{r.choice(['AKIA', 'ASIA', 'ghp_', 'xoxb-', 'sk_live_'])}{drawn(r.choice([capitals, letters]), r.randint(16, 36))}", 1),
+        (lambda: f"{r.choice(['phone', 'call', 'Tel.', 'mobile', 'fax', 'cell', 'whatsapp'])} {phone()}", 1),
+        (lambda: f"{word()} +{r.choice(['1', '44', '49'])} {phone()}", 1),
+        (lambda: f"{r.choice(['SSN', 'social security', 'ssn:', 'tax id'])} {digits(3)}-{digits(2)}-{digits(4)}", 1),
+        (lambda: f"{word()} {digits(3)}-{digits(2)}-{digits(4)}", 1),
+        (lambda: f"{r.choice(['passport', 'account', 'national id', 'tax id', 'patient', 'mrn'])} {r.choice(['', 'no. ', '# ', ': '])}{digits(r.randint(8, 12))}", 1),
+        (lambda: f"{r.choice(['IBAN', 'account', 'iban:'])} {r.choice(['DE', 'GB', 'FR'])}{digits(20)}", 1),
+        (lambda: f"{r.choice(['Mr.', 'Mrs.', 'Dr.', 'Name:', 'Patient:', 'Contact:'])} {word().title()} {word().title()}", 1),
+        (lambda: f"{word()} {digits(r.choice([13, 14, 16, 19]))}", 0),
         (lambda: f"{word()} {digits(r.randint(7, 11))}", 0),
-        (lambda: f"{word()} {r.randint(1950, 2035)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", 0),
+        (lambda: f"{r.choice(['order', 'invoice', 'page', 'build', 'ticket', word()])} {digits(r.randint(7, 10))}", 0),
+        (lambda: f"{word()} {date()}", 0),
         (lambda: f"{word()} {r.randint(1900, 1999)} - {r.randint(2000, 2035)}", 0),
         (lambda: f"{word()} {digits(3)}.{digits(2)}.{digits(3)}.{digits(2)}", 0),
+        (lambda: f"{word()} {digits(2)}.{digits(4)} {digits(2)}.{digits(4)}", 0),
+        (lambda: f"{word()} {digits(1)} {digits(3)} {digits(3)} {digits(3)}", 0),
         (lambda: f"{word()} {word()}{word()}{digits(1)}{word()}{word()}", 0),
         (lambda: f"{word()} {'-'.join(word() for _ in range(4))}-{digits(2)}", 0),
-        (lambda: f"sha {one_alphabet('0123456789abcdef')}", 0),
+        (lambda: f"{word()} {'_'.join([r.choice(['img', 'file', 'scan', word()]), digits(8), digits(6)])}", 0),
+        (lambda: f"{r.choice(['sha', 'commit', 'etag', 'checksum', 'md5', word()])} {drawn(hexes, r.choice([32, 40, 64]))}", 0),
+        (lambda: f"{word()} {'-'.join(drawn(hexes, k) for k in (8, 4, 4, 4, 12))}", 0),
         (lambda: f"{word()} ISBN {digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", 0),
-    )
-    out = []
-    for i in range(n):
-        f, y = made[i % len(made)]
-        out.append((f"{word()} {word()}, {f()} {word()} {word()}.", y))
-    return out
+        (lambda: f"{word()} v{digits(1)}-{digits(2)}-{word()}-{digits(4)}-{word()}", 0),
+    ]
+
+
+def examples(n: int = 2600, seed: int = 11) -> list[tuple[str, int]]:
+    """Texts with one proposal each in turn of ``formats``, between other words, and whether it is private."""
+    r = random.Random(seed)
+    made = formats(r)
+    word = lambda: "".join(r.choice("aeionrstlmdu") for _ in range(r.randint(2, 9)))
+    return [(f"{word()} {word()}, {made[i % len(made)][0]()} {word()} {word()}.", made[i % len(made)][1]) for i in range(n)]
 
 
 def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, l2: float = 1.0):
@@ -197,7 +215,7 @@ class Boosted:
         return 1 / (1 + F.exp(-(total * self.slope + self.offset)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 14, depth: int = 3, rate: float = 0.4, precision: float = 0.98) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 18, depth: int = 3, rate: float = 0.4, precision: float = 0.98) -> Boosted:
     """Trees on three quarters of the rows; on the rest the logit is calibrated
     (a logistic fit) and the lowest threshold with that precision is taken."""
     held = np.arange(len(x)) % 4 == 3
@@ -218,15 +236,18 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 14, depth: int = 3, rate:
     return Boosted(tuple(trees), float(a), float(b), float(good[0] if good else 0.99))
 
 
-@lru_cache(maxsize=4)
-def trained(app: str) -> Boosted:
+def featured(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all proposals in labelled texts, and their labels: a few thousand rows."""
     spark = SparkSession.getActiveSession()
-    rows = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(examples())], "doc_id long, text string, y int")
-    cut = _scanned(rows, PROPOSED)
+    cut = _scanned(spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, y int"), PROPOSED)
     found = cut.select("y", F.explode(F.concat(*[_proposals(k) for k in PROPOSED])).alias("p"))
     got = found.select("y", *[F.col("p.f")[n].alias(n) for n in FEATURES]).collect()
-    x = np.array([[r[n] for n in FEATURES] for r in got], float)
-    y = np.array([r["y"] for r in got], float)
+    return np.array([[r[n] for n in FEATURES] for r in got], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in got], float)
+
+
+@lru_cache(maxsize=4)
+def trained(app: str) -> Boosted:
+    x, y = featured(examples())
     order = np.lexsort(np.c_[y, x].T)
     order = order[np.argsort(np.arange(len(order)) * 7919 % len(order), kind="stable")]
     return boost(x[order], y[order])
