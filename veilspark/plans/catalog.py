@@ -182,7 +182,13 @@ def merge_overlaps(spark, sf_dir):
     return spans.merge_touching(line_spans(spark, sf_dir))
 
 
-@query()
+_deduped = """d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, page, start, "end", entity_type ORDER BY confidence DESC, value, detector) = 1)"""
+
+
+@query(f"""WITH {SPANS}, {_deduped},
+g AS (SELECT doc_id, page, list([struct_pack(a := start, b := "end", t := entity_type, v := value, c := confidence, d := detector)] ORDER BY "end" - start DESC, confidence DESC, start, "end", entity_type, value) AS l FROM d GROUP BY 1, 2),
+r AS (SELECT doc_id, page, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.a < x[1].b AND x[1].a < k.b AND NOT (k.a = x[1].a AND k.b = x[1].b AND k.v = x[1].v))) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM g)
+SELECT doc_id, page, k.a AS start, k.b AS "end", k.t AS entity_type, k.v AS value, k.c AS confidence, k.d AS detector FROM r""")
 def resolve_longest(spark, sf_dir):
     return spans.resolve(spans.dedupe(line_spans(spark, sf_dir)))
 
@@ -269,7 +275,16 @@ def detector_metrics(spark, sf_dir):
     return evaluate.metrics(line_spans(spark, sf_dir).withColumn("outcome", kind), "detector")
 
 
-@query()
+@query(f"""WITH {SPANS}, {_deduped},
+gold AS (SELECT doc_id, list(struct_pack(p := page, a := start, b := "end", t := entity_type) ORDER BY page, start, "end", entity_type) AS g FROM d WHERE detector <> 'regex' GROUP BY 1),
+pred AS (SELECT doc_id, list([struct_pack(p := page, a := start, b := "end", t := entity_type, d := detector, m := 0::BIGINT)] ORDER BY page, start, "end", entity_type, detector) AS l FROM d WHERE detector = 'regex' GROUP BY 1),
+both_ AS (SELECT doc_id, coalesce(g, []) AS g, list_concat([[struct_pack(p := -1, a := 0, b := 0, t := '', d := '', m := 0::BIGINT)]], l) AS l FROM pred LEFT JOIN gold USING (doc_id)),
+done AS (SELECT doc_id, g, list_reduce(l, lambda acc, x: list_concat(acc, [struct_pack(p := x[1].p, a := x[1].a, b := x[1].b, t := x[1].t, d := x[1].d, m := coalesce(list_sort(list_transform(
+  list_filter(range(1, len(g) + 1), lambda i: g[i].p = x[1].p AND g[i].t = x[1].t AND NOT list_contains(list_transform(acc, lambda y: y.m), i) AND (least(g[i].b, x[1].b) - greatest(g[i].a, x[1].a)) / greatest(g[i].b - g[i].a, x[1].b - x[1].a) >= 0.5),
+  lambda i: struct_pack(r := -(least(g[i].b, x[1].b) - greatest(g[i].a, x[1].a)) / greatest(g[i].b - g[i].a, x[1].b - x[1].a), i := i)))[1].i, 0))])) AS k FROM both_),
+hit AS (SELECT doc_id, unnest(k) AS y FROM done)
+SELECT doc_id, CASE WHEN y.m > 0 THEN 'TP' ELSE 'FP' END AS outcome, y.t AS entity_type, y.d AS detector FROM hit WHERE y.p > 0
+UNION ALL SELECT gold.doc_id, 'FN', g[i].t, NULL FROM gold, range(1, len(g) + 1) r(i) WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.doc_id = gold.doc_id AND y.m = i)""")
 def match_gold(spark, sf_dir):
     s = spans.dedupe(line_spans(spark, sf_dir))
     return evaluate.match_gold(s.where("detector = 'regex'"), s.where("detector <> 'regex'"))
