@@ -242,7 +242,7 @@ def merge_persons(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """
     from veilspark.operators.detect import reads_as_name
 
-    linked = _chains(spans, docs, lambda gap: F.col("entity_type").isin(*PEOPLE) & F.col("b_type").isin(*PEOPLE) & (F.length(gap) <= 3) & gap.rlike(r"^[ \t\r\f.'-]*$"))
+    linked = _chains(spans, docs, lambda gap: F.col("entity_type").isin(*PEOPLE) & F.col("b_type").isin(*PEOPLE) & (F.length(gap) <= 3) & gap.rlike(r"^[ \t\r\f.'-]*\z"))
     row = F.struct("start", "end", "entity_type", "value", *[c for c in spans.columns if c not in (*PAGE, "start", "end", "entity_type", "value")])
     per = linked.groupBy(*PAGE, "chain").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first("text").alias("text"))
     text = F.col("text")

@@ -441,3 +441,65 @@ def relevant_chunks(spark, sf_dir):
     chunks = played.select("doc_id", F.posexplode("chunks").alias("chunk_id", "x")).select("doc_id", "chunk_id", *place)
     found = played.select("doc_id", F.explode("found").alias("x")).select("doc_id", *place, F.get("x", 2).alias("confidence"))
     return documents.relevant_chunks(chunks, found, played.select("doc_id", F.explode("locked").alias("x")).select("doc_id", *place))
+
+
+_DETECTED = [
+    ("Patient Name: Anna B. Smith", [("PATIENT", "Anna B. Smith", 14, 1.0)]), ("Card Number: 4111 1111 1111 1111", [("CREDIT_CARD", "4111 1111 1111 1111", 13, 1.0)]), ("Card 4111 1111 1111 1112", [("CREDIT_CARD", "4111 1111 1111 1112", 5, 0.4)]),
+    ("order 4111 1111 1111 1112 shipped", []), ("SSN: 123-45-6788", [("SSN", "123-45-6788", 5, 1.0)]), ("Member ID: ABX12345", [("MEMBER_ID", "ABX12345", 11, 1.0)]), ("DOB: 04/12/1980", [("DATE_OF_BIRTH", "04/12/1980", 5, 1.0)]),
+    ("write to ann@mail.com", [("EMAIL", "ann@mail.com", 9, 1.0)]), ("from 10.20.30.40 on", [("IP_ADDRESS", "10.20.30.40", 5, 1.0)]), ("00480 Cook Cove", []), ("Patient: Customer Service", []),
+    ("Claim Number: CLM778112", [("CLAIM_NUMBER", "CLM778112", 14, 1.0)]), ("Aadhaar 1234 5678 9012", [("AADHAAR_NUMBER", "1234 5678 9012", 8, 1.0)]), ("code 1234 5678 9012", []), ("see http://x.org/y now", [("URL", "http://x.org/y", 4, 1.0)]),
+    ("NPI 1234567893", [("NPI_NUMBER", "NPI 1234567893", 0, 1.0)]), ("Invoice Number: INV-2020-11", [("INVOICE_NUMBER", "INV-2020-11", 16, 1.0)]), ("CPT 99213", [("CPT_CODE", "CPT 99213", 0, 1.0)]), ("ticket 99213", []),
+    ("May 3-5, 2021", [("DATE_RANGE", "May 3-5, 2021", 0, 0.8)]), ("Passport A1234567", [("PASSPORT_NUMBER", "A1234567", 9, 1.0)]),
+]
+
+
+@case_query([a for _, a in _DETECTED], ["entity_type", "value", "start", "confidence"])
+def detect_cases(spark, sf_dir):
+    from veilspark.operators import detect
+
+    return detect.detect(_texts(spark, sf_dir, _DETECTED)).select("doc_id", "entity_type", "value", "start", "confidence")
+
+
+_RELEASED = [
+    ("Mail ann@mail.com, again ANN@mail.com.", ("Mail [REDACTED_EMAIL], again [REDACTED_EMAIL].", "RELEASED")), ("SSN: 123-45-6788", ("SSN: [REDACTED_SSN]", "RELEASED")), ("DOB: 04/12/1980", ("DOB: [REDACTED_DATE_OF_BIRTH]", "RELEASED")),
+    ("Nothing here.", ("Nothing here.", "RELEASED")), ("Patient Name: Anna B. Smith\nAnna B. Smith left.", ("Patient Name: [REDACTED_PATIENT]\n[REDACTED_PATIENT] left.", "RELEASED")),
+    ("Member ID: ABX12345\nAddress: 12 Oak Street, Salem, OR 97301", ("Member ID: [REDACTED_MEMBER_ID]\nAddress: [REDACTED_ADDRESS]", "RELEASED")),
+    ("Witness: Bob Ray MD\nseen at Old Mercy Hospital with aspirin", ("Witness: [REDACTED_PERSON]\nseen at [REDACTED_HOSPITAL] with [REDACTED_MEDICATION]", "RELEASED")),
+]
+
+
+@case_query([[a] for _, a in _RELEASED], ["redacted_text", "status"])
+def release_cases(spark, sf_dir):
+    from veilspark.plans.release import release
+
+    done = release(_texts(spark, sf_dir, _RELEASED), AS_OF)
+    return done.redacted.join(done.status, "doc_id").select("doc_id", "redacted_text", "status")
+
+
+_MERGED = [
+    ("12 Oak Street\nSalem, OR 97301", [(0, 13, "ADDRESS")], [("ADDRESS", "12 Oak Street\nSalem, OR 97301")]), ("12 Oak Street, Apt 4", [(0, 13, "ADDRESS"), (15, 20, "ADDRESS")], [("ADDRESS", "12 Oak Street, Apt 4")]),
+    ("9 Elm Road-x-7 Ash Lane", [(0, 10, "ADDRESS"), (13, 23, "ADDRESS")], [("ADDRESS", "9 Elm Road"), ("ADDRESS", "7 Ash Lane")]), ("Salem, OR 97301", [(0, 9, "CITY_STATE_ZIP")], [("ADDRESS", "Salem, OR 97301")]),
+    ("Patient: David A Wilson", [(9, 16, "PERSON"), (17, 23, "PERSON")], [("PATIENT", "David A Wilson")]), ("Nurse David A Wilson", [(6, 13, "PERSON"), (14, 20, "PERSON")], [("PERSON", "David A"), ("PERSON", "Wilson")]),
+    ("David\nWilson", [(0, 5, "PATIENT"), (6, 12, "PERSON")], [("PATIENT", "David"), ("PERSON", "Wilson")]),
+]
+
+
+@case_query([a for *_, a in _MERGED], ["entity_type", "value"])
+def merge_parts(spark, sf_dir):
+    played = _played(spark, sf_dir, [(t, [list(map(str, x)) for x in s]) for t, s, _ in _MERGED], "text string, parts array<array<string>>")
+    at = played.select("doc_id", "text", F.explode("parts").alias("x")).select("doc_id", "text", F.get("x", 0).cast("int").alias("start"), F.get("x", 1).cast("int").alias("end"), F.get("x", 2).alias("entity_type"))
+    found = at.select("doc_id", F.lit(1).alias("page"), "start", "end", "entity_type", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"), F.lit(0.9).alias("confidence"), F.lit("regex").alias("detector"))
+    return spans.merge_persons(spans.merge_addresses(found, played), played).select("doc_id", "entity_type", "value")
+
+
+_DATES = [
+    ("02/29/2024", True), ("02/29/2023", False), ("29/02/2024", True), ("13/13/2020", False), ("1-2-2020", True), ("1/2/68", False), ("1/2/69", True), ("1/2/30", True), ("5-Mar-1999", True), ("5 march 1999", True), ("Sept 5, 1999", False),
+    ("May 5 1999", True), ("2020-2-30", False), ("20200229", True), ("1849-12-31", False), ("Monday, May 5, 1999", True), ("2021-03-03T10:30:00Z", True), ("10:30", False), ("x", False), ("", False),
+]
+
+
+@case_query([[(a,)] for _, a in _DATES], ["real"])
+def real_dates(spark, sf_dir):
+    from veilspark.functions.dates import is_real_date
+
+    return _texts(spark, sf_dir, _DATES).select("doc_id", is_real_date(F.col("text"), AS_OF).alias("real"))

@@ -343,7 +343,7 @@ def category_counts(spark, sf_dir):
     return c.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' OR (c_nationkey % 5 = 0 AND lower(c_name) = lower(c_name))")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' OR (c_nationkey % 5 = 0 AND 'me@example.com' = lower('ME@example.com'))")
 def visible_rows(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumn("owner", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment")).when(F.col("c_mktsegment") == "BUILDING", F.lit("BUILDING")))
     return relational.visible_to(c.withColumn("mail", F.lit("me@example.com")), F.col("owner"), F.col("mail"), "BUILDING", "ME@example.com", "USER").select("c_custkey", "c_name")
@@ -368,13 +368,23 @@ def layout_blocks(spark, sf_dir):
     return layout.blocks(rows)
 
 
-@query()
+@query("""WITH b AS (SELECT l_orderkey AS doc_id, 't' || l_linenumber AS t, (l_partkey % 600)::DOUBLE AS x, (l_partkey % 600 + 40)::DOUBLE AS r, (l_suppkey % 50)::DOUBLE AS y FROM lineitem),
+l AS (SELECT doc_id, list_concat([[struct_pack(t := '', x := 0.0::DOUBLE, r := 0.0::DOUBLE, y := -1e9::DOUBLE, row_ := -1, mean := -1e9::DOUBLE, n := 0)]], list([struct_pack(t := t, x := x, r := r, y := y, row_ := 0, mean := 0.0::DOUBLE, n := 0)] ORDER BY y, x, t)) AS l, max(r) AS width FROM b GROUP BY 1),
+f AS (SELECT doc_id, width, unnest(list_reduce(l, lambda acc, k: list_concat(acc, [struct_pack(t := k[1].t, x := k[1].x, r := k[1].r, y := k[1].y,
+  row_ := acc[len(acc)].row_ + CASE WHEN abs(k[1].y - acc[len(acc)].mean) > 0.6::DOUBLE * 9::DOUBLE THEN 1 ELSE 0 END,
+  mean := CASE WHEN abs(k[1].y - acc[len(acc)].mean) > 0.6::DOUBLE * 9::DOUBLE THEN k[1].y ELSE acc[len(acc)].mean + (k[1].y - acc[len(acc)].mean) / (acc[len(acc)].n + 1) END,
+  n := CASE WHEN abs(k[1].y - acc[len(acc)].mean) > 0.6::DOUBLE * 9::DOUBLE THEN 1 ELSE acc[len(acc)].n + 1 END)]))) AS q FROM l),
+g AS (SELECT doc_id, width, q.row_ AS row_, q.x AS x, q.t AS t, q.x - lag(q.r) OVER (PARTITION BY doc_id, q.row_ ORDER BY q.x, q.t) AS gap FROM f WHERE q.row_ >= 0)
+SELECT doc_id, 1 AS page, row_ AS row, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap > greatest(22.5, 0.025 * width) THEN chr(9) ELSE ' ' END || t, '' ORDER BY x, t) AS text FROM g GROUP BY doc_id, row_""")
 def layout_rows(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_shipdate").cast("string").alias("text"), (F.col("l_partkey") % 600).cast("double").alias("left"), (F.col("l_partkey") % 600 + 40).cast("double").alias("right"), (F.col("l_suppkey") % 50).cast("double").alias("center_y"), F.lit(9.0).alias("height"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("text"), (F.col("l_partkey") % 600).cast("double").alias("left"), (F.col("l_partkey") % 600 + 40).cast("double").alias("right"), (F.col("l_suppkey") % 50).cast("double").alias("center_y"), F.lit(9.0).alias("height"))
     return layout.row_text(layout.visual_rows(lines))
 
 
-@query()
+# edges are whole numbers, so the area is the number of unit squares, counted by columns
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 100 AS x, least((l_partkey % 100 + l_quantity)::BIGINT, 100) AS x2, l_suppkey % 100 AS y FROM lineitem),
+c AS (SELECT doc_id, unnest(range(x, x2)) AS x, y FROM b), d AS (SELECT DISTINCT doc_id, x, unnest(range(y, least(y + 20, 100))) AS y FROM c)
+SELECT doc_id, 1 AS page, count(*)::DOUBLE AS area, count(*) / 10000.0::DOUBLE AS share FROM d GROUP BY 1""")
 def image_area(spark, sf_dir):
     x, y = (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double")
     boxes = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), x.alias("left"), y.alias("top"), (x + F.col("l_quantity")).alias("right"), (y + 20).alias("bottom"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"))
