@@ -16,24 +16,26 @@ from veilspark.llm.neardup import near_duplicates
 from veilspark.llm.packing import pack
 from veilspark.llm.pii import redact
 from veilspark.llm.quality import keep_good, learn
-from veilspark.llm.work import keep, table
+from veilspark.llm.work import drop, keep, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. Its labels' training fold is what it learns from."""
+    """Documents that the classifier does not reject. Its labels' training fold is what it learns from.
+    Null and empty texts are judged as texts without features; repeated rows are judged alike; no documents give none."""
     return keep_good(docs, learn(docs, table(spark, sf_dir, "labels"))).select(COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    """One document of each near-duplicate group: the one with the smallest doc_id. Rows that share a doc_id go or stay
+    together; texts without words and rows without a doc_id stay; no documents give none."""
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by [KIND]; n_chars follows the new text."""
+    """Texts with personal data replaced by [KIND]; n_chars follows the new text. A null text stays null, as does its n_chars."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
@@ -44,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens. Null and empty texts are one end mark each; repeated rows are packed as they come."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -57,7 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = keep(docs, name)
+            if i:
+                drop(before)
     return docs
