@@ -503,3 +503,17 @@ def real_dates(spark, sf_dir):
     from veilspark.functions.dates import is_real_date
 
     return _texts(spark, sf_dir, _DATES).select("doc_id", is_real_date(F.col("text"), AS_OF).alias("real"))
+
+
+_REMAINING = [
+    ("Patient Name: Ann Hill", [], [("label_value", 14, 22)]), ("Summary of the Visit", [], []), ("saw Dr. Ann Hill at Old Mercy Hospital today.", [], [("titled_name", 4, 16), ("organization_or_facility", 20, 38)]),
+    ("mail a@b.org or 217-555-0187 now.", [(5, 12)], [("structured_token", 16, 28)]), ("he has fever and Pain.", [], [("domain_signal", 7, 12), ("proper_noun", 17, 21)]), ("Salary - 90,000 a year", [], [("label_value", 9, 22)]),
+    ("Contact: medical information", [], []), ("met Bob once.", [], []), ("met Bob Ray once.", [], [("proper_noun", 4, 11)]),
+]
+
+
+@case_query([a for *_, a in _REMAINING], ["kind", "start", "end_"])
+def remaining_candidates(spark, sf_dir):
+    played = _played(spark, sf_dir, [(t, [list(x) for x in s]) for t, s, _ in _REMAINING], "text string, shut array<array<int>>")
+    locked = played.select("doc_id", F.explode("shut").alias("x")).select("doc_id", F.get("x", 0).alias("start"), F.get("x", 1).alias("end"))
+    return routing.remaining_candidates(played, locked).select("doc_id", "kind", "start", F.col("end").alias("end_"))
