@@ -68,8 +68,9 @@ def classification_text(c: Column) -> Column:
 
 
 def _hit(text: Column, signal: str) -> Column:
+    """A phrase anywhere in the normalised text, or a word of column ``w``, which has a space around each word."""
     key = " ".join("".join(ch if ch.isalnum() or ch == "#" else " " for ch in signal.lower()).split())
-    return text.contains(key) if " " in key or not key.isalnum() else text.rlike(rf"\b{key}\b")
+    return text.contains(key) if " " in key or not key.isalnum() else F.col("w").contains(f" {key} ")
 
 
 def classify(docs: DataFrame, signals: dict = tables.DOCUMENT_SIGNALS) -> DataFrame:
@@ -79,6 +80,7 @@ def classify(docs: DataFrame, signals: dict = tables.DOCUMENT_SIGNALS) -> DataFr
     moves. Ties keep the order of ``signals``.
     """
     text = docs.select("doc_id", classification_text(F.coalesce("text", F.lit(""))).alias("t"))
+    text = text.withColumn("w", F.concat(F.lit(" "), F.translate("t", "#", " "), F.lit(" ")))
     scored = []
     for order, (kind, groups) in enumerate(signals.items()):
         parts, active, identity = [], [], []

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import without_labels
-from veilspark.operators.store import let
+from veilspark.operators.store import fence, let
 
 # What in a text, or in its words without labels, calls for a detector.
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "professor", "hon", "consultant")
@@ -46,17 +46,20 @@ def gates(text: Column) -> dict[str, Column]:
     low = F.lower(text)
     titled = lambda clean: F.exists(F.array(*map(F.lit, TITLES)), lambda t: F.contains(F.concat(F.lit(" "), clean, F.lit(" ")), F.concat(F.lit(" "), t, F.lit(" "))) | F.startswith(clean, t))
     pairs = F.exists(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"), F.lit(0)), lambda p: ~F.lower(p).isin(*NO_PAIR))
-    ner = let(without_labels(text), lambda clean: (clean != "") & (titled(clean) | _any(clean, NER_WORDS) | pairs))
-    care = (without_labels(text) != "") & (_any(low, CARE_PHRASES) | F.arrays_overlap(words, F.array(*map(F.lit, CARE_WORDS))))
-    clinical = (without_labels(text) != "") & (_any(low, CLINICAL_PHRASES) | F.arrays_overlap(words, F.array(*map(F.lit, CLINICAL_WORDS))))
+    listed = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
+    judged = let(without_labels(text), lambda clean: F.struct((clean != "").alias("any"), (titled(clean) | _any(clean, NER_WORDS)).alias("ner")))
+    ner = judged["any"] & (judged["ner"] | pairs)
+    care = judged["any"] & (_any(low, CARE_PHRASES) | listed(CARE_WORDS))
+    clinical = judged["any"] & (_any(low, CLINICAL_PHRASES) | listed(CLINICAL_WORDS))
     yes = lambda c: F.coalesce(said & c, F.lit(False))
     return {"regex": said, "ner": yes(ner), "zero_shot": yes(care), "clinical": yes(clinical), "llm": said}
 
 
 def plan_detectors(docs: DataFrame, route: str = "route") -> DataFrame:
     """doc_id, detectors: the route's detectors whose gate is open, in route order. docs: doc_id, text and ``route`` (comma-joined names)."""
-    open_ = F.create_map(*[x for name, gate in gates(F.col("text")).items() for x in (F.lit(name), gate)])
-    out = docs.withColumn("open", open_)
+    # the words without labels are worked out in a step of their own, for all gates
+    out = fence(docs.select("doc_id", route, *[gate.alias(f"g_{name}") for name, gate in gates(F.col("text")).items()]))
+    out = out.withColumn("open", F.create_map(*[x for name in ("regex", "ner", "zero_shot", "clinical", "llm") for x in (F.lit(name), F.col(f"g_{name}"))]))
     return out.select("doc_id", F.filter(F.split(route, ","), lambda d: F.coalesce(F.try_element_at(F.col("open"), d), F.lit(False))).alias("detectors"))
 
 
@@ -67,7 +70,7 @@ def next_detector(docs: DataFrame, state: DataFrame, least: float = 0.80, exhaus
     ``least`` or pending). A document stops once something has run and neither is
     left; else the first open detector of its route that has not run is next.
     """
-    planned = plan_detectors(docs).join(state, "doc_id", "left")
+    planned = plan_detectors(docs, "route").join(state, "doc_id", "left")
     executed = F.coalesce("executed", F.array().cast("array<string>"))
     n, low = F.coalesce("candidates", F.lit(0)), F.coalesce("uncertain", F.lit(0))
     done = (F.size(executed) > 0) & (n <= 0) & (low <= 0) & F.lit(not exhaustive)
