@@ -157,3 +157,12 @@ def test_queries_read_whole_texts_and_tables(spark, tmp_path):
     texts = [*rows, (-8, " ".join(catalog._PHRASES[i] for i in (10, 10, 9)))]
     assert found == {r.doc_id: (r.document_type, r.confidence) for r in documents.classify(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert found[-8][0] != "UNKNOWN" and found[1][0] != "UNKNOWN"
+
+
+def test_classify_looks_for_signals_once(spark):
+    rows = [(1, "Bank acct no 5, IFSC c0de"), (2, "STORE #12 sales receipt"), (3, "ébank statement"), (4, None), (5, "agreement"), (6, "rx\x0brefill pharmacy prescription dosage")]
+    done = documents.classify(spark.createDataFrame(rows, "doc_id long, text string"))
+    # an expression for each signal made the plan too large for the JVM to compile
+    assert len(done._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = {r.doc_id: (r.document_type, r.confidence) for r in done.collect()}
+    assert got[4] == ("UNKNOWN", 0.0) and got[5][0] == "UNKNOWN" and got[6][0] == "PRESCRIPTION" and set(got) == {1, 2, 3, 4, 5, 6}
