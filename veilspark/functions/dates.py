@@ -59,7 +59,9 @@ def _let(value: Column, use) -> Column:
 def _in_form(day: Column, pattern: str, groups: tuple[int, int, int], as_of: int) -> Column:
     part = [F.nullif(F.regexp_extract(day, pattern, g), F.lit("")) for g in groups]
     ymd = F.struct(_let(part[0], _year).alias("y"), _let(part[1], _number).alias("m"), _let(part[2], _number).alias("d"))
-    return _let(ymd, lambda x: exists(x["y"], x["m"], x["d"]) & F.coalesce(plausible(x["y"], as_of), F.lit(False)))
+    held = _let(ymd, lambda x: exists(x["y"], x["m"], x["d"]) & F.coalesce(plausible(x["y"], as_of), F.lit(False)))
+    # most texts have no form at all: their parts are not taken out
+    return F.when(day.rlike(pattern), held).otherwise(F.lit(False))
 
 
 def is_real_date(v: Column, as_of: int, with_time: Column | bool = False) -> Column:

@@ -19,11 +19,13 @@ from veilspark.functions.dates import is_real_date, is_real_date_range
 from veilspark.functions.text import semantic_key
 from veilspark.operators.store import fence
 
-_BLANK = r"\s\x{85}\x{a0}\x{1c}-\x{1f}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}"
+# blanks as a class whose usual characters need one look each, and as characters
+_BLANK = r" \t\n\x0B\f\r\x{1c}\x{1d}\x{1e}\x{1f}\x{85}\x{a0}[\x{2000}-\x{3000}&&[\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]]"
+_BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u3000"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{_BLANK}]+|[{_BLANK}]+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def _squeeze(c: Column) -> Column:
@@ -43,7 +45,7 @@ def align(spans: DataFrame, docs: DataFrame) -> DataFrame:
     out = out.withColumn("start", F.col("start") + F.length(F.regexp_extract("span", V.SPAN_LABEL, 0))).withColumn("span", F.regexp_replace("span", V.SPAN_LABEL, ""))
     says = _squeeze(F.col("span"))
     out = fence(out).where((says != "") & ((says == _squeeze(F.col("value"))) | (says == _squeeze(F.regexp_replace("value", V.SPAN_LABEL, "")))))
-    out = out.withColumn("start", F.col("start") + F.length("span") - F.length(F.regexp_replace("span", f"^[{_BLANK}]+", ""))).withColumn("value", _strip(F.col("span")))
+    out = out.withColumn("start", F.col("start") + F.length("span") - F.length(F.ltrim(F.col("span"), F.lit(_BLANKS)))).withColumn("value", _strip(F.col("span")))
     return out.withColumn("end", F.col("start") + F.length("value")).drop("span")
 
 
@@ -91,8 +93,8 @@ def is_cpt(v: Column) -> Column:
 
 def in_cpt_context(text: Column, start: Column, end: Column) -> Column:
     """A label of procedure codes around the span, or a date before and a diagnosis code behind it on its line."""
-    left = F.regexp_extract(F.substring(text, F.lit(1), start), r"[^\n]*\z", 0)
-    right = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"\A[^\n]*", 0)
+    left = F.substring_index(F.substring(text, F.lit(1), start), "\n", -1)
+    right = F.substring_index(F.substring(text, end + 1, F.length(text)), "\n", 1)
     return (left.rlike("(?i)" + T.DATE_VALUE_PATTERN) & right.rlike(V.ICD10_WORD)) | _cut(text, start - 180, end + 120).rlike(V.CPT_LABEL)
 
 
