@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from veilspark.operators.store import deal
+
 
 def fold_groups(df: DataFrame, keys: list[str], order: list[Column], work: Callable[[list[tuple]], list[tuple]], schema: StructType, rows: int = 8192) -> DataFrame:
     """Rows that ``work`` makes of each group of ``keys``, whose rows come sorted by ``order``."""
@@ -40,4 +42,4 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[Column], work: Calla
         if out:
             yield pack(out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return deal(keys, df)[0].sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from veilspark.operators.fold import fold_groups
+from veilspark.operators.store import deal
 
 
 def visual_rows(lines: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     middle = F.percentile("height", 0.5).over(Window.partitionBy("doc_id", "page"))
     w = Window.partitionBy("doc_id", "page").orderBy("top", "bottom")
     fresh = F.coalesce((F.col("top") - F.lag("bottom").over(w) > F.greatest(F.lit(1.75) * F.col("median"), F.lit(12.0))).cast("int"), F.lit(0))
-    return rows.withColumn("median", middle).withColumn("fresh", fresh).withColumn("block", F.sum("fresh").over(w)).drop("median", "fresh")
+    return deal(["doc_id", "page"], rows)[0].withColumn("median", middle).withColumn("fresh", fresh).withColumn("block", F.sum("fresh").over(w)).drop("median", "fresh")
 
 
 def row_text(lines: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def row_text(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page", "row").orderBy("left", "text")
     gap = F.col("left") - F.lag("right").over(w)
     sep = F.when(gap.isNull(), "").when(gap > F.greatest(2.5 * F.col("height"), 0.025 * F.col("width")), "\t").otherwise(" ")
-    parts = lines.withColumn("width", width).withColumn("sep", sep)
+    parts = deal(["doc_id", "page"], lines)[0].withColumn("width", width).withColumn("sep", sep)
     return parts.groupBy("doc_id", "page", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "text", "sep"))), lambda x: F.concat(x["sep"], x["text"])), "").alias("text"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -29,3 +30,26 @@ def fence(df: DataFrame) -> DataFrame:
     until plans are too large to handle.
     """
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
+
+
+#: Bytes of input files (or of a settled table, one partition) for each partition that rows are dealt to.
+PART_BYTES = 2 << 20
+
+
+def _parts(df: DataFrame) -> int:
+    """Partitions that df's inputs ask for, from the optimizer's sizes of its leaves; nothing is run."""
+    total, leaves = 0, df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        settled = leaf.getClass().getSimpleName() == "LogicalRDD"
+        total += leaf.rdd().getNumPartitions() * PART_BYTES if settled else min(int(str(leaf.stats().sizeInBytes())), 1 << 50)
+    return ceil(total / PART_BYTES)
+
+
+def deal(keys: list[str], *tables: DataFrame) -> list[DataFrame]:
+    """Tables dealt by keys, all to the same number of partitions, which grows with their inputs, so that what one task
+    sorts or holds does not. Small ones are left to the session's own number of partitions."""
+    n = max(_parts(t) for t in tables)
+    if n <= tables[0].sparkSession.sparkContext.defaultParallelism:
+        return [t.repartition(*keys) for t in tables]
+    return [t.repartition(n, *keys) for t in tables]
