@@ -166,3 +166,29 @@ def test_classify_looks_for_signals_once(spark):
     assert len(done._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     got = {r.doc_id: (r.document_type, r.confidence) for r in done.collect()}
     assert got[4] == ("UNKNOWN", 0.0) and got[5][0] == "UNKNOWN" and got[6][0] == "PRESCRIPTION" and set(got) == {1, 2, 3, 4, 5, 6}
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from veilspark.operators import spans, store
+
+    lines = spark.range(2000).selectExpr("id div 4 doc_id", "1 page", "concat('t', id) text", "cast(id % 4 * 50 as double) `left`", "cast(id % 4 * 50 + 40 as double) `right`", "cast(id % 7 as double) center_y", "9.0D height")
+    lines.write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    few = layout.row_text(layout.visual_rows(lines)).collect()
+    monkeypatch.setattr(store, "PART_BYTES", 500)
+    many = layout.row_text(layout.visual_rows(lines))
+    assert sorted(many.collect()) == sorted(few)
+    found = spark.range(2000).selectExpr("id doc_id", "1 page", "0 start", "5 end", "'PERSON' entity_type", "'a' value", "0.9D confidence", "'regex' detector")
+    docs = lines.groupBy("doc_id").agg(F.first("text").alias("text"))
+    # a fixed number of partitions let what a task sorts grow with the input
+    for plan in (many, spans.merge_persons(spans.merge_addresses(found, docs), docs)):
+        steps = [x for x in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "REPARTITION_BY_" in x]
+        assert steps and all("REPARTITION_BY_NUM" in x for x in steps)
+
+
+def test_chunks_without_texts(spark):
+    docs = spark.createDataFrame([(1, "One sentence here. " * 400), (2, None), (3, " "), (4, "short")], "doc_id long, text string")
+    with_texts = documents.chunk(docs)
+    bare = documents.chunk(docs, texts=False)
+    assert bare.columns == ["doc_id", "chunk_id", "start", "end"] and sorted(bare.collect()) == sorted(with_texts.drop("chunk_text").collect())
+    assert {r.doc_id for r in bare.collect()} == {1, 4} and all(r.end - r.start == len(r.chunk_text) for r in with_texts.collect())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import vocabulary as V
 from veilspark.functions.text import overlap_ratio, value_key
 from veilspark.operators.fold import fold_groups
-from veilspark.operators.store import fence
+from veilspark.operators.store import deal, fence
 
 PAGE = ["doc_id", "page"]
 
@@ -58,7 +58,7 @@ def merge_touching(spans: DataFrame, gap: int = 0) -> DataFrame:
     w = Window.partitionBy(*PAGE).orderBy("start", F.desc("end"), "entity_type")
     so_far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = so_far.isNull() | (F.col("start") >= so_far) if gap == 0 else so_far.isNull() | (F.col("start") > so_far + gap)
-    marked = spans.withColumn("fresh", fresh.cast("int"))
+    marked = deal(PAGE, spans)[0].withColumn("fresh", fresh.cast("int"))
     marked = marked.withColumn("island", F.sum("fresh").over(w))
     first = F.min_by("entity_type", F.struct("start", -F.col("end"), "entity_type"))
     return marked.groupBy(*PAGE, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), first.alias("entity_type"), F.count("*").alias("n")).drop("island")
@@ -205,7 +205,8 @@ def _chains(spans: DataFrame, docs: DataFrame, joins) -> DataFrame:
     joins(gap) is asked of the text between the two; b_type and b_end are the one before's.
     """
     w = Window.partitionBy(*PAGE).orderBy("start", "end", "entity_type", "value")
-    out = spans.join(docs.select("doc_id", "text"), "doc_id").withColumn("b_end", F.lag("end").over(w)).withColumn("b_type", F.lag("entity_type").over(w))
+    left, right = deal(["doc_id"], spans, docs.select("doc_id", "text"))
+    out = left.join(right, "doc_id").withColumn("b_end", F.lag("end").over(w)).withColumn("b_type", F.lag("entity_type").over(w))
     goes_on = F.coalesce((F.col("start") >= F.col("b_end")) & joins(_between(F.col("text"), F.col("b_end"), F.col("start"))), F.lit(False))
     return out.withColumn("chain", F.sum((~goes_on).cast("int")).over(w)).drop("b_end", "b_type")
 
