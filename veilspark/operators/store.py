@@ -32,18 +32,18 @@ def fence(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
 
 
-#: Bytes of input files (or of a settled table, one partition) for each partition that rows are dealt to.
+#: Bytes of an input's files for each partition that rows are dealt to.
 PART_BYTES = 2 << 20
 
 
 def _parts(df: DataFrame) -> int:
-    """Partitions that df's inputs ask for, from the optimizer's sizes of its leaves; nothing is run."""
-    total, leaves = 0, df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        settled = leaf.getClass().getSimpleName() == "LogicalRDD"
-        total += leaf.rdd().getNumPartitions() * PART_BYTES if settled else min(int(str(leaf.stats().sizeInBytes())), 1 << 50)
-    return ceil(total / PART_BYTES)
+    """Partitions that df's largest input of files asks for, from the sizes of the leaves; nothing is run or optimized.
+    Settled tables do not count: each step would else have the partitions of all before it."""
+    size, leaves = 0, df._jdf.queryExecution().analyzed().collectLeaves()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() != "LogicalRDD":
+            size = max(size, min(int(str(leaf.stats().sizeInBytes())), 1 << 50))
+    return ceil(size / PART_BYTES)
 
 
 def deal(keys: list[str], *tables: DataFrame) -> list[DataFrame]:
