@@ -38,14 +38,15 @@ def finalize(found: DataFrame, docs: DataFrame, as_of: int, policies: DataFrame
 
     docs may have document_type; without it no policy drops anything.
     """
-    good = spans.normalize_types(validate.validate(found, docs, as_of).drop("original_type", "proven"))
-    kinds = docs.select("doc_id", (F.col("document_type") if "document_type" in docs.columns else F.lit(None).cast("string")).alias("document_type"))
-    good = fence(taxonomy.apply(settle(good.join(kinds, "doc_id")), policies).drop("document_type", "priority", "should_mask"))
+    # validation judges each span by itself, so the net is a part of what it lets pass
+    good = valid = settle(spans.normalize_types(validate.validate(found, docs, as_of).drop("original_type", "proven")))
+    if "document_type" in docs.columns:
+        typed = settle(valid.join(docs.select("doc_id", "document_type"), "doc_id"))
+        good = fence(taxonomy.apply(typed, policies).drop("document_type", "priority", "should_mask"))
     good = spans.calibrate(good.where(F.col("confidence") >= LEAST)).drop("level")
     good = settle(spans.drop_line_crossing(spans.resolve(spans.dedupe(good))))
     good = spans.merge_persons(spans.merge_addresses(good, docs), docs)
-    net = spans.normalize_types(validate.validate(found.where("detector = 'regex'"), docs, as_of).drop("original_type", "proven"))
-    net = net.where(F.col("entity_type").isin(*redact.HIGH_RISK)).select(*good.columns)
+    net = valid.where((F.col("detector") == "regex") & F.col("entity_type").isin(*redact.HIGH_RISK)).select(*good.columns)
     every = spans.resolve(spans.dedupe(good.unionByName(net)))
     return spans.calibrate(spans.reclassify(every, docs))
 
@@ -60,13 +61,7 @@ def _residual(text: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return spans.normalize_types(found).where(F.col("entity_type").isin(*redact.HIGH_RISK))
 
 
-def release(docs: DataFrame, as_of: int = 2025, rounds: int = 3, entities: tuple[str, ...] | None = None, policies: DataFrame | None = None) -> Release:
-    """Detect, redact, redact up to ``rounds`` times what the high-risk patterns still find, verify and report.
-
-    A document is RELEASED only if each span's text was what it says, no value is
-    left as a word, and no high-risk pattern matches what is to go out. ``as_of``
-    is the year that dates are judged in.
-    """
+def _release(docs: DataFrame, as_of: int, rounds: int, entities: tuple[str, ...] | None, policies: DataFrame | None) -> Release:
     found = settle(find_spans(docs, as_of, entities, policies))
     wide = found.select("doc_id", "page", "start", "end", "entity_type", "value", "confidence", "detector")
     text = settle(redact.redact(docs, wide.unionByName(redact.expand_occurrences(docs, wide))))
@@ -76,5 +71,20 @@ def release(docs: DataFrame, as_of: int = 2025, rounds: int = 3, entities: tuple
         if left.isEmpty():
             break
         text = settle(redact.redact(text.select("doc_id", F.col("redacted_text").alias("text")), left))
-    status = redact.verify(docs, wide, text, _residual(text, kinds))
-    return Release(found, text, status, redact.report(found))
+    else:
+        left = _residual(text, kinds)
+    return Release(found, text, settle(redact.verify(docs, wide, text, left)), redact.report(found))
+
+
+def release(docs: DataFrame, as_of: int = 2025, rounds: int = 3, entities: tuple[str, ...] | None = None, policies: DataFrame | None = None) -> Release:
+    """Detect, redact, redact up to ``rounds`` times what the high-risk patterns still find, verify and report.
+
+    A document is RELEASED only if each span's text was what it says, no value is
+    left as a word, and no high-risk pattern matches what is to go out. ``as_of``
+    is the year that dates are judged in. A document's result follows from its text and
+    type alone, so equal documents are worked through once and each gets the result.
+    """
+    heads, members = documents.share_copies(docs)
+    done = _release(heads, as_of, rounds, entities, policies)
+    each = lambda part: members.join(part.withColumnRenamed("doc_id", "head_id"), "head_id").select(*part.columns)
+    return Release(*[each(part) for part in (done.spans, done.redacted, done.status, done.reports)])
