@@ -1,14 +1,18 @@
 """Detectors and decisions that need no model: patterns with fixed confidence, listed phrases, filters of names
 that a statistical recogniser found, and the decisions that stand in for a language model's.
 
-Matches come from ``find_all``, built-in expressions only. Each rule set is a table.
+Matches come from ``find_all``, built-in expressions only. Each rule set is a table. Its patterns run only on texts that
+pass a quicker look (``_where``), true of every text with a match.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +42,23 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.lit(1).alias("page"), F.lit(0).alias("base"), "text")
 
 
-def _spans(docs: DataFrame, found: list[tuple[str, Column]], confidence: dict[str, float] | float, detector: str) -> DataFrame:
+def _where(rows: DataFrame, look: str) -> DataFrame:
+    """Rows in whose text a pattern of RE2 is found: one pass of an automaton, however many words it lists. It also
+    keeps the optimizer from running the patterns behind it once more as a filter of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pc.fill_null(pc.match_substring_regex(b.column("text"), look), False))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _spans(docs: DataFrame, found: list[tuple[str, Column]], confidence: dict[str, float] | float, detector: str, look: str) -> DataFrame:
     def named(kind: str, rule: int):
         return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("entity_type"), m["value"].alias("value"), F.lit(rule).alias("rule"))
 
     parts = [F.transform(c, named(kind, i)) for i, (kind, c) in enumerate(found)]
-    out = _rows(docs).select("doc_id", "page", "base", F.explode(F.flatten(F.array(*parts))).alias("m"))
+    out = _where(_rows(docs), look).select("doc_id", "page", "base", F.explode(F.flatten(F.array(*parts))).alias("m"))
     sure = F.lit(confidence) if isinstance(confidence, float) else F.coalesce(*[F.when(F.col("m.entity_type") == k, F.lit(c)) for k, c in confidence.items()])
     return out.select("doc_id", "page", (F.col("base") + F.col("m.start")).alias("start"), (F.col("base") + F.col("m.end")).alias("end"), "m.entity_type", "m.value", sure.cast("double").alias("confidence"), F.lit(detector).alias("detector"), "m.rule")
 
@@ -60,6 +75,13 @@ PEOPLE = (
 )
 ORGANISATION = r"\b[A-Z][a-zA-Z0-9_]+(?:\s+[A-Z][a-zA-Z0-9_]+)*\s+(?:Corporation|Corp\b|Inc\b|Inc\.|Llc|Ltd|Company|Association|Group|Solutions)\b"
 STREET = r"\b(?:[Oo]ne|[Tt]wo|[Tt]hree|\d+)\s+[A-Z][a-zA-Z0-9_]+(?:\s+[A-Z][a-zA-Z0-9_]+)*\s+(?:Way|Street|St\b|St\.|Road|Rd\b|Rd\.|Avenue|Ave\b|Ave\.|Lane|Ln\b|Ln\.|Boulevard|Blvd\b|Blvd\.|Drive|Dr\b|Dr\.|Court|Ct\b|Ct\.)\b"
+# What RE2 must find first: words of the patterns above behind what stands before them, without word edges.
+_BLANK = r"[\s\x0B]"
+SUPPLEMENT_LOOK = "|".join((
+    "(?:verify|certify|confirm) that", "(?i:customer name|patient name|witness|authorized signatory|emergency contact|employee name|candidate name|staff member)",
+    rf"[a-zA-Z0-9_]{_BLANK}+(?:Corp|Inc|Llc|Ltd|Company|Association|Group|Solutions)",
+    rf"(?:[Oo]ne|[Tt]wo|[Tt]hree|[0-9]){_BLANK}+[A-Z](?:[a-zA-Z0-9_]|{_BLANK})*{_BLANK}(?:Way|St|Road|Rd|Ave|Lane|Ln|Boulevard|Blvd|Dr|Court|Ct)",
+))
 FIELD_LABELS = (
     "account", "account holder", "agreement id", "authorized signatory", "bank account", "claim number", "company information", "contact information", "customer name", "driving license", "emergency contact", "employee id",
     "enterprise service agreement", "footer", "gstin", "ifsc", "insurance company", "invoice number", "legal section", "medical information", "organization", "passport no", "policy number", "start date", "visit date", "witness",
@@ -74,7 +96,7 @@ def supplements(docs: DataFrame) -> DataFrame:
     """People in set phrases (0.88), organisations by their suffix and street addresses (0.85)."""
     text = F.col("text")
     found = [*[("PERSON", find_all(text, _PERSON, lead, tail)) for lead, tail in PEOPLE], ("ORGANIZATION", find_all(text, ORGANISATION)), ("ADDRESS", find_all(text, STREET))]
-    out = _spans(docs, found, {"PERSON": 0.88, "ORGANIZATION": 0.85, "ADDRESS": 0.85}, "ner")
+    out = _spans(docs, found, {"PERSON": 0.88, "ORGANIZATION": 0.85, "ADDRESS": 0.85}, "ner", SUPPLEMENT_LOOK)
     flat = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
     tokens = F.split(F.trim("value"), r"\s+")
     person = ~flat.isin(*NO_PERSON) & ~flat.rlike(CARE_ENDS) & F.size(tokens).between(2, 4) & F.forall(tokens, lambda t: t.rlike(f"^{_NAME}$"))
@@ -90,6 +112,7 @@ CARE_ROLES = (
     ("MEDICAL_FACILITY", r"\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+Medical Center\b", ""), ("PATIENT", r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b", r"\bPatient\s*[:\-]\s*"),
     ("PATIENT", r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\b", r"\bPatient Name\s*[:\-]\s*"),
 )
+CARE_LOOK = "Dr|Hospital|Clinic|Medical Center|Patient"
 NO_ROLE = (
     "address", "email", "e-mail", "phone", "telephone", "mobile", "fax", "name", "patient", "patient name", "doctor", "hospital", "diagnosis", "chief complaint", "complaint", "medication", "medications", "procedure", "procedures",
     "laboratory", "lab", "results", "allergy", "vital signs",
@@ -98,7 +121,7 @@ NO_ROLE = (
 
 def care_roles(docs: DataFrame) -> DataFrame:
     """Doctors, places of care and labelled patients (0.76). A value counts once for a page and type; of overlapping matches the earlier rule's stays."""
-    out = _spans(docs, [(kind, find_all(F.col("text"), value, lead)) for kind, value, lead in CARE_ROLES], 0.76, "zero_shot")
+    out = _spans(docs, [(kind, find_all(F.col("text"), value, lead)) for kind, value, lead in CARE_ROLES], 0.76, "zero_shot", CARE_LOOK)
     flat = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
     out = out.where(~F.regexp_replace(flat, ":+$", "").isin(*NO_ROLE)).withColumn("key", flat)
     first = out.groupBy("doc_id", "page", "entity_type", "key").agg(F.min(F.struct("rule", "start", "end", "value", "confidence", "detector")).alias("m"))
@@ -133,6 +156,12 @@ def phrase_pattern(phrases: list[str]) -> str:
     return r"(?i:(?<![A-Za-z0-9_])(?:" + "|".join(each) + r")s?(?![A-Za-z0-9_]))"
 
 
+def phrase_look(phrases: list[str]) -> str:
+    """The first words of phrases, for RE2, whose word edges are those of ``phrase_pattern``."""
+    first = [re.search("[A-Za-z0-9_]+", p) for p in phrases]
+    return r"(?i)\b(?:" + "|".join(sorted({m.group() for m in first})) + r")s?\b" if all(first) else ""
+
+
 def phrases(docs: DataFrame, listed: dict[str, tuple[str, ...]] = PHRASES) -> DataFrame:
     """Spans of listed phrases (0.85), of overlapping ones the longest."""
     key = lambda c: F.regexp_replace(F.lower(c), r"[-\s]+", " ")
@@ -141,7 +170,7 @@ def phrases(docs: DataFrame, listed: dict[str, tuple[str, ...]] = PHRASES) -> Da
     # a phrase within a longer one is found by a pass for each length of words, so that the longest can win
     sizes = sorted({len(p.split(" ")) for p in kinds}, reverse=True)
     found = [("PHRASE", find_all(F.col("text"), phrase_pattern([p for p in kinds if len(p.split(" ")) == n]))) for n in sizes]
-    out = _spans(docs, found, 0.85, "clinical")
+    out = _spans(docs, found, 0.85, "clinical", phrase_look(list(kinds)))
     kind = F.coalesce(F.try_element_at(table, key(F.col("value"))), F.try_element_at(table, F.regexp_replace(key(F.col("value")), "s$", "")))
     return resolve(dedupe(out.withColumn("entity_type", kind).select(*COLUMNS)), (("length", False), ("start", True)), keep_same=False)
 
