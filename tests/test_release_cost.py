@@ -40,3 +40,15 @@ def test_what_is_left_after_the_last_round_blocks(spark, monkeypatch):
     monkeypatch.setattr(plan, "find_spans", lambda *a: none)
     assert [(r.status, r.issues) for r in plan.release(docs, rounds=0).status.collect()] == [("BLOCKED", ["HIGH_RISK_REMAINS"])]
     assert [r.redacted_text for r in plan.release(docs, rounds=1).redacted.collect()] == ["write to [REDACTED_EMAIL] today"]
+
+
+def test_later_rounds_look_at_changed_texts_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "write to ann@mail.com today"), (2, "Nothing here.")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, page int, start int, end int, entity_type string, value string, confidence double, detector string, privacy_category string")
+    asked, look = [], plan._residual
+    monkeypatch.setattr(plan, "find_spans", lambda *a: none)
+    monkeypatch.setattr(plan, "_residual", lambda text, kinds: asked.append(sorted(r.doc_id for r in text.collect())) or look(text, kinds))
+    done = plan.release(docs)
+    assert asked == [[1, 2], [1]]
+    assert sorted((r.doc_id, r.status) for r in done.status.collect()) == [(1, "RELEASED"), (2, "RELEASED")]
+    assert {r.redacted_text for r in done.redacted.collect()} == {"write to [REDACTED_EMAIL] today", "Nothing here."}

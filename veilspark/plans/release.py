@@ -66,13 +66,15 @@ def _release(docs: DataFrame, as_of: int, rounds: int, entities: tuple[str, ...]
     wide = found.select("doc_id", "page", "start", "end", "entity_type", "value", "confidence", "detector")
     text = settle(redact.redact(docs, wide.unionByName(redact.expand_occurrences(docs, wide))))
     kinds = tuple(t for t in T.PATTERNS if V.TYPE_ALIASES.get(t, t) in redact.HIGH_RISK)
+    changed = text  # a text that a round left as it was holds no more than that round found
     for _ in range(rounds):
-        left = settle(_residual(text, kinds))
+        left = settle(_residual(changed, kinds))
         if left.isEmpty():
             break
         text = settle(redact.redact(text.select("doc_id", F.col("redacted_text").alias("text")), left))
+        changed = text.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
     else:
-        left = _residual(text, kinds)
+        left = _residual(changed, kinds)
     return Release(found, text, settle(redact.verify(docs, wide, text, left)), redact.report(found))
 
 
